@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.llm.line_dedup import line_dedup
+from civicspark.llm.quality_rules import quality_rules
 from civicspark.llm.simhash import simhash_components
 
 
@@ -18,6 +19,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -25,10 +30,49 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op9_quality_rules": r"""
+with base as (
+    select doc_id, source, coalesce(text, '') as text,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents
+), lines as (
+    select doc_id, source, unnest(string_split(text, chr(10))) as line from base
+), worded as (
+    select *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n,
+           translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key
+    from lines where regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup as (
+    select doc_id, count(*) - count(distinct line) as n_dup_lines from worded group by doc_id
+), runs as (
+    select doc_id, i, list_slice(w, i, i + 7) as run from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from base where len(w) >= 8)
+), twice as (
+    select doc_id, i from runs join (select doc_id, run from runs group by doc_id, run having count(*) > 1) using (doc_id, run)
+), repeated as (
+    select doc_id, count(distinct i + k) as n_repeat_words from twice, range(0, 8) as t(k) group by doc_id
+), hosts as (
+    select source, count(*) as docs from documents group by source
+), often as (
+    select source, line_key from worded join hosts using (source)
+    group by source, line_key, docs having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.01 * docs
+), gone as (
+    select doc_id, count(*) as removed_lines, sum(n) as removed_words from worded join often using (source, line_key) group by doc_id
+), counted as (
+    select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+           coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+           coalesce(removed_lines, 0) as removed_lines, cast(len(w) - coalesce(removed_words, 0) as bigint) as left_words
+    from base left join dup using (doc_id) left join repeated using (doc_id) left join gone using (doc_id)
+)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and left_words >= 20 and left_words >= 0.3 * n_words as kept
+from counted
+""",
     "op10_line_dedup": r"""
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
