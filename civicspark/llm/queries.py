@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civicspark.llm.line_dedup import line_dedup
 from civicspark.llm.mixing import mix
+from civicspark.llm.packing import pack
 from civicspark.llm.quality_rules import quality_rules
 from civicspark.llm.simhash import simhash_components
 
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -34,6 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
