@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicspark.llm.ego_join import near_vectors
 from civicspark.llm.line_dedup import line_dedup
 from civicspark.llm.mixing import mix
 from civicspark.llm.packing import pack
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +46,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op8_mixing": op8_mixing,
@@ -49,6 +55,23 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_near_vectors": """
+with recursive v as (
+    select vec_id, cast(embedding as double[]) as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95
+), reach as (
+    select vec_id as id, vec_id as to_id from embeddings union select r.id, l.b from reach r join links l on r.to_id = l.a
+), lowest as (
+    select id, min(to_id) as component_id from reach group by id
+), counted as (
+    select a, count(*) as n from links group by a
+)
+select e.vec_id, coalesce(n, 0) as n_links, component_id, component_id = e.vec_id as kept
+from embeddings e join lowest on e.vec_id = id left join counted on e.vec_id = a
+""",
     "op9_quality_rules": r"""
 with base as (
     select doc_id, source, coalesce(text, '') as text,
