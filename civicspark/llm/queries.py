@@ -10,6 +10,7 @@ from civicspark.llm.line_dedup import line_dedup
 from civicspark.llm.mixing import mix
 from civicspark.llm.packing import pack
 from civicspark.llm.quality_rules import quality_rules
+from civicspark.llm.secrets import find_secrets
 from civicspark.llm.simhash import simhash_components
 
 
@@ -32,6 +33,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +59,7 @@ QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
