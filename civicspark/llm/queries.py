@@ -9,6 +9,7 @@ from civicspark.llm.ego_join import near_vectors
 from civicspark.llm.line_dedup import line_dedup
 from civicspark.llm.mixing import mix
 from civicspark.llm.packing import pack
+from civicspark.llm.quality_classifier import quality_scores
 from civicspark.llm.quality_rules import quality_rules
 from civicspark.llm.secrets import find_secrets
 from civicspark.llm.simhash import simhash_components
@@ -22,6 +23,10 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "score", "kept")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op7_secrets": op7_secrets,

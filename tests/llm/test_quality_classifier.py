@@ -1,0 +1,57 @@
+import numpy as np
+
+from civicspark.llm.quality_classifier import BAD, GOOD, LABELLERS, NONE, features, fit_labels, fit_scorer, quality_scores, read, shape, votes
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_label_model_recovers_accuracies():
+    rng = np.random.default_rng(3)
+    truth = rng.random(20_000) < 0.8
+    accuracy = np.array([0.95, 0.9, 0.85, 0.8, 0.7])
+    right = rng.random((20_000, 5)) < accuracy
+    seen = np.where(right == truth[:, None], GOOD, BAD)
+    seen[rng.random(seen.shape) < 0.2] = NONE
+    patterns, n = np.unique(seen, axis=0, return_counts=True)
+    model = fit_labels(patterns, n.astype(float))
+    assert abs(model.prior[GOOD] - 0.8) < 0.02
+    assert np.abs(model.chance[:, GOOD, GOOD] - accuracy).max() < 0.03
+    assert np.abs(model.chance[:, BAD, BAD] - accuracy).max() < 0.05
+    assert ((model.posterior(seen) > 0.5) == truth).mean() > 0.95
+
+
+def test_scorer_separates_shapes():
+    good, bad = [f"some plain words number{i} in a row." for i in range(40)], [f"SOME*** LOUD{i}### words$$$ HERE" for i in range(40)]
+    rows = [features(*read(t)[1:3]) for t in good + bad]
+    w = fit_scorer(rows, np.array([1.0] * 40 + [0.0] * 40))
+    at, x = features(*read("other plain things in a row.")[1:3])
+    assert w[at] @ x + w[-1] > 0
+    at, x = features(*read("OTHER*** THINGS### HERE$$$ TOO***")[1:3])
+    assert w[at] @ x + w[-1] < 0
+
+
+def test_votes_and_shapes():
+    assert shape("Ünder-12!!") == "Aa-0!"
+    assert votes(*read("")) == votes(*read("two words")) == [NONE] * len(LABELLERS)
+    assert votes(*read("the same " * 200))[LABELLERS.index("variety")] == BAD
+
+
+def test_labels_of_the_table_are_met(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r.doc_id: r for r in quality_scores(docs).collect()}
+    assert len(got) == docs.count()
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    good = [got[i].kept for i, q in truth.items() if q == 1]
+    bad = [not got[i].kept for i, q in truth.items() if q == 0]
+    assert np.mean(good) > 0.97 and np.mean(bad) > 0.8
+    again = {r.doc_id: r.score for r in quality_scores(docs.repartition(5)).collect()}
+    assert again == {i: r.score for i, r in got.items()}
+
+
+def test_edge_cases(spark):
+    rows = [(1, None, 0.1), (2, "", 0.1), (None, "plain words of a text", 0.1), (3, "word " * 40_000, 0.1), (3, "word", 0.1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    got = quality_scores(docs).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert [(r.score, r.kept) for r in got if r.doc_id in (1, 2)] == [(0.0, False)] * 2
+    assert quality_scores(docs.limit(0)).count() == 0
