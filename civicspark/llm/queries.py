@@ -13,6 +13,7 @@ from civicspark.llm.quality_classifier import quality_scores
 from civicspark.llm.quality_rules import quality_rules
 from civicspark.llm.secrets import find_secrets
 from civicspark.llm.simhash import simhash_components
+from civicspark.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,6 +39,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity(_table(spark, sf_dir, "documents", "doc_id", "text"), labels)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(_table(spark, sf_dir, "documents", "doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -65,6 +71,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
