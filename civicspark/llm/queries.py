@@ -13,6 +13,7 @@ from civicspark.llm.quality_classifier import quality_scores
 from civicspark.llm.quality_rules import quality_rules
 from civicspark.llm.secrets import find_secrets
 from civicspark.llm.simhash import simhash_components
+from civicspark.llm.suffix_dedup import remove_repeats
 from civicspark.llm.toxicity import toxicity
 
 
@@ -28,6 +29,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "score", "kept")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
