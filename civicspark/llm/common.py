@@ -78,4 +78,4 @@ def join_back(docs: DataFrame, extra: DataFrame, keys: list[str], how: str = "le
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    return docs.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+    return docs.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])  # a semi join has none of these

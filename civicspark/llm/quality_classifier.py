@@ -239,6 +239,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     return labels, fit_scorer([data[i] for i in order], target[order])
 
 
+def _scores(texts: list[str], w: np.ndarray) -> list[float]:
+    out = []
+    for text in texts:
+        _, words, shapes, _ = read(text)
+        at, x = features(words, shapes)
+        out.append(1 / (1 + float(np.exp(-np.clip(w[at] @ x + w[-1], -30, 30)))) if len(words) else 0.0)
+    return out
+
+
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_scores() keeps. No row is shuffled for it."""
+    _, weights = train(docs, id_col, text_col, train_rows)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["" if t is None else str(t) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(np.array(_scores(texts, sent.value)) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Score every document; (id_col, __th, score, kept), one row per input row.
 
@@ -254,11 +276,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            scores = []
-            for text in batch.column(2).to_pylist():
-                _, words, shapes, _ = read(text)
-                at, x = features(words, shapes)
-                scores.append(1 / (1 + float(np.exp(-np.clip(w[at] @ x + w[-1], -30, 30)))) if len(words) else 0.0)
+            scores = _scores(batch.column(2).to_pylist(), w)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["id", "__th", "score"])
 
     kind = base.schema["id"].dataType.simpleString()

@@ -41,16 +41,17 @@ def fingerprint(text: str, n: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int = 3, seed: int = 42) -> DataFrame:
-    """(__id, __fp long): one row per input row; a null text is empty."""
-    base = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+    """(__id, __th, __fp long): one row per input row, __th the hash of its text; a null text is empty."""
+    text = text_or_empty(text_col)
+    base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x, n, seed) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["__id", "__fp"])
+            fps = np.array([fingerprint(x, n, seed) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["__id", "__th", "__fp"])
 
     kind = base.schema["__id"].dataType.simpleString()
-    return base.mapInArrow(run, f"__id {kind}, __fp long")
+    return base.mapInArrow(run, f"__id {kind}, __th long, __fp long")
 
 
 def _bucket_links(radius: int):
@@ -90,6 +91,13 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, piece: int = PIECE) -> Da
     return rows.groupBy("g").applyInPandas(_bucket_links(radius), "a long, b long")
 
 
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """(__fp, __group, __low) of the distinct fingerprints of fps (__id, __fp): the group, and the fingerprint's smallest id."""
+    nodes = shared_table(fps.groupBy("__fp").agg(F.min("__id").alias("__low")))
+    group = components(fingerprint_links(nodes.select("__fp"), radius), "a", "b").select(F.col("id").alias("__fp"), "component")
+    return nodes.join(group, "__fp", "left").select("__fp", F.coalesce("component", "__fp").alias("__group"), "__low")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """Group documents whose fingerprints differ in radius bits or fewer, directly or through others.
 
@@ -102,9 +110,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal fingerprints are one node with its smallest id, so copies never meet each other in a task.
     """
     fps = shared_table(fingerprints(docs, id_col, text_col, n, seed))
-    nodes = shared_table(fps.groupBy("__fp").agg(F.min("__id").alias("__low")))
-    group = components(fingerprint_links(nodes.select("__fp"), radius), "a", "b").select(F.col("id").alias("__fp"), "component")
-    nodes = nodes.join(group, "__fp", "left").select("__fp", "__low", F.coalesce("component", "__fp").alias("__group"))
+    nodes = _grouped(fps, radius)
     lowest = nodes.groupBy("__group").agg(F.min("__low").alias("component_id"))
     nodes = nodes.join(lowest, "__group").select("__fp", "component_id")
     return join_back(fps, nodes, ["__fp"]).select(F.col("__id").alias(id_col), F.col("__fp").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """docs without near-duplicates: of each group of simhash_components() the row with the smallest id stays.
+
+    A null id sorts first. Of rows with equal id and text one stays, whichever it is.
+    """
+    fps = shared_table(fingerprints(docs, id_col, text_col, n, seed))
+    placed = fps.join(_grouped(fps, radius).select("__fp", "__group"), "__fp")
+    stays = placed.groupBy("__group").agg(F.min(F.struct("__id", "__th")).alias("s")).select("s.__id", "s.__th")
+    keyed = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_or_empty(text_col))})
+    return join_back(keyed, shared_table(stays), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(docs.columns)
