@@ -1,0 +1,89 @@
+import datetime as dt
+import json
+
+from pyspark.sql import functions as F
+
+from civicspark.sources import feeds, gazette
+
+
+def put(folder, name, content):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(content if isinstance(content, str) else json.dumps(content))
+    return str(folder)
+
+
+def test_building_plans(spark, tmp_path):
+    one = {"id": 1, "status": "festg", "bplanID": "X-1", "planname": "X", "bereich": "by the lake", "afs_beschl": "2020-01-02", "festsg_am": "2021-03-04", "aul_start": None, "scan_www": "s", "grund_www": "g"}
+    plans = put(tmp_path / "plans", "1.json", {"count": 2, "results": [one, {**one, "id": 2, "status": "aul", "scan_www": None, "bplanID": "X-2"}]})
+    shapes = put(tmp_path / "shapes", "1.json", {"features": [{"geometry": {"type": "MultiPolygon", "coordinates": [[[[13, 52], [14, 52], [14, 53], [13, 52]]]]}, "properties": {"pk": 1}}]})
+    a, b = feeds.building_plans(spark, plans, shapes).orderBy("external_id").collect()
+    assert (a.title, a.state, a.participation_open, a.url, a.additional_link) == ("X - by the lake", "finished", False, "s", "g")
+    assert (a.date_start, a.date_end) == (dt.datetime(2020, 1, 2), dt.datetime(2021, 3, 4)) and len(a.geometry.parts) == 1
+    assert (b.participation_open, b.url, b.additional_link, b.geometry) == (True, "g", None, None)
+
+
+def test_bike_projects(spark, tmp_path):
+    kml = '<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><Point><coordinates>13.1,52.1,0</coordinates></Point></Placemark><Placemark><LineString><coordinates>13.1,52.1 13.2,52.2</coordinates></LineString></Placemark></Document></kml>'
+    path = put(tmp_path / "bike", "1.json", {"results": [{"id": "7", "title": "Lane", "status": "in Bau", "dateStart": "2. Quartal 2022", "kml": kml}, {"id": "8", "title": "None", "kml": ""}]})
+    a, b = feeds.bike_projects(spark, path).orderBy("external_id").collect()
+    assert (a.state, a.geo_point.lng, a.geometry.type, a.date_start) == ("under_construction", 13.1, "LineString", dt.datetime(2022, 3, 31, 22))
+    assert b.geo_point is None and b.geometry is None
+
+
+def test_participation_and_economy(spark, tmp_path):
+    p = {"url": "/x/", "title": "T", "status": 0, "participation": 0, "created_or_modified": "2021-05-06 07:08:09.123456+02:00", "point": {"type": "Feature", "geometry": {"type": "Point", "coordinates": [13.5, 52.5]}}}
+    first = put(tmp_path / "a", "1.json", [p])
+    second = put(tmp_path / "b", "1.json", [{**p, "url": "/y/", "status": 1, "point": ""}])
+    a, b = feeds.participation(spark, first, second).orderBy("external_id").collect()
+    assert (a.state, a.participation_open, a.geo_point.lat, a.url) == ("active", True, 52.5, "https://mein.berlin.de/x/")
+    assert (b.state, b.participation_open, b.geo_point) == ("finished", False, None) and b.date_updated.hour == 5
+    eco = put(tmp_path / "c", "1.json", {"features": [{"geometry": {"type": "Point", "coordinates": [13.1, 52.2]}, "properties": {"title": "E", "url": "u", "modified": "2021-01-01T00:00:00Z"}}]})
+    r = feeds.economy_projects(spark, eco).first()
+    assert (r.title, r.geo_point.lng, r.date_updated) == ("E", 13.1, dt.datetime(2021, 1, 1))
+
+
+def test_markers_and_forum(spark, tmp_path):
+    r = feeds.environmental_markers(spark, put(tmp_path / "m", "m.js", 'var markers = [[52.5,13.5,"A \\"b\\"","id-1","c","l",[{"id":1}],[]]];')).first()
+    assert (r.title, r.external_id, r.geo_point.lng) == ('A "b"', "id-1", 13.5)
+    row = [5, 0, "N &amp; M", 0, "Neubau<br/>hoch", 0, 0, 0, 0, 0, 0, 0, "http://f", 0, 0, 52.5, 13.5, "52.1,13.1,52.2,13.2,52.3,13.1", "2021-01-02", None, 1, 0, "2021-02-03T04:05:06", 0, 0, 0, 0, 0, 0]
+    off, bad = [6, *row[1:20], 0, *row[21:]], [7, *row[1:17], "1,2", *row[18:]]
+    got = feeds.forum_projects(spark, put(tmp_path / "f", "f.json", {"rows": [row, off, bad]})).orderBy("external_id").collect()
+    assert [r.external_id for r in got] == ["5", "7"] and got[0].title == "N & M" and got[0].description == "Neubau\nhoch"
+    assert len(got[0].geometry.parts[0].coords) == 4 and got[1].geometry is None and got[0].date_updated == dt.datetime(2021, 2, 3, 4, 5, 6)
+
+
+def test_press(spark, tmp_path):
+    feed = "<rss><channel><item><title>Neu &amp;amp; gut</title><link>http://p/1</link><description>Kurz</description><category>Bezirk Mitte</category><category>Bau</category><pubDate>Fri, 16 Jul 2021 10:20:00 +0200</pubDate></item></channel></rss>"
+    pages = spark.createDataFrame([("http://p/1", "<div class='article' role='main'>Viel Text\nKontakt: wer\nweg</div>")], "url string, html string")
+    r = feeds.press_releases(spark, put(tmp_path / "p", "f.xml", feed), pages).first()
+    assert (r.title, r.full_text.strip(), r.hints, r.published_at) == ("Neu & gut", "Neu & gut\nKurz\nViel Text", ["Mitte"], dt.datetime(2021, 7, 16, 8, 20))
+
+
+def test_places(spark, tmp_path):
+    s = feeds.school_csv(spark, put(tmp_path / "s", "s.csv", "﻿BSN;Name;City;Longitude;Latitude\n1;Schule;Berlin;13.1;52.1\n")).first()
+    assert (s.external_id, s.type, s.geo_point.lat) == ("1", "School", 52.1)
+    square = {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 0]]]}
+    p = feeds.parks(spark, put(tmp_path / "k", "k.json", {"features": [{"geometry": square, "properties": {"gml_id": "g1", "namenr": "Hain", "bezirkname": "Mitte"}}]})).first()
+    assert (p.external_id, p.name, p.district, p.geo_point.lng) == ("g1", "Hain", "Mitte", 1.0)
+    a = feeds.street_csv(spark, put(tmp_path / "c", "c.csv", "1;Weg;2 a;10115;Berlin;Mitte;13.1;52.1\n")).first()
+    assert (a.name, a.lng) == ("Weg", 13.1)
+
+
+def test_gazette(spark):
+    pages = [
+        ("f/abl_2021_30.pdf", 1, "Amtsblatt\nAmtsblatt\n\nAusgegeben zu Berlin am 16. Juli 2021\nErstes\nThema\nTitel eins\n\nText mit Bau-\nstelle.\nNoch mehr\nZweites Thema\nTitel zwei"),
+        ("f/abl_2021_30.pdf", 2, "Kopf\n\nweiter geht es\nDrittes\nTitel drei\nABl. Nr. 30 / 2021"),
+        ("f/abl_2021_30.pdf", 3, "Kopf\nGerichte\nnicht mehr"),
+    ]
+    table = spark.createDataFrame(pages, "file string, page_no int, text string")
+    toc = [("Inhalt", "1", "b'Inhalt'"), (None, "1", "Erstes Thema"), (None, "1", "Zweites Thema"), (None, "2", "Drittes"), (None, "2", "Ärztekammer Berlin"), (None, "", "leer"), (None, "3", "Gerichte"), (None, "3", "Amtsgericht")]
+    entries = gazette.outline(spark.createDataFrame([(pages[0][0], k, "1", p, t) for k, (_, p, t) in enumerate(toc)], "file string, pos int, level string, page string, title string"))
+    assert gazette.last_pages(entries, table).first().last_page == 2
+    got = gazette.news_records(table, entries).orderBy("url").collect()
+    by = {r.hints[0]: r for r in got}
+    assert set(by) == {"Erstes Thema", "Zweites Thema", "Drittes"}
+    assert by["Erstes Thema"].title == "Titel eins" and by["Erstes Thema"].full_text == "Titel eins\n\nText mit Baustelle.\nNoch mehr"
+    assert by["Zweites Thema"].full_text == "Titel zwei\nweiter geht es" and by["Drittes"].full_text == "Titel drei"
+    assert by["Drittes"].published_at == dt.datetime(2021, 7, 16, 13, 26, 8, 3000)
+    r = spark.range(1).select(F.lit("abl_2021_30_x.pdf").alias("file")).select(gazette.issue()[0].alias("n"), gazette.issue()[1].alias("v")).first()
+    assert (r.n, r.v) == (30, 71)
