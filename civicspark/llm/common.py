@@ -6,51 +6,20 @@ handled row by row; a null id is a value like any other and sorts first.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.storage import drop_shared_tables, shared_dir, shared_table
+
+__all__ = [
+    "SPACE_CHARS", "SPACE_RE", "ascii_lower", "drop_shared_tables", "hash128", "join_back", "shared_dir", "shared_table", "text_or_empty", "words",
+]
+
 #: ASCII white space, the only word separator of the operators.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Java regular expression of the same characters.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    Cuts the lineage, survives lost executors, and gives the optimiser the true size.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared_tables(spark: SparkSession) -> int:
-    """Delete the tables that this session has written; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
-
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
