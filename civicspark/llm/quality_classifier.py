@@ -230,9 +230,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     codes = np.array([r.pattern for r in table], dtype=np.int64)
     patterns = np.stack([codes // 3**k % 3 for k in range(len(LABELLERS))], axis=1)
     labels = fit_labels(patterns, np.array([r.n for r in table], dtype=np.float64))
-    h = F.xxhash64("id", "text")
-    chosen = base.select("text", h.alias("h")).orderBy("h").limit(train_rows).select("text")
-    rows = _training_rows(chosen.repartition(8)).collect()
+    hashed = base.withColumn("h", F.xxhash64("id", "text"))
+    # the smallest hashes first, then the texts they belong to: no other text is shuffled
+    last = hashed.select("h").orderBy("h").limit(train_rows).agg(F.max("h").alias("h")).first().h
+    chosen = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).select("text")
+    rows = _training_rows(chosen).collect()
     data = [(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(np.float64)) for r in rows]
     target = labels.posterior(np.array([r.votes for r in rows], dtype=np.int64))
     order = sorted(range(len(rows)), key=lambda i: (rows[i].at, rows[i].x))  # the same whatever the partitions
