@@ -19,7 +19,7 @@ from civicspark.llm.suffix_sort import BASE, LETTER, Contexts, powers, repeats
 #: Bytes of an anchor; every string of the given length contains one.
 ANCHOR = 64
 #: Contexts that a sorting task gets in the mean, and that one bucket may bring to it.
-GROUP, CROWD = 8_000, 32_768
+GROUP, CROWD = 2_500, 32_768
 #: Bytes of a text that are searched for anchors at a time, with an overlap that loses no string.
 CHUNK = 1 << 20
 
@@ -28,6 +28,17 @@ _INVERSE = powers(CHUNK, np.uint64(pow(int(BASE), -1, 1 << 64)))
 _PLACE = np.uint64((1 << 21) - 1)
 
 
+#: Rows that a Python task holds unpacked at a time.
+ROWS = 400
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows at most, whatever comes."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def _slide_min(key: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours: the end of one block and the beginning of the next."""
     n = len(key)
@@ -101,7 +112,7 @@ def _find_anchors(length: int):
 def _cut_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _small(batches):
             row, out, strings = [], [], []
             for r, (z, places) in enumerate(zip(batch.column("z").to_pylist(), batch.column("places").to_pylist())):
                 text = unzip(z)
@@ -138,7 +149,7 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             row, out = [], []
             for r, (left, text) in enumerate(zip(batch.column("left").to_pylist(), batch.column("context").to_pylist())):
                 for lo in range(0, min(left, len(text) - length) + 1):
@@ -200,7 +211,7 @@ def repeated_spans(texts: DataFrame, length: int = 400, crowd: int = CROWD) -> D
 
 def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in _small(batches):
         text = pa.array([unzip(z) for z in batch.column("z").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), text], names=["id", "th", "text"])
 
@@ -218,7 +229,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
+    for batch in _small(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zip_(t) for t in batch.column(2).to_pylist()], pa.binary())], names=["id", "th", "z"])
 
 
@@ -240,7 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _small(batches):
             n, runs, rest, sha = [], [], [], []
             for z, found in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist()):
                 text, gone = unzip(z), merged(found)

@@ -35,7 +35,9 @@ class Contexts:
         self.power = powers(width)
         self.prefix = np.zeros((self.n, width + 1), dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(LETTER[self.text] * self.power[None, :width], axis=1, out=self.prefix[:, 1:])
+            for lo in range(0, self.n, 512):  # in parts, so that no second table of this size is held
+                part = np.s_[lo : lo + 512]
+                np.cumsum(LETTER[self.text[part]] * self.power[None, :width], axis=1, out=self.prefix[part, 1:])
 
     def same(self, i: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Whether the columns from lo to hi hash alike in rows i and j."""
