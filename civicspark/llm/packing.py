@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ OPEN_BINS = 16_384
 #: Pieces that one packer gets in the mean.
 PER_PACKER = 16_384
 #: Chunks of text whose ids a Python worker remembers; past it the memory starts anew.
-MEMO = 1_000_000
+MEMO = 2_000_000
 
 
 class ChunkTokenizer:
@@ -40,18 +42,65 @@ class ChunkTokenizer:
         self._opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that begin with a space
         self._opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self._memo: dict[str, bytes] = {}
+        self._model = self._tokenizer.model
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self._letters = {b: chr(256 + k) for k, b in enumerate(odd)}  # the model writes bytes as letters
+        self._heads: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
+
+    #: Letters, and then characters that are neither letters, digits nor white space: the tokenizer cuts between.
+    _PARTS = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+
+    def _letters_ids(self, letters: str) -> bytes:
+        """Ids of letters with or without a space before them: one piece for the model, which needs no cutting."""
+        piece = letters.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
+
+    def _remembered(self, memo: dict[str, bytes], key: str, make) -> bytes:
+        if key not in memo:
+            if len(memo) > MEMO // 8:
+                memo.clear()
+            memo[key] = make(key)
+        return memo[key]
+
+    def _simple(self, chunk: str, after_space: bool) -> bytes | None:
+        """Ids of letters and then marks; None for chunks of another shape."""
+        m = self._PARTS.fullmatch(chunk)
+        if not m or not m[1].isalpha():
+            return None
+        if after_space:
+            ids = self._memo.get(m[1]) or self._letters_ids(f" {m[1]}")
+        else:
+            ids = self._remembered(self._heads, m[1], self._letters_ids)
+        return ids + self._remembered(self._marks, m[2], lambda x: self._encode(x).tobytes()) if m[2] else ids
+
+    def _lines(self, chunk: str) -> bytes | None:
+        """Ids of two simple chunks with a line break between them; None for others."""
+        left, _, right = chunk.partition("\n")
+        a, b = self._simple(left, True), self._simple(right, False)
+        return None if a is None or b is None else a + self._remembered(self._marks, "\n", lambda x: self._encode(x).tobytes()) + b
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks without white space at their ends; each stands after a space."""
-        ids = self._encode(" " + " ".join(chunks))
-        starts = np.flatnonzero(self._opens[ids])
-        if len(starts) != len(chunks):
-            return [self._encode(f" {c}").tobytes() for c in chunks]
-        data, at = ids.tobytes(), (4 * starts).tolist()
-        return [data[i:j] for i, j in zip(at, [*at[1:], len(data)])]
+        found, rest = {}, []
+        for c in chunks:
+            ids = self._simple(c, True) or ("\n" in c and self._lines(c))
+            if ids:
+                found[c] = ids
+            else:
+                rest.append(c)
+        if rest:
+            ids = self._encode(" " + " ".join(rest))
+            starts = np.flatnonzero(self._opens[ids])
+            if len(starts) == len(rest):
+                data, at = ids.tobytes(), (4 * starts).tolist()
+                found.update(zip(rest, (data[i:j] for i, j in zip(at, [*at[1:], len(data)]))))
+            else:
+                found.update((c, self._encode(f" {c}").tobytes()) for c in rest)
+        return found
 
     def ids(self, text: str) -> bytes:
         """The ids as unsigned 32-bit little-endian integers."""
@@ -63,10 +112,11 @@ class ChunkTokenizer:
         if new:
             if len(self._memo) + len(new) > MEMO:
                 self._memo.clear()
-            found = dict(zip(new, self._learn(new)))
+            found = self._learn(new)
             self._memo.update(found)
             got = [found[c] if x is None else x for c, x in zip(chunks, got)]
-        return (self._encode(first).tobytes() if first else b"") + b"".join(got)
+        head = self._simple(first, False) or self._encode(first).tobytes() if first else b""
+        return head + b"".join(got)
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:

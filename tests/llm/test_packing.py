@@ -17,7 +17,7 @@ def ids(tokenizer, text):
 
 def test_remembered_chunks_give_the_ids_of_the_whole_text():
     tok, rnd = ChunkTokenizer(PATH), random.Random(3)
-    parts = [" ", " ", "\n", "\t", " ", "a", "b", "é", "'s", ".", "12", "  ", "<|endoftext|>", "\x1c", "\x85", "中", "\U0001f600", "Ġ"]
+    parts = [" ", " ", "\n", "\t", " ", "a", "b", "é", "'s", ".", "12", "  ", "<|endoftext|>", "\x1c", "\x85", "中", "\U0001f600", "Ġ", "word", "Größe", "naïve", " x", ",", "नमस्ते", "ǅ", "ªº"]
     for _ in range(4000):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
         assert np.frombuffer(tok.ids(text), "<u4").tolist() == ids(tok, text), repr(text)
