@@ -68,8 +68,11 @@ def merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def link_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Parent of each row: rows of one bucket within radius share a tree. Rows must be sorted by bucket."""
+def link_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int, last: np.ndarray | None = None) -> np.ndarray:
+    """Parent of each row: rows of one bucket within radius share a tree. Rows must be sorted by bucket.
+
+    last: a row meets only the rows before this number, if given.
+    """
     n = len(fps)
     parent = np.arange(n)
     if n < 2:
@@ -77,6 +80,7 @@ def link_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray
     plane = planes(fps)
     edge = np.flatnonzero(np.diff(bucket)) + 1
     end = np.repeat(np.append(edge, n), np.diff(np.concatenate(([0], edge, [n]))))
+    end = end if last is None else np.minimum(end, last)
     first_word, last_word = (np.arange(n) + 1) // 64, (end - 1) // 64
     count = np.where(np.arange(n) + 1 < end, last_word - first_word + 1, 0)
     upto = np.cumsum(count)

@@ -22,6 +22,12 @@ PIECE = 4096
 GROUP = 20_000
 
 
+def simhash(h: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes."""
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str, n: int = 3, seed: int = 42) -> int:
     """SimHash of a text: a bit is set if it is set in over half of the XXH64 of its n-word shingles."""
     found = text.encode("utf-8", "replace").lower().split()  # of bytes: A-Z, and ASCII white space
@@ -35,9 +41,7 @@ def fingerprint(text: str, n: int = 3, seed: int = 42) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(whole[a:b], seed) for a, b in zip(starts[: len(found) - n + 1].tolist(), ends[n - 1 :].tolist())]
-    h = np.array(hashes, dtype=np.uint64)
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return simhash(np.array(hashes, dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, n: int = 3, seed: int = 42) -> DataFrame:
@@ -114,15 +118,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = nodes.groupBy("__group").agg(F.min("__low").alias("component_id"))
     nodes = nodes.join(lowest, "__group").select("__fp", "component_id")
     return join_back(fps, nodes, ["__fp"]).select(F.col("__id").alias(id_col), F.col("__fp").alias("fingerprint"), "component_id")
-
-
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """docs without near-duplicates: of each group of simhash_components() the row with the smallest id stays.
-
-    A null id sorts first. Of rows with equal id and text one stays, whichever it is.
-    """
-    fps = shared_table(fingerprints(docs, id_col, text_col, n, seed))
-    placed = fps.join(_grouped(fps, radius).select("__fp", "__group"), "__fp")
-    stays = placed.groupBy("__group").agg(F.min(F.struct("__id", "__th")).alias("s")).select("s.__id", "s.__th")
-    keyed = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_or_empty(text_col))})
-    return join_back(keyed, shared_table(stays), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(docs.columns)

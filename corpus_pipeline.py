@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from civicspark.llm.common import shared_table
 from civicspark.llm.line_dedup import without_shared_lines
 from civicspark.llm.mixing import mixed
+from civicspark.llm.near_copies import one_of_each_group
 from civicspark.llm.packing import pack
 from civicspark.llm.quality_classifier import good_documents
-from civicspark.llm.simhash import one_of_each_group
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return one_of_each_group(docs)
+    """One document of each group stays that five-word shingles of Jaccard similarity 0.8 or more connect."""
+    return one_of_each_group(docs, n=5, radius=12, similarity=0.8)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
