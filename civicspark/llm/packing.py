@@ -29,7 +29,7 @@ class ChunkTokenizer:
 
     Before it merges bytes, the tokenizer cuts a text at every single space that has no white space
     beside it, so the ids of a text are those of its chunks in a row, where a chunk starts with its space.
-    White space of any other shape stays inside a chunk.
+    White space of any other shape stays inside a chunk. A text that holds an added token is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -37,7 +37,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         vocab = self._tokenizer.get_vocab()
         self._opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that begin with a space
         self._opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
@@ -104,6 +104,8 @@ class ChunkTokenizer:
 
     def ids(self, text: str) -> bytes:
         """The ids as unsigned 32-bit little-endian integers."""
+        if any(t in text for t in self._added):
+            return self._encode(text).tobytes()  # an added token is one id wherever it stands
         first, *chunks = text.split(" ")
         got = list(map(self._memo.get, chunks))
         new = list({c for c, x in zip(chunks, got) if x is None}) if None in got else []

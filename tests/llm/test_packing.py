@@ -91,3 +91,15 @@ def test_edge_cases(spark):
     rest = docs.where("doc_id <> 5 or doc_id is null")
     check(rest, pack(rest, PATH, length=16).collect(), ChunkTokenizer(PATH), 16)
     assert pack(docs.limit(0), PATH).count() == 0
+
+
+def test_ids_are_those_of_the_plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain, tok, rnd = Tokenizer.from_file(PATH), ChunkTokenizer(PATH), random.Random(4)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added and plain.normalizer is None  # so an added token is found as it is written
+    parts = [*added, "<|", "|>", " ", " ", "\n", "a", "word", "é", ".", "12"]
+    texts = ["a <|endoftext|> b", *["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]]
+    for text in texts:
+        assert np.frombuffer(tok.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
