@@ -17,11 +17,32 @@ from pyspark.sql import functions as F
 from civicspark.llm.common import shared_table, text_or_empty
 
 #: Bins that a packer holds open.
-OPEN_BINS = 16_384
+OPEN_BINS = 64
 #: Pieces that one packer gets in the mean.
-PER_PACKER = 16_384
-#: Chunks of text whose ids a Python worker remembers; past it the memory starts anew.
-MEMO = 2_000_000
+PER_PACKER = 4096
+#: Bytes of chunks and their ids that a Python worker remembers, what Python adds to each included; past it the memory starts anew.
+MEMO_BYTES = 192 << 20
+#: What a remembered chunk costs besides its characters and ids, and the longest one that is remembered.
+MEMO_EACH, MEMO_CHUNK = 250, 256
+
+
+class Memo(dict):
+    """Chunks with their ids, at most MEMO_BYTES of them: longer texts are not kept, and a full memory is emptied."""
+
+    def __init__(self, limit: int = MEMO_BYTES):
+        super().__init__()
+        self.limit, self.used = limit, 0
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        for chunk, ids in found.items():
+            if len(chunk) > MEMO_CHUNK or chunk in self:
+                continue
+            cost = MEMO_EACH + 4 * len(chunk) + len(ids)
+            if self.used + cost > self.limit:
+                self.clear()
+                self.used = 0
+            self[chunk] = ids
+            self.used += cost
 
 
 class ChunkTokenizer:
@@ -32,7 +53,7 @@ class ChunkTokenizer:
     White space of any other shape stays inside a chunk. A text that holds an added token is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
@@ -41,12 +62,11 @@ class ChunkTokenizer:
         vocab = self._tokenizer.get_vocab()
         self._opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that begin with a space
         self._opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self._memo: dict[str, bytes] = {}
+        self._memo = Memo(memo_bytes)
         self._model = self._tokenizer.model
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self._letters = {b: chr(256 + k) for k, b in enumerate(odd)}  # the model writes bytes as letters
-        self._heads: dict[str, bytes] = {}
-        self._marks: dict[str, bytes] = {}
+        self._heads, self._marks = Memo(memo_bytes // 8), Memo(memo_bytes // 8)
 
     #: Letters, and then characters that are neither letters, digits nor white space: the tokenizer cuts between.
     _PARTS = re.compile(r"([^\W\d_]+)([^\w\s]*)")
@@ -56,12 +76,11 @@ class ChunkTokenizer:
         piece = letters.encode().decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
 
-    def _remembered(self, memo: dict[str, bytes], key: str, make) -> bytes:
-        if key not in memo:
-            if len(memo) > MEMO // 8:
-                memo.clear()
-            memo[key] = make(key)
-        return memo[key]
+    def _remembered(self, memo: Memo, key: str, make) -> bytes:
+        ids = memo.get(key)
+        if ids is None:
+            memo.keep({key: (ids := make(key))})
+        return ids
 
     def _simple(self, chunk: str, after_space: bool) -> bytes | None:
         """Ids of letters and then marks; None for chunks of another shape."""
@@ -112,10 +131,8 @@ class ChunkTokenizer:
         if first[-1:].isspace() or not (first or not text) or any(not c or c[0].isspace() or c[-1].isspace() for c in new):
             return self._encode(text).tobytes()  # white space of another shape: no cut
         if new:
-            if len(self._memo) + len(new) > MEMO:
-                self._memo.clear()
             found = self._learn(new)
-            self._memo.update(found)
+            self._memo.keep(found)
             got = [found[c] if x is None else x for c, x in zip(chunks, got)]
         head = self._simple(first, False) or self._encode(first).tobytes() if first else b""
         return head + b"".join(got)
@@ -198,7 +215,7 @@ def best_fit(lengths: list[int], size: int, open_bins: int = OPEN_BINS) -> tuple
 
 def _pack(size: int, open_bins: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "start", "copy", "ids_crc32"], kind="stable", ascending=False).reset_index(drop=True)
+        rows = rows.sort_values(["order", "copy", "ids_crc32", "start"], kind="stable").reset_index(drop=True)  # as they come: no order of lengths
         bins, offsets = best_fit(rows["length"].tolist(), size, open_bins)
         return rows.assign(sequence_id=rows["packer"].astype("int64") * (1 << 40) + np.array(bins, dtype=np.int64), offset=np.array(offsets, dtype=np.int64))[
             ["id", "copy", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -225,12 +242,14 @@ def pack(
     packed each for itself. An empty table gives an empty result. Only the two named columns are read.
 
     Whole sequences need no packer. The others, whose rows are a few numbers each, are dealt by hash to
-    packers of about per_packer pieces, each of which runs bounded-space best fit, the longest first.
+    packers of about per_packer pieces, each of which runs bounded-space best fit online: pieces come in
+    the order of their hash, whatever their length, and the number of open bins does not grow with them.
     """
     table = shared_table(pieces(docs, tokenizer, id_col, text_col, length, end_id))
     part = F.col("length") < length
     packers = max(1, -(-table.where(part).count() // per_packer))
-    dealt = table.where(part).withColumn("packer", F.pmod(F.xxhash64("copy", "id", "ids_crc32", "start"), F.lit(packers)).cast("int"))
+    order = F.xxhash64("copy", "id", "ids_crc32", "start")
+    dealt = table.where(part).withColumn("order", order).withColumn("packer", F.pmod(F.shiftrightunsigned("order", 20), F.lit(packers)).cast("int"))
     kind = table.schema["id"].dataType.simpleString()
     schema = f"id {kind}, copy long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     packed = dealt.groupBy("packer").applyInPandas(_pack(length, open_bins), schema)

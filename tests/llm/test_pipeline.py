@@ -2,7 +2,7 @@ from collections import Counter
 
 import pytest
 
-pytest.importorskip("public_tokenizers")
+
 
 import corpus_pipeline  # noqa: E402
 from civicspark.llm.quality_classifier import quality_scores  # noqa: E402
