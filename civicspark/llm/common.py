@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from civicspark.storage import drop_shared_tables, shared_dir, shared_table
 
 __all__ = [
-    "SPACE_CHARS", "SPACE_RE", "ascii_lower", "drop_shared_tables", "hash128", "join_back", "shared_dir", "shared_table", "text_or_empty", "words",
+    "SPACE_CHARS", "SPACE_RE", "ascii_lower", "drop_shared_tables", "hash128", "join_back", "salt", "salts", "shared_dir", "shared_table", "text_or_empty",
+    "with_salts", "words",
 ]
 
 #: ASCII white space, the only word separator of the operators.
@@ -40,6 +41,29 @@ def hash128(c: Column) -> list[Column]:
     return [F.xxhash64(c), F.xxhash64(F.lit(7), c)]
 
 
+#: Parts that the rows of one key are dealt into; bits of a long.
+SALTS = 64
+
+
+def salt(*columns: str) -> Column:
+    """A row's part, from 0 to SALTS - 1, by columns that differ between the rows of one key."""
+    return F.pmod(F.xxhash64(F.lit(77), *columns), F.lit(SALTS)).cast("int")
+
+
+def salts(column: str) -> Column:
+    """Aggregate: the parts that occur, as a set of bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column)))
+
+
+def with_salts(keys: DataFrame, column: str = "salts") -> DataFrame:
+    """keys once for each part that occurs, as `salt`: joined on key and salt, no key's rows meet in one task.
+
+    A key with few rows has few parts, so this makes no more rows than it will be joined with.
+    """
+    occurs = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(F.col(column), k) == 1)
+    return keys.withColumn("salt", F.explode(occurs)).drop(column)
+
+
 def join_back(docs: DataFrame, extra: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe join of extra to docs on equally named keys; the keys of docs stay."""
     renamed = extra.select([F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in extra.columns])

@@ -8,18 +8,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import join_back, shared_table, text_or_empty
+from civicspark.llm.common import join_back, salt, salts, shared_table, text_or_empty, with_salts
 from civicspark.llm.suffix_sort import BASE, LETTER, Contexts, powers, repeats
 
 #: Bytes of an anchor; every string of the given length contains one.
 ANCHOR = 64
-#: Contexts that a sorting task gets in the mean, and that one bucket may bring to it.
-GROUP, CROWD = 2_500, 32_768
+#: Contexts that a sorting task gets in the mean, and that one bucket may bring to it before it is split.
+GROUP, CROWD = 2_500, 8_192
 #: Bytes of a text that are searched for anchors at a time, with an overlap that loses no string.
 CHUNK = 1 << 20
 
@@ -82,6 +81,11 @@ def anchors(text: bytes, length: int, k: int = ANCHOR) -> tuple[np.ndarray, np.n
     return at, np.concatenate(hashes)[one]
 
 
+def _digest(context: bytes, left: int) -> bytes:
+    """16 bytes that two strings with as much before their anchors share only if they are equal: a cryptographic hash."""
+    return hashlib.blake2b(context, digest_size=16, salt=left.to_bytes(4, "little")).digest()
+
+
 def _find_anchors(length: int):
     reach = length - ANCHOR
 
@@ -93,8 +97,7 @@ def _find_anchors(length: int):
                 if not len(at):
                     continue
                 left, right = np.minimum(at, reach), np.minimum(len(text) - at, length)
-                digest = xxhash.xxh3_128_digest
-                same = b"".join([digest(text[p - a : p + b], a) for p, a, b in zip(at.tolist(), left.tolist(), right.tolist())])
+                same = b"".join([_digest(text[p - a : p + b], a) for p, a, b in zip(at.tolist(), left.tolist(), right.tolist())])
                 d = np.frombuffer(same, dtype=np.int64).reshape(-1, 2)
                 row.append(np.full(len(at), r))
                 cols.append(np.column_stack([h.view(np.int64), d, at, left, right]))
@@ -142,32 +145,67 @@ def _sort_group(length: int):
     return run
 
 
-def _crowded(contexts: DataFrame, length: int) -> DataFrame:
-    """(id, th, start, end) for anchors with more contexts than a task should hold: every string is counted by its digest.
+def _halve(length: int):
+    """Contexts of crowded buckets, cut for either half of the strings that a bucket compares.
 
-    A context sends a row for each string in it that holds the anchor; the work grows with the bytes.
+    A bucket compares the strings that begin s bytes before the anchor, s from least to most. Those of one
+    half share `core`, more bytes around the anchor than the anchor, whose hash is the key of a smaller bucket;
+    a context is cut to what the strings of that half can hold.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            row, out = [], []
-            for r, (left, text) in enumerate(zip(batch.column("left").to_pylist(), batch.column("context").to_pylist())):
-                for lo in range(0, min(left, len(text) - length) + 1):
+            row, out, digests, strings = [], [], [], []
+            given = (batch.column(c).to_pylist() for c in ("left", "context", "least", "most"))
+            for r, (left, text, least, most) in enumerate(zip(*given)):
+                right, middle = len(text) - left, (least + most) // 2
+                for lo, hi in ((least, middle), (middle + 1, most)):
+                    if max(lo, length - right) > min(hi, left):
+                        continue  # no string of this half
+                    core = _digest(text[left - lo : left + length - hi], lo)
+                    a, b = min(left, hi), min(right, length - lo)
+                    cut = text[left - a : left + b]
                     row.append(r)
-                    out.append((lo - left, *np.frombuffer(xxhash.xxh3_128_digest(text[lo : lo + length], left - lo), dtype=np.int64).tolist()))
-            c = np.array(out, dtype=np.int64).reshape(-1, 3)
+                    out.append((lo, hi, a))
+                    digests.append(core[:8] + _digest(cut, a))
+                    strings.append(cut)
+            c, d = np.array(out, dtype=np.int64).reshape(-1, 3), np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 3)
             which = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k).take(which) for k in ("id", "th", "anchor", "at")], *[pa.array(c[:, k]) for k in range(3)]],
-                names=["id", "th", "anchor", "at", "shift", "d1", "d2"],
+                [*[batch.column(k).take(which) for k in ("id", "th", "at")], *[pa.array(x[:, k]) for x in (d, c) for k in range(3)], pa.array(strings, pa.binary())],
+                names=["id", "th", "at", "anchor", "d1", "d2", "least", "most", "left", "context"],
             )
 
-    kinds = contexts.schema["id"].dataType.simpleString()
-    each = shared_table(contexts.mapInArrow(spread, f"id {kinds}, th long, anchor long, at long, shift long, d1 long, d2 long"))
-    twice = shared_table(each.groupBy("anchor", "shift", "d1", "d2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    hit = each.join(twice, ["anchor", "shift", "d1", "d2"])
-    ends = hit.groupBy("id", "th", "at").agg(F.min("shift").alias("lo"), F.max("shift").alias("hi"))
-    return ends.select("id", "th", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi") + length).alias("end"))
+    return run
+
+
+def _split_crowds(contexts: DataFrame, length: int, crowd: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(parts of contexts whose buckets have at most `crowd` of them, spans found on the way).
+
+    contexts: (id, th, anchor, at, left, context), distinct within a bucket. Crowded buckets are halved by
+    where the compared strings begin; contexts that become equal cover each other and one of them goes on.
+    A half of one string has nothing left to tell contexts apart, so this ends after log2(length) steps.
+    """
+    kind = contexts.schema["id"].dataType.simpleString()
+    columns = ["id", "th", "anchor", "at", "least", "most", "left", "context"]
+    contexts = contexts.withColumns({"least": F.lit(0).cast("long"), "most": F.lit(length - ANCHOR).cast("long")}).select(columns)
+    parts, spans = [], []
+    while True:
+        sizes = shared_table(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+        small, crowded = sizes.where(F.col("n") <= crowd).select("anchor"), sizes.where(F.col("n") > crowd).select("anchor")
+        parts.append(contexts.join(small, "anchor", "left_semi").select("id", "th", "anchor", "at", "left", "context"))
+        if crowded.isEmpty():
+            return parts, spans
+        large = contexts.join(crowded, "anchor", "left_semi")
+        made = f"id {kind}, th long, at long, anchor long, d1 long, d2 long, least long, most long, left long, context binary"
+        halves = shared_table(large.mapInArrow(_halve(length), made)).withColumn("salt", salt("id", "th", "at"))
+        key = ["anchor", "d1", "d2"]
+        chosen = F.min_by(F.struct("id", "th", "at", "least", "most", "left", "context"), F.struct("id", "th", "at")).alias("c")
+        classes = shared_table(halves.groupBy(*key).agg(chosen, F.count("*").alias("n"), salts("salt").alias("salts")))
+        equal = halves.join(with_salts(classes.where("n > 1").select(*key, "salts")), [*key, "salt"])
+        begin = F.col("at") - F.col("left")
+        spans.append(equal.select("id", "th", begin.alias("start"), (begin + F.octet_length("context")).alias("end")))
+        contexts = classes.select("c.*", "anchor").select(columns)
 
 
 def repeated_spans(texts: DataFrame, length: int = 400, crowd: int = CROWD) -> DataFrame:
@@ -177,34 +215,33 @@ def repeated_spans(texts: DataFrame, length: int = 400, crowd: int = CROWD) -> D
 
     Equal strings share an anchor, so strings are compared within buckets of equal anchors only. An
     occurrence's context is all that strings through its anchor can hold. Contexts equal to another (by a
-    128-bit digest) are covered whole and never meet; the distinct ones of a bucket meet in a suffix sort.
-    Buckets with more than `crowd` distinct contexts are counted string by string instead.
+    128-bit cryptographic digest) are covered whole and one of them goes on; the distinct ones of a bucket meet
+    in a suffix sort. A bucket with more than `crowd` distinct contexts is first split into smaller ones by
+    the bytes around its anchor, as often as needed; all buckets end in the sort.
     """
     kind = texts.schema["id"].dataType.simpleString()
     unzip = lambda f: lambda batches: f(_unzipped(batches))
     names = f"id {kind}, th long, anchor long, d1 long, d2 long, at long, left int, right int"
-    found = shared_table(texts.mapInArrow(unzip(_find_anchors(length)), names))
+    found = shared_table(texts.mapInArrow(unzip(_find_anchors(length)), names)).withColumn("salt", salt("id", "th", "at"))
     firsts = [F.first(c).alias(c) for c in ("id", "th", "at", "left", "right")]
-    classes = shared_table(found.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), *firsts))
-    per_anchor = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), F.max("n").alias("most"))
-    meet = classes.join(per_anchor.where("contexts > 1").select("anchor", "contexts"), "anchor")
+    classes = shared_table(found.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), salts("salt").alias("salts"), *firsts))
+    several = classes.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    meet = classes.join(several.select("anchor"), "anchor", "left_semi")
     place = F.struct("anchor", "at", "left", "right")
     places = meet.groupBy("id", "th").agg(F.collect_list(place).alias("places"))
     cut = join_back(texts, places, ["id", "th"], "inner").select("id", "th", "z", "places")
     contexts = shared_table(cut.mapInArrow(_cut_contexts(length), f"id {kind}, th long, anchor long, at long, left long, context binary"))
-    sizes = shared_table(per_anchor.where("contexts > 1").select("anchor", "contexts"))
-    total, largest = sizes.agg(F.sum("contexts"), F.max("contexts")).first()
-    span = f"id {kind}, th long, start long, end long"
-    small = contexts
-    if (largest or 0) > crowd:
-        small = contexts.join(sizes.where(F.col("contexts") <= crowd).select("anchor"), "anchor", "left_semi")
-    groups = max(1, -(-(total or 0) // GROUP))
-    small = small.withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    spans = small.groupBy("g").applyInPandas(_sort_group(length), span)
-    if (largest or 0) > crowd:
-        spans = spans.unionByName(_crowded(contexts.join(sizes.where(F.col("contexts") > crowd).select("anchor"), "anchor", "left_semi"), length))
-    copies = shared_table(classes.where("n > 1").select("anchor", "d1", "d2"))
-    whole = found.join(copies, ["anchor", "d1", "d2"])
+    parts, more = _split_crowds(contexts, length, crowd)
+    groups = max(1, -(-contexts.count() // GROUP))
+    spans = None
+    for part in parts:
+        dealt = part.withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
+        sorted_ = dealt.groupBy("g").applyInPandas(_sort_group(length), f"id {kind}, th long, start long, end long")
+        spans = sorted_ if spans is None else spans.unionByName(sorted_)
+    for part in more:
+        spans = spans.unionByName(part)
+    copies = with_salts(classes.where("n > 1").select("anchor", "d1", "d2", "salts"))
+    whole = found.join(copies, ["anchor", "d1", "d2", "salt"])
     whole = whole.select("id", "th", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))
     return spans.unionByName(whole)
 

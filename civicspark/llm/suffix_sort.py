@@ -106,12 +106,31 @@ def sort_rows(c: Contexts, forward: bool) -> np.ndarray:
     return order
 
 
-def neighbours(c: Contexts, order: np.ndarray, forward: bool) -> np.ndarray:
-    """Common extension of each sorted row with the one before it; -1 where a bucket begins."""
+def neighbours(c: Contexts, order: np.ndarray, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Common extension of each sorted row with the one before it (-1 where a bucket begins), and the buckets where hashes erred.
+
+    Both the extensions and the order of neighbours are verified on the bytes; if all neighbours of a bucket
+    are in order, so is the bucket, and the least extension between two rows is what they have in common.
+    """
     out = np.full(len(order), -1, dtype=np.int64)
     same = np.flatnonzero(c.bucket[order[1:]] == c.bucket[order[:-1]]) + 1
-    out[same] = c.common(order[same - 1], order[same], forward)
-    return out
+    i, j = order[same - 1], order[same]
+    out[same] = c.common(i, j, forward)
+    columns = np.arange(c.at, c.width) if forward else np.arange(c.at - 1, -1, -1)
+    end_i, end_j = (c.right[i], c.right[j]) if forward else (c.left[i], c.left[j])
+    wrong = np.zeros(len(same), dtype=bool)
+    for lo in range(0, len(same), 1024):
+        part = np.s_[lo : lo + 1024]
+        a, b = c.text[i[part][:, None], columns], c.text[j[part][:, None], columns]
+        differ = np.column_stack([a != b, np.ones(len(a), dtype=bool)]).argmax(axis=1)
+        shared = np.minimum(differ, np.minimum(end_i[part], end_j[part]))
+        ended = (shared == end_i[part]) | (shared == end_j[part])
+        at = np.minimum(shared, len(columns) - 1)
+        rows = np.arange(len(a))
+        by_byte = a[rows, at] < b[rows, at] if len(columns) else np.ones(len(a), dtype=bool)
+        by_end = (end_i[part] < end_j[part]) | (end_i[part] == end_j[part]) & (i[part] < j[part])
+        wrong[part] = (shared != out[same[part]]) | ~np.where(ended, by_end, by_byte)
+    return out, np.unique(c.bucket[j[wrong]])
 
 
 def _exact(c: Contexts, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,20 +153,20 @@ def repeats(c: Contexts, length: int) -> tuple[np.ndarray, np.ndarray]:
 
     Rows agree on such a string if they agree on s bytes back from the column and on length - s from it
     on. Both suffix orders give classes of rows by neighbours' common extensions, so a string repeats where
-    two rows share both classes. What hashes found is verified on the bytes.
+    two rows share both classes. Buckets in which hashes collide are compared byte by byte instead.
     """
     low, high = np.full(c.n, -1, dtype=np.int64), np.full(c.n, -1, dtype=np.int64)
     if c.n < 2:
         return low, high
-    partner = np.full((2, c.n), -1, dtype=np.int64)
     order = [sort_rows(c, f) for f in (False, True)]
-    common = [neighbours(c, o, f) for o, f in zip(order, (False, True))]
+    common, wrong = zip(*(neighbours(c, o, f) for o, f in zip(order, (False, True))))
+    wrong = np.union1d(*wrong)
     reach = []
     for o, lcp in zip(order, common):
         best = np.empty(c.n, dtype=np.int64)
         best[o] = np.maximum(lcp, np.r_[lcp[1:], -1])
         reach.append(best)
-    hopeful = np.isin(c.bucket, np.unique(c.bucket[reach[0] + reach[1] >= length]))
+    hopeful = np.isin(c.bucket, np.setdiff1d(c.bucket[reach[0] + reach[1] >= length], wrong))
     kept = [h[hopeful[h]] for h in order]
     common = [lcp[hopeful[h]] for lcp, h in zip(common, order)]
     rows = np.flatnonzero(hopeful)
@@ -163,22 +182,10 @@ def repeats(c: Contexts, length: int) -> tuple[np.ndarray, np.ndarray]:
         key = classes[0][fit] * (len(rows) + 1) + classes[1][fit]
         by = np.argsort(key, kind="stable")
         twin = np.flatnonzero(key[by[1:]] == key[by[:-1]])
-        if not len(twin):
-            continue
-        for a, b in ((twin, twin + 1), (twin + 1, twin)):
-            found, other = rows[fit[by[a]]], rows[fit[by[b]]]
-            new = low[found] < 0
-            low[found[new]], partner[0, found[new]] = s, other[new]
-            high[found], partner[1, found] = s, other
-    found = np.flatnonzero(low >= 0)
-    wrong = np.zeros(c.n, dtype=bool)
-    cells = np.arange(length)[None, :]
-    for s, with_ in ((low, partner[0]), (high, partner[1])):
-        for part in np.array_split(found, max(1, len(found) // 2048)):
-            columns = c.at - s[part][:, None] + cells
-            alike = (c.text[part[:, None], columns] == c.text[with_[part][:, None], columns]).all(axis=1)
-            wrong[part[~alike]] = True
-    for b in np.unique(c.bucket[wrong]):
+        found = rows[fit[by[np.union1d(twin, twin + 1)]]]
+        low[found] = np.where(low[found] < 0, s, low[found])
+        high[found] = s
+    for b in wrong:
         rows = np.flatnonzero(c.bucket == b)
         low[rows], high[rows] = _exact(c, rows, length)
     return low, high

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from civicspark.llm.suffix_dedup import anchors, remove_repeats
-from civicspark.llm.suffix_sort import Contexts, _exact, repeats, sort_rows
+from civicspark.llm.suffix_sort import Contexts, _exact, neighbours, repeats, sort_rows
 
 
 def slow(texts, length):
@@ -65,6 +65,25 @@ def test_colliding_hashes_are_caught(monkeypatch):
     assert low.tolist() == [-1] * 30 + [0, 0] and high.tolist() == [-1] * 30 + [8, 8]
 
 
+def test_misordered_rows_are_caught(monkeypatch):
+    """Two letters of one hash: the sort takes different rows for equal and their order is wrong in places."""
+    from civicspark.llm import suffix_sort
+
+    letters = suffix_sort.LETTER.copy()
+    letters[98] = letters[97]
+    monkeypatch.setattr(suffix_sort, "LETTER", letters)
+    rng = np.random.default_rng(5)
+    strings = [bytes(rng.choice([97, 98, 99], size=20, p=[0.1, 0.1, 0.8]).astype(np.uint8)) for _ in range(300)]
+    bucket = rng.integers(0, 5, 300)
+    c = Contexts(strings, np.full(300, 8), bucket, 8, 20)
+    assert len(neighbours(c, sort_rows(c, True), True)[1])
+    low, high = repeats(c, 12)
+    for b in range(5):
+        rows = np.flatnonzero(bucket == b)
+        want = _exact(c, rows, 12)
+        assert (low[rows] == want[0]).all() and (high[rows] == want[1]).all()
+
+
 @pytest.mark.parametrize("text", [b"ab" * 900, b"a" * 1500, bytes(range(256)) * 6, b"x" * 399, b""])
 def test_every_string_has_an_anchor(text):
     at, _ = anchors(text, 400)
@@ -77,7 +96,7 @@ def test_whole_table(spark):
     check([tuple(r) for r in docs.collect()], remove_repeats(docs).collect(), 400)
 
 
-@pytest.mark.parametrize("crowd", [32_768, 3])
+@pytest.mark.parametrize("crowd", [8_192, 3])
 def test_edge_cases(spark, crowd):
     rnd = random.Random(9)
     words = lambda n: " ".join("".join(rnd.choice("abcdefghijé") for _ in range(rnd.randint(1, 9))) for _ in range(n))
@@ -87,3 +106,27 @@ def test_edge_cases(spark, crowd):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_bytes", "2 as spans")
     check(rows, remove_repeats(docs, crowd=crowd).collect(), 400)
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_crowded_buckets_are_split_and_sorted(spark, monkeypatch):
+    """One passage with other bytes around it each time: its bucket is far over the limit, and every sort stays under it."""
+    from civicspark.llm import suffix_dedup
+
+    rnd = random.Random(12)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(n))
+    passage = words(70)
+    heads, tails = [words(25) for _ in range(6)], [words(25) for _ in range(6)]
+    rows = [(k, rnd.choice(heads)[rnd.randint(0, 90) :] + passage[rnd.randint(0, 60) : len(passage) - rnd.randint(0, 60)] + rnd.choice(tails)) for k in range(60)]
+    rows += [(60 + k, words(5) + passage + words(5)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = []
+    real = suffix_dedup._split_crowds
+
+    def noted(contexts, *rest):
+        out = real(contexts, *rest)
+        parts.extend(p.groupBy("anchor").count().agg({"count": "max"}).first()[0] or 0 for p in out[0])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_split_crowds", noted)
+    check(rows, remove_repeats(docs, crowd=6).collect(), 400)
+    assert 3 < len(parts) <= 11 and max(parts) <= 6
