@@ -22,26 +22,24 @@ OPEN_BINS = 64
 PER_PACKER = 4096
 #: Bytes of chunks and their ids that a Python worker remembers, what Python adds to each included; past it the memory starts anew.
 MEMO_BYTES = 192 << 20
-#: What a remembered chunk costs besides its characters and ids, and the longest one that is remembered.
-MEMO_EACH, MEMO_CHUNK = 250, 256
+#: What Python needs for a remembered chunk besides its characters and ids.
+MEMO_EACH = 250
 
 
 class Memo(dict):
-    """Chunks with their ids, at most MEMO_BYTES of them: longer texts are not kept, and a full memory is emptied."""
+    """Chunks with their ids, at most `limit` bytes of them: a full memory is emptied."""
 
     def __init__(self, limit: int = MEMO_BYTES):
         super().__init__()
         self.limit, self.used = limit, 0
 
     def keep(self, found: dict[str, bytes]) -> None:
-        for chunk, ids in found.items():
-            if len(chunk) > MEMO_CHUNK or chunk in self:
-                continue
-            cost = MEMO_EACH + 4 * len(chunk) + len(ids)
-            if self.used + cost > self.limit:
-                self.clear()
-                self.used = 0
-            self[chunk] = ids
+        cost = MEMO_EACH * len(found) + 4 * sum(map(len, found)) + sum(map(len, found.values()))
+        if self.used + cost > self.limit:
+            self.clear()
+            self.used = 0
+        if cost <= self.limit:
+            self.update(found)
             self.used += cost
 
 
