@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import SPACE_CHARS, ascii_lower, hash128, join_back, shared_table, text_or_empty
+from civicspark.llm.common import SPACE_CHARS, ascii_lower, hash128, join_back, salt, salts, shared_table, text_or_empty, with_salts
 
 
 def line_key(line: Column) -> Column:
@@ -18,20 +18,21 @@ def _lost_lines(base: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     keyed = base.select("__id", F.xxhash64("__text").alias("__th"), F.posexplode(F.split("__text", "\n", -1)).alias("__pos", "__line"))
     keyed = keyed.select("__id", "__th", "__pos", line_key(F.col("__line")).alias("__key")).where(F.char_length("__key") >= min_chars)
     h1, h2 = hash128(F.col("__key"))
-    occ = shared_table(keyed.select("__id", "__th", "__pos", h1.alias("__h1"), h2.alias("__h2")))
+    occ = shared_table(keyed.select("__id", "__th", "__pos", h1.alias("__h1"), h2.alias("__h2"))).withColumn("salt", salt("__id"))
 
     per_doc = occ
     null_id = F.bool_or(F.col("__id").isNull())
     if min_docs > 2:
-        per_doc = occ.select("__id", "__h1", "__h2").distinct()
+        per_doc = occ.select("__id", "__h1", "__h2", "salt").distinct()
         enough = F.count("*") >= min_docs
     else:  # two documents: the smallest and the largest id differ
         enough = (F.min("__id") != F.max("__id")) | (null_id & F.min("__id").isNotNull())
     keep = F.when(null_id, F.lit(None)).otherwise(F.min("__id"))
-    holders = per_doc.groupBy("__h1", "__h2").agg(keep.alias("__keep"), enough.alias("__enough"))
-    holders = holders.where("__enough").select("__h1", "__h2", "__keep")
+    holders = per_doc.groupBy("__h1", "__h2").agg(keep.alias("__keep"), enough.alias("__enough"), salts("salt").alias("salts"))
+    # a line that very many documents hold meets them in as many parts as there are salts
+    holders = with_salts(holders.where("__enough").select("__h1", "__h2", "__keep", "salts"))
     return (
-        occ.join(holders, ["__h1", "__h2"])
+        occ.join(holders, ["__h1", "__h2", "salt"])
         .where(~F.col("__id").eqNullSafe(F.col("__keep")))
         .groupBy("__id", "__th")
         .agg(F.collect_set("__pos").alias("__lost"))
