@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import SPACE_CHARS, hash128, join_back, shared_table, text_or_empty, words
+from civicspark.llm.common import SPACE_CHARS, hash128, join_back, salt, salts, shared_table, text_or_empty, with_salts, words
 from civicspark.llm.line_dedup import line_key
 
-#: A line is boilerplate of its host in more documents than both of these allow.
-LINE_DOCS, LINE_SHARE = 20, 0.01
+#: A line is boilerplate of its host in more documents than LINE_DOCS, and more than LINE_SHARE of the host's or LINE_MOST.
+LINE_DOCS, LINE_SHARE, LINE_MOST = 5, 0.01, 200
 #: A document is depleted if fewer words stay than this, or a smaller share of its words.
 LEFT_WORDS, LEFT_SHARE = 20, 0.3
 
@@ -65,7 +65,7 @@ def text_rules(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     )
 
 
-def boilerplate_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int, line_share: float) -> DataFrame:
+def boilerplate_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int, line_share: float, line_most: int) -> DataFrame:
     """(__id, __th, removed_words, removed_lines) of rows that hold lines frequent in their host."""
     base = docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host"), text_or_empty(text_col).alias("__text"))
     lines = base.select("__id", "__host", F.xxhash64("__text").alias("__th"), F.posexplode(F.split("__text", "\n", -1)).alias("__pos", "__line"))
@@ -74,12 +74,16 @@ def boilerplate_words(docs: DataFrame, id_col: str, text_col: str, host_col: str
     lines = lines.where(F.btrim("__line", F.lit(SPACE_CHARS)) != "").select(
         "__id", "__host", "__th", "__pos", h1.alias("__h1"), h2.alias("__h2"), F.size(words(F.col("__line"))).alias("__n")
     )
-    lines = shared_table(lines)
+    lines = shared_table(lines).withColumn("salt", salt("__id"))
     size = docs.select(F.col(id_col).alias("__id"), F.col(host_col).alias("__host")).distinct().groupBy("__host").agg(F.count("*").alias("__docs"))
-    seen = lines.select("__host", "__h1", "__h2", "__id").distinct().groupBy("__host", "__h1", "__h2").agg(F.count("*").alias("__in"))
-    often = join_back(seen.where(F.col("__in") > line_docs), size, ["__host"])
-    often = often.where(F.col("__in") > line_share * F.col("__docs")).select("__host", "__h1", "__h2")
-    hit = join_back(lines, often, ["__host", "__h1", "__h2"], "inner")
+    seen = lines.select("__host", "__h1", "__h2", "__id", "salt").distinct()
+    seen = seen.groupBy("__host", "__h1", "__h2").agg(F.count("*").alias("__in"), salts("salt").alias("salts")).where(F.col("__in") > line_docs)
+    # hosts with many frequent lines, and lines that many documents hold, meet their partners in parts
+    seen = shared_table(seen).withColumn("part", salt("__h1", "__h2"))
+    parts = with_salts(join_back(seen.groupBy("__host").agg(salts("part").alias("parts")), size, ["__host"]), "parts").withColumnRenamed("salt", "part")
+    often = join_back(seen, parts, ["__host", "part"], "inner")
+    often = often.where((F.col("__in") > line_share * F.col("__docs")) | (F.col("__in") > line_most))
+    hit = join_back(lines, with_salts(often.select("__host", "__h1", "__h2", "salts")), ["__host", "__h1", "__h2", "salt"], "inner")
     hit = hit.select("__id", "__th", "__pos", "__n").distinct()
     return hit.groupBy("__id", "__th").agg(F.sum("__n").alias("removed_words"), F.count("*").alias("removed_lines"))
 
@@ -91,13 +95,15 @@ def quality_rules(
     host_col: str = "source",
     line_docs: int = LINE_DOCS,
     line_share: float = LINE_SHARE,
+    line_most: int = LINE_MOST,
     left_words: int = LEFT_WORDS,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
     """Judge every document by its own text and by how much of it is boilerplate of its host.
 
-    A line (stripped, A-Z lower-cased) found in more than line_docs documents of a host and in more than
-    line_share of its documents is removed; a document left with fewer than left_words words or less than
+    A line (stripped, A-Z lower-cased) found in more than line_docs documents of a host, which are more than
+    line_share of its documents or more than line_most, is removed: the limit does not rise without end with
+    the host. A document left with fewer than left_words words or less than
     left_share of its words is depleted and rejected. Returns (id_col, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, removed_lines, left_words, kept), a row per input row.
 
@@ -107,7 +113,7 @@ def quality_rules(
     document and summed before the shuffle; no text is shuffled.
     """
     stats = text_rules(docs, id_col, text_col, host_col)
-    whole = join_back(stats, boilerplate_words(docs, id_col, text_col, host_col, line_docs, line_share), ["__id", "__th"])
+    whole = join_back(stats, boilerplate_words(docs, id_col, text_col, host_col, line_docs, line_share, line_most), ["__id", "__th"])
     n, left = F.col("n_words"), F.col("left_words")
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
     return (

@@ -130,7 +130,7 @@ with base as (
     select source, count(*) as docs from documents group by source
 ), often as (
     select source, line_key from worded join hosts using (source)
-    group by source, line_key, docs having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.01 * docs
+    group by source, line_key, docs having count(distinct doc_id) > 5 and (count(distinct doc_id) > 0.01 * docs or count(distinct doc_id) > 200)
 ), gone as (
     select doc_id, count(*) as removed_lines, sum(n) as removed_words from worded join often using (source, line_key) group by doc_id
 ), counted as (

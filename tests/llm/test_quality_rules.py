@@ -8,7 +8,7 @@ from civicspark.llm.quality_rules import quality_rules
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
-def slow(rows, line_docs, line_share, left_words=20, left_share=0.3):
+def slow(rows, line_docs, line_share, left_words=20, left_share=0.3, line_most=200):
     """rows: [(doc_id, text, source)] with distinct ids."""
     docs, holders = defaultdict(set), defaultdict(set)
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
@@ -26,7 +26,7 @@ def slow(rows, line_docs, line_share, left_words=20, left_share=0.3):
         for k in range(len(w) - 7):
             runs[tuple(w[k : k + 8])].append(k)
         repeated = {k + j for at in runs.values() if len(at) > 1 for k in at for j in range(8)}
-        gone = [x for x in lines if len(holders[host, key(x)]) > max(line_docs, line_share * len(docs[host]))]
+        gone = [x for x in lines if len(holders[host, key(x)]) > max(line_docs, min(line_most, line_share * len(docs[host])))]
         left = len(w) - sum(len(split(x)) for x in gone)
         failed = len(w) < 20 or 100 * len(repeated) > 30 * len(w)
         out[i] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated), failed, len(gone), left, not failed and left >= left_words and left >= left_share * len(w))
@@ -36,7 +36,7 @@ def slow(rows, line_docs, line_share, left_words=20, left_share=0.3):
 COLS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_lines", "left_words", "kept")
 
 
-@pytest.mark.parametrize("line_docs,line_share", [(20, 0.01), (2, 0.01)])
+@pytest.mark.parametrize("line_docs,line_share", [(5, 0.01), (2, 0.01), (1, 0.3)])
 def test_whole_table(spark, line_docs, line_share):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
     want = slow([tuple(r) for r in docs.collect()], line_docs, line_share)
@@ -61,3 +61,17 @@ def test_repeated_rows_count_once(spark):
     docs = spark.createDataFrame([(1, line, "a")] * 5 + [(2, line, "a")], "doc_id long, text string, source string")
     got = quality_rules(docs, line_docs=2).collect()
     assert len(got) == 6 and all(r.kept for r in got)
+
+
+def test_the_limit_stops_rising_with_the_host(spark):
+    foot = "all rights reserved by the publisher of this site"
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + (f"\n{foot}" if i < 60 else ""), "a") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most, removed in ((200, 0), (59, 60), (60, 0)):
+        got = {r.doc_id: tuple(r[c] for c in COLS) for r in quality_rules(docs, line_share=0.5, line_most=most).collect()}
+        assert got == slow(rows, 5, 0.5, line_most=most) and sum(r[6] for r in got.values()) == removed
+
+
+def test_the_rules_act_on_the_given_tables(spark):
+    got = quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("removed_lines > 0")
+    assert got.count() > 50
