@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import join_back, shared_table, text_or_empty
+from civicspark.llm.common import join_back, salt, salts, shared_table, text_or_empty, with_salts
 
 #: Documents that one block of the reduction tree rounds in sequence.
 BLOCK = 64
@@ -13,28 +15,43 @@ BLOCK = 64
 TINY = 1e-12
 
 
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """rows with __place, their rank from 0 by a column of distinct values, null last.
+
+    Ranges of the column are sorted side by side; only the ranges' counts, one row each, meet in one window.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, F.col(column).asc_nulls_last()).sortWithinPartitions(F.col(column).asc_nulls_last())
+    dealt = shared_table(dealt.select("*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at")))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    return dealt.join(firsts, "__range").withColumn("__place", F.col("__first") + F.col("__at")).drop("__range", "__at", "__first")
+
+
 def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size, target) from one row per document.
+    """(source, source_size, target, salts) from one row per document, with a column salt.
 
     The sources in code point order, null last, weigh the given weights, repeating, and share `share` of
     all sizes; a target stops at `cap` times its source's size and the excess is shared again by weight.
-    Filled in the order of cap per weight, the capped sources are a prefix, and the first source that
-    stays under its cap gives the level of all others. The windows run over one row per source.
+    A target is the lesser of cap and level times weight. The level rises from round to round, as sources
+    that it fills give their excess to the others, until it fills no more; a round is one sum over the
+    sources, of which there may be any number. salts is the set of the documents' salts.
     """
-    per_source = sizes.groupBy(source).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    t = per_source.withColumn("__w", weight).withColumn("__cap", F.lit(float(cap)) * F.col("source_size"))
-    fill = Window.orderBy(F.col("__cap") / F.col("__w"), F.col(source).asc_nulls_last())
-    everything = Window.partitionBy()
-    t = t.withColumn("__total", F.lit(float(share)) * F.sum("source_size").over(everything))
-    t = t.withColumn("__before", F.coalesce(F.sum("__cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    t = t.withColumn("__weights", F.sum("__w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    t = t.withColumn("__level", (F.col("__total") - F.col("__before")) / F.col("__weights"))
-    free = F.col("__cap") > F.col("__level") * F.col("__w")
-    level = F.min(F.when(free, F.struct((F.col("__cap") / F.col("__w")).alias("r"), F.col("__level").alias("level")))).over(everything)["level"]
-    target = F.when(free & level.isNotNull(), F.col("__w") * level).otherwise(F.col("__cap"))
-    return t.select(source, "source_size", target.alias("target"))
+    per_source = sizes.groupBy(source).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("source_size"), salts("salt").alias("salts"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("__place"), F.lit(len(weights))) + 1).cast("int"))
+    t = _ranked(per_source, source).withColumn("__w", weight).withColumn("__cap", F.lit(float(cap)) * F.col("source_size"))
+    t = shared_table(t.drop("__place"))
+    level = 0.0
+    while True:  # whole numbers are summed, so the order of the rows does not matter
+        full = F.col("__cap") <= F.lit(level) * F.col("__w")
+        r = t.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("__cap"))).alias("full"), F.sum(F.when(~full, F.col("__w"))).alias("open")).first()
+        above = (share * (r["all"] or 0) - (r["full"] or 0.0)) / r["open"] if r["open"] else math.inf
+        if above <= level or math.isinf(above):
+            level = max(level, above)
+            break
+        level = above
+    target = F.least("__cap", F.lit(level) * F.col("__w"))
+    return t.select(source, "source_size", target.alias("target"), "salts")
 
 
 def _uniform(*cols: Column) -> Column:
@@ -90,19 +107,20 @@ def pivotal_round(rows: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFra
     zero = F.expr(f"named_struct('carry', cast(null as {doc}), 'out', cast(array() as array<struct<id:{kind['id']},size:bigint,take:int>>))")
     sure = F.col("p") < TINY
     done = rows.where(sure).select("group", "id", "size", F.lit(0).alias("take"))
+    rows = rows.withColumn("salt", salt("id"))
     left, level = rows.where(~sure).withColumn("class", F.floor(4 * F.log2(F.col("size") + F.lit(1))).cast("int")), 0
     while True:
-        counts = left.groupBy("group", "class").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        counts = left.groupBy("group", "class").agg(F.ceil(F.count("*") / block).alias("blocks"), salts("salt").alias("salts"))
         if level and counts.where("blocks > 1").isEmpty() and left.groupBy("group").count().where("count > 1").isEmpty():
             break
-        dealt = join_back(left, counts, ["group", "class"])
+        dealt = join_back(left, with_salts(counts), ["group", "class", "salt"])
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "id", "size"), F.col("blocks")))
         members = F.array_sort(F.collect_list(F.struct("size", F.xxhash64(F.lit(seed), "id").alias("h"), "id", "p")))
         folded = dealt.groupBy("group", "class", "block").agg(members.alias("members"))
         folded = folded.select("group", F.aggregate("members", zero, _pivot(seed)).alias("r")).select("group", "r.carry", "r.out")
         folded = shared_table(folded)
         done = done.unionByName(folded.select("group", F.inline("out")))
-        left = folded.where("carry is not null").select("group", "carry.id", "carry.size", "carry.p", F.lit(0).alias("class"))
+        left = folded.where("carry is not null").select("group", "carry.id", "carry.size", "carry.p", F.lit(0).alias("class")).withColumn("salt", salt("id"))
         level += 1
     last = left.select("group", "id", "size", (_uniform(F.lit(seed), F.col("id"), F.col("size")) < F.col("p")).cast("int").alias("take"))
     return done.unionByName(last)
@@ -134,12 +152,12 @@ def mix(
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         F.xxhash64(text).alias("__th"),
     )
-    base = shared_table(base)
-    goals = shared_table(source_targets(base, "group", "size", weights, share, cap))
+    base = shared_table(base).withColumn("salt", salt("id"))
+    goals = shared_table(with_salts(source_targets(base, "group", "size", weights, share, cap)))
     often = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    one = join_back(base.where("size > 0").select("group", "id", "size").distinct(), goals, ["group"])
+    one = join_back(base.where("size > 0").select("group", "id", "size", "salt").distinct(), goals, ["group", "salt"])
     rounded = pivotal_round(one.select("group", "id", "size", (often - F.floor(often)).alias("p")), seed)
-    whole = join_back(base, goals, ["group"]).withColumn("whole", F.floor(often))
+    whole = join_back(base, goals, ["group", "salt"]).withColumn("whole", F.floor(often))
     out = join_back(whole, rounded, ["group", "id", "size"])
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("take", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.withColumn("copies", copies).select(

@@ -1,9 +1,13 @@
+import math
+import struct
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from civicspark.llm.mixing import mix, mixed, pivotal_round
+from civicspark.llm.common import salt
+from civicspark.llm.mixing import BLOCK, mix, mixed, pivotal_round, source_targets
 
 
 def slow_targets(sizes, weights=(5, 2, 1)):
@@ -73,3 +77,76 @@ def test_edge_cases(spark):
     assert out.where("doc_id = 5").count() == next(r.copies for r in got if r.doc_id == 5)
     only_empty = mix(docs.where("coalesce(text, '') = ''")).collect()
     assert [(r.target, r.taken) for r in only_empty] == [(0.0, 0)] * 2
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of integers (4 bytes) and longs (8 bytes, given as pairs)."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def slow_round(rows, seed, block=BLOCK):
+    """rows: [(group, id, size, p)] -> {(group, id, size): take}, one document after the other on each level of the tree."""
+    uniform = lambda *v: spark_hash(seed, *[(x,) for x in v]) % (1 << 52) / (1 << 52)
+    take = {(g, i, n): 0 for g, i, n, p in rows if p < 1e-12}
+    left = [(g, math.floor(4 * math.log2(n + 1)), i, n, p) for g, i, n, p in rows if p >= 1e-12]
+    level = 0
+    while True:
+        crowd, counts = defaultdict(int), defaultdict(int)
+        for g, c, *_ in left:
+            counts[g, c] += 1
+            crowd[g] += 1
+        if level and all(n <= block for n in counts.values()) and all(n == 1 for n in crowd.values()):
+            break
+        blocks = defaultdict(list)
+        for g, c, i, n, p in left:
+            blocks[g, c, spark_hash(seed + level, (i,), (n,)) % -(-counts[g, c] // block)].append((n, spark_hash(seed, (i,)), i, p))
+        left = []
+        for (g, _, _), members in blocks.items():
+            carry = None
+            for n, _, i, p in sorted(members):
+                if carry is None:
+                    carry = (i, n, p)
+                    continue
+                ci, cn, cp = carry
+                total, u = cp + p, uniform(ci, cn, i, n)
+                if abs(total - 1) < 1e-12:
+                    take[g, i, n], take[g, ci, cn], carry = int(u < p), int(u >= p), None
+                elif total < 1:
+                    if u * total < p:
+                        take[g, ci, cn], carry = 0, (i, n, total)
+                    else:
+                        take[g, i, n], carry = 0, (ci, cn, total)
+                elif u * (2 - total) < 1 - p:
+                    take[g, ci, cn], carry = 1, (i, n, total - 1)
+                else:
+                    take[g, i, n], carry = 1, (ci, cn, total - 1)
+            if carry:
+                left.append((g, 0, *carry))
+        level += 1
+    for g, _, i, n, p in left:
+        take[g, i, n] = int(uniform(i, n) < p)
+    return take
+
+
+@pytest.mark.parametrize("seed", [0, 5])
+def test_rounding_against_a_plain_one(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    rows = [(rnd.choice(("a", "a", "a", "b", None)), k, rnd.choice((1, 5, 5, 70, 71, 900)), rnd.choice((0.0, 0.25, 0.5, 0.75, rnd.random()))) for k in range(2500)]
+    rows += [("c", 9000, 3, 0.4)]
+    got = pivotal_round(spark.createDataFrame(rows, "group string, id long, size long, p double"), seed).collect()
+    assert {(r.group, r.id, r["size"]): r["take"] for r in got} == slow_round(rows, seed)
+
+
+def test_targets_of_many_sources(spark):
+    import random
+
+    rnd = random.Random(4)
+    sizes = {f"s{rnd.random()}{'é' * (k % 2)}": rnd.choice((0, 1, 10, 1000, 100_000)) for k in range(700)} | {None: 50, "\U0001f600": 7, "\uffff": 9}
+    rows = spark.createDataFrame([(g, n, k) for k, (g, n) in enumerate(sizes.items())], "g string, size long, id long").withColumn("salt", salt("id"))
+    got = {r.g: r.target for r in source_targets(rows.repartition(9), "g", "size").collect()}
+    assert got == pytest.approx(slow_targets(sizes), rel=1e-12)
