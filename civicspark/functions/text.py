@@ -105,10 +105,70 @@ def unaccent(c: Column) -> Column:
 
 
 def search_tokens(c: Column) -> Column:
-    """Words of a name or a search: lower case, without accents. No stemming."""
+    """Words of a name or a search: lower case, without accents; german_tokens() has their stems."""
     return F.filter(F.split(F.lower(unaccent(c)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
+#: German words that say nothing in a search, without accents.
+STOP_WORDS = (
+    "aber", "alle", "als", "also", "am", "an", "ander", "auch", "auf", "aus", "bei", "bin", "bis", "bist", "da", "damit", "dann", "das", "dass", "dein", "dem",
+    "den", "denn", "der", "des", "dich", "die", "dies", "diese", "diesem", "diesen", "dieser", "dieses", "dir", "doch", "dort", "du", "durch", "ein", "eine",
+    "einem", "einen", "einer", "eines", "er", "es", "etwas", "euch", "euer", "fur", "gegen", "hab", "habe", "haben", "hat", "hatte", "hier", "hin", "hinter",
+    "ich", "ihm", "ihn", "ihnen", "ihr", "ihre", "im", "in", "indem", "ins", "ist", "jede", "jeder", "jedes", "jener", "jetzt", "kann", "kein", "keine",
+    "konnen", "machen", "man", "manche", "mein", "mich", "mir", "mit", "muss", "nach", "nicht", "nichts", "noch", "nun", "nur", "ob", "oder", "ohne", "sehr",
+    "sein", "seine", "sich", "sie", "sind", "so", "sondern", "sonst", "um", "und", "uns", "unser", "unter", "viel", "vom", "von", "vor", "war", "was", "weg",
+    "weil", "weiter", "welche", "wenn", "werde", "werden", "wie", "wieder", "will", "wir", "wird", "wo", "wollen", "zu", "zum", "zur", "zwar", "zwischen",
+)
+
+
+def _stem(word: str) -> str:
+    """The published Snowball stemmer of German for a lower-case word without accents."""
+    vowels = "aeiouy"
+    w = re.sub(f"(?<=[{vowels}])([uy])(?=[{vowels}])", lambda m: m[1].upper(), word)
+
+    def region(start: int) -> int:
+        m = re.compile(f"[{vowels}][^{vowels}]").search(w, start)
+        return m.end() if m else len(w)
+
+    r1 = region(0)
+    r2 = region(r1)
+    r1 = max(r1, min(3, len(w)))
+
+    def ends(*suffixes: str) -> str:
+        return next((x for x in sorted(suffixes, key=len, reverse=True) if w.endswith(x)), "")
+
+    def inside(suffix: str, begin: int) -> bool:
+        return len(w) - len(suffix) >= begin
+
+    x = ends("em", "ern", "er", "e", "en", "es", "s")
+    if x and inside(x, r1) and (x != "s" or w[-2:-1] in tuple("bdfghklmnrt")):
+        w = w[: -len(x)]
+        if x in ("e", "en", "es") and w.endswith("niss"):
+            w = w[:-1]
+    x = ends("en", "er", "est", "st")
+    if x and inside(x, r1) and (x != "st" or len(w) > 5 and w[-3] in "bdfghklmnt"):
+        w = w[: -len(x)]
+    x = ends("end", "ung", "ig", "ik", "isch", "lich", "heit", "keit")
+    if x and inside(x, r2) and not (x in ("ig", "ik", "isch") and w[: -len(x)].endswith("e")):
+        w = w[: -len(x)]
+        more = {"end": ("ig",), "ung": ("ig",), "lich": ("er", "en"), "heit": ("er", "en"), "keit": ("lich", "ig")}.get(x, ())
+        y = ends(*more)
+        if y and inside(y, r1 if x in ("lich", "heit") else r2) and not (x in ("end", "ung") and w.endswith("eig")):
+            w = w[: -len(y)]
+    return w.lower()
+
+
+def german_tokens(c: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """search_tokens() without stop words, as stems: the full-text form of a name or a search."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        left = frozenset(stop_words)
+        return s.map(lambda words: [_stem(w) for w in words if w not in left], na_action="ignore")
+
+    return run(search_tokens(c))
+
+
 def format_query(c: Column) -> Column:
     """A search as prefix terms that all have to match: "a b" becomes "a:* & b:*"."""
     parts = F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}_]", " "), " +"), lambda w: w != "")
@@ -173,21 +233,25 @@ def without_contacts(c: Column) -> Column:
 
 
 class _MainText(HTMLParser):
-    """Text inside the elements of a tag, or of a tag with a class, without scripts and styles; and hrefs."""
+    """Text inside the elements that a tag, a class and a role choose, without scripts and styles; and links."""
 
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-    def __init__(self, tag: str, cls: str | None):
+    def __init__(self, tag: str, cls: str | None, role: str | None = None, link_cls: str | None = None):
         super().__init__(convert_charrefs=True)
-        self.tag, self.cls, self.depth, self.mute, self.out, self.links = tag, cls, 0, 0, [], []
+        self.tag, self.cls, self.role, self.link_cls = tag, cls, role, link_cls
+        self.open: list[tuple[str, bool]] = []  # tags not closed yet, and whether their class is link_cls
+        self.depth, self.mute, self.out, self.links = 0, 0, [], []
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
-        if tag == "a" and attrs.get("href"):
-            self.links.append((attrs.get("class") or "", attrs["href"]))
+        classes = (attrs.get("class") or "").split()
+        if tag == "a" and attrs.get("href") and (self.link_cls is None or self.link_cls in classes or any(inside for _, inside in self.open)):
+            self.links.append(attrs["href"])
         if tag in self.VOID:
             return
-        hit = (self.tag == "*" or tag == self.tag) and (self.cls is None or self.cls in (attrs.get("class") or "").split())
+        hit = (self.tag == "*" or tag == self.tag) and (self.cls is None or self.cls in classes) and (self.role is None or attrs.get("role") == self.role)
+        self.open.append((tag, self.link_cls in classes))
         if self.depth or hit:
             self.depth += 1
         self.mute += tag in ("script", "style")
@@ -195,6 +259,8 @@ class _MainText(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.VOID:
             return
+        if self.open:
+            self.open.pop()
         self.depth -= bool(self.depth)
         self.mute -= bool(self.mute and tag in ("script", "style"))
 
@@ -203,10 +269,13 @@ class _MainText(HTMLParser):
             self.out.append(data)
 
 
-def main_text(pages: DataFrame, html_col: str = "html", tag: str = "article", cls: str | None = None) -> DataFrame:
-    """pages with main_text, the text of the chosen elements, and links, all hrefs in order.
+def main_text(
+    pages: DataFrame, html_col: str = "html", tag: str = "article", cls: str | None = None, role: str | None = None, link_cls: str | None = None
+) -> DataFrame:
+    """pages with main_text, the text of the elements of a tag, class and role, and links, the hrefs in order.
 
-    Null pages have null text and no links; pages are independent and rows stream through in batches.
+    With link_cls only links that have this class or stand in an element with it count. Null pages have null
+    text and no links; pages are independent and rows stream through in batches.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,16 +286,27 @@ def main_text(pages: DataFrame, html_col: str = "html", tag: str = "article", cl
                     texts.append(None)
                     links.append([])
                     continue
-                parser = _MainText(tag, cls)
+                parser = _MainText(tag, cls, role, link_cls)
                 parser.feed(page)
                 texts.append(re.sub(r"[ \t]*\n\s*", "\n", "".join(parser.out)).strip())
-                links.append([href for _, href in parser.links])
+                links.append(parser.links)
             yield rows.assign(main_text=texts, links=links)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
     return pages.mapInPandas(run, f"{kinds}, main_text string, links array<string>")
 
 
+def download_link(pages: DataFrame, site: str, html_col: str = "html", link_cls: str = "download-btn") -> DataFrame:
+    """pages with download_url: the first link in an element of the class, after the site's address; null if there is none."""
+    first = F.get("links", F.lit(0))
+    return main_text(pages, html_col, link_cls=link_cls).withColumn("download_url", F.concat(F.lit(site), first)).drop("main_text", "links")
+
+
+def float_or(c: Column, default: float) -> Column:
+    """The number a text begins with, or the default where it begins with none."""
+    return F.coalesce(F.regexp_extract(c, r"^([+-]?\d+(\.\d+)?([eE][+-]?\d+)?)", 1).try_cast("double"), F.lit(float(default)))
+
+
 def text_to_html(c: Column) -> Column:
     """Paragraphs and line breaks of plain text as HTML."""
     safe = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

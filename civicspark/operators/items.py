@@ -79,22 +79,23 @@ def detail_link(point: Column, item_id: Column, kind: Column) -> Column:
 def map_documents(found: DataFrame, sources: DataFrame, *keep: Column) -> DataFrame:
     """keep, and document: one JSON text per item for the map, with its source's colour.
 
-    found: kind, id, title, lng, lat and perhaps geometry, source_id, participation_open. A missing point or
-    geometry is left out of the position; the item's own fields stay though they are null.
+    found: kind, id, title, lng, lat and perhaps geometry, positions, source_id, participation_open. The item's own
+    fields stay though they are null; a point or geometry that is missing is left out of a position.
     """
-    point = F.when(F.col("lng").isNotNull(), F.struct("lat", "lng"))
-    position = [F.col("kind").alias("type"), F.col("id"), point.alias("point")]
-    if "geometry" in found.columns:
-        position.append(F.col("geometry"))
-    dressed = found.join(sources, "source_id", "left")
-    text = lambda name: F.coalesce(F.to_json(F.struct(F.col(name).alias("v"))).substr(F.lit(5), F.length(F.to_json(F.struct(F.col(name).alias("v")))) - 5), F.lit("null"))
-    fields = [
-        ("type", "kind"), ("id", "id"), ("title", "title"), ("participation_open", "participation_open"), ("source", "short_name"), ("color", "color"),
-    ]
-    value = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(text(c))
-    parts = [F.concat(F.lit(f'"{name}":'), value(c)) for name, c in fields]
-    positions = F.concat(F.lit('"positions":'), F.to_json(F.array(F.struct(*position))))
-    document = F.concat(F.lit("{"), F.concat_ws(",", *parts, positions), F.lit("}"))
+    if "positions" in found.columns:
+        positions = F.col("positions")
+    else:
+        point = F.when(F.col("lng").isNotNull() & F.col("lat").isNotNull(), F.struct("lat", "lng"))
+        fields = [F.col("kind").alias("type"), F.col("id"), point.alias("point")]
+        if "geometry" in found.columns:
+            fields.append(F.col("geometry"))
+        positions = F.array(F.struct(*fields))
+    # to_json() treats the nulls of all levels alike, so the positions are written apart and set in as they are
+    fields = F.to_json(
+        F.struct(F.col("kind").alias("type"), "id", "title", "participation_open", F.col("short_name").alias("source"), "color"), {"ignoreNullFields": "false"}
+    )
+    document = F.concat(F.expr("left(fields, length(fields) - 1)"), F.lit(',"positions":'), F.to_json("written"), F.lit("}"))
+    dressed = found.join(sources, "source_id", "left").withColumns({"fields": fields, "written": positions})
     return dressed.select(*keep, document.alias("document"))
 
 

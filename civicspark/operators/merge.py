@@ -79,28 +79,59 @@ def replace_mentions(old: DataFrame, touched: DataFrame, new: DataFrame, key: st
     return old.join(touched.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def apply_subscription_events(subscriptions: DataFrame, events: DataFrame, metres: float = 100.0) -> DataFrame:
-    """Subscriptions after events (seq, op, user_id, lng, lat, radius_m): subscribe, update and unsubscribe at a point.
-
-    The last event of a user within a few metres of a point counts. A subscribe without a radius takes 2000
-    metres; update and unsubscribe change the user's subscriptions within `metres` of the point.
+def apply_subscription_events(subscriptions: DataFrame, events: DataFrame, metres: float = 100.0, default_radius: int = 2000) -> DataFrame:
+    """Subscriptions after events (seq, op, user_id, lng, lat, radius_m), which happen one after the other in the order of seq.
+
+    An event is about the user's subscription within `metres` of its point, the one with the smallest id of
+    several. subscribe adds one where there is none (default_radius without a radius) and else sets its
+    radius; update sets the radius of one that is there; unsubscribe takes it away. What an event adds or
+    takes, those after it see. An event without a radius changes none; without a user, point or known op nothing.
+    Only users with events are folded, each over its own subscriptions; no user sees another's.
+    """
+    columns = subscriptions.columns
+    kind = {f.name: f.dataType for f in subscriptions.schema}
+    entry = F.struct(*columns)
+    happened = events.where("user_id is not null and lng is not null and lat is not null")
+    happened = happened.select("user_id", F.struct("seq", "op", "lng", "lat", F.col("radius_m").cast(kind["radius_m"]).alias("radius_m")).alias("e"))
+    queues = happened.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("queue"))
+    touched = subscriptions.join(queues.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("own"))
+    shape = f"array<struct<{','.join(f'{c}:{kind[c].simpleString()}' for c in columns)}>>"
+
+    def with_radius(sub: Column, radius: Column) -> Column:
+        return F.struct(*[(radius if c == "radius_m" else sub[c]).alias(c) for c in columns])
+
+    def step(own: Column, e: Column) -> Column:
+        near = F.filter(own, lambda x: haversine_m(x.lng, x.lat, e.lng, e.lat) <= metres)
+        hit = F.array_min(F.transform(near, lambda x: x.sub_id))
+        changed = F.transform(own, lambda x: F.when((x.sub_id == hit) & e.radius_m.isNotNull(), with_radius(x, e.radius_m)).otherwise(x))
+        value = {
+            "sub_id": F.xxhash64(F.col("user_id"), e.seq, e.lng, e.lat), "user_id": F.col("user_id"), "lng": e.lng, "lat": e.lat,
+            "radius_m": F.coalesce(e.radius_m, F.lit(default_radius)),
+        }
+        new = F.struct(*[value.get(c, F.lit(None)).cast(kind[c]).alias(c) for c in columns])
+        return (
+            F.when((e.op == "unsubscribe") & hit.isNotNull(), F.filter(own, lambda x: x.sub_id != hit))
+            .when(e.op.isin("subscribe", "update") & hit.isNotNull(), changed)
+            .when(e.op == "subscribe", F.concat(own, F.array(new)))
+            .otherwise(own)
+        )
+
+    before = F.coalesce("own", F.array().cast(shape))
+    after = queues.join(touched, "user_id", "left").select("user_id", F.aggregate("queue", before, step).cast(shape).alias("own"))
+    others = subscriptions.join(queues.select("user_id"), "user_id", "left_anti")
+    return others.select(columns).unionByName(after.select(F.inline("own")).select(columns))
+
+
+def upsert_news(old: DataFrame, batch: DataFrame, old_mentions: DataFrame, mentions: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(items, mentions) after a batch of analysed news.
+
+    old and batch: source_id, external_id and others; old has id, inserted_at, updated_at too. mentions: those of the
+    batch by source_id and external_id, with kind and target_id. An item of the batch has its mentions replaced as a
+    whole, none included, and keeps its id; items outside the batch keep theirs.
     """
-    last = events.groupBy("user_id", F.round("lng", 4).alias("__x"), F.round("lat", 4).alias("__y")).agg(
-        F.max_by(F.struct("op", "lng", "lat", "radius_m", "seq"), "seq").alias("e")
-    )
-    last = last.select("user_id", "e.*").select("user_id", *[F.col(c).alias(f"e_{c}") for c in ("op", "lng", "lat", "radius_m", "seq")])
-    near = haversine_m(F.col("lng"), F.col("lat"), F.col("e_lng"), F.col("e_lat")) <= metres
-    hit = subscriptions.join(last, "user_id").where(near)
-    verdict = hit.groupBy("sub_id").agg(F.max_by(F.struct("e_op", "e_radius_m"), "e_seq").alias("v"))
-    kept = subscriptions.join(verdict, "sub_id", "left").where("v is null or v.e_op <> 'unsubscribe'")
-    kept = kept.withColumn("radius_m", F.coalesce(F.col("v.e_radius_m"), F.col("radius_m"))).select(subscriptions.columns)
-    known = hit.select("user_id", "e_seq").distinct()
-    added = last.where("e_op = 'subscribe'").join(known, ["user_id", "e_seq"], "left_anti")
-    made = added.select(
-        F.xxhash64("user_id", "e_lng", "e_lat").cast(subscriptions.schema["sub_id"].dataType).alias("sub_id"),
-        "user_id",
-        F.coalesce("e_radius_m", F.lit(2000)).cast(subscriptions.schema["radius_m"].dataType).alias("radius_m"),
-        F.col("e_lng").alias("lng"),
-        F.col("e_lat").alias("lat"),
-    )
-    return kept.unionByName(made.select(subscriptions.columns))
+    keys = ["source_id", "external_id"]
+    items = merge_snapshot(old, batch, keys, as_of)
+    ids = items.select(*keys, F.col("id").alias("news_item_id"))
+    touched = ids.join(batch.select(*keys).distinct(), keys, "left_semi")
+    new = mentions.join(touched, keys).select("news_item_id", "kind", "target_id").distinct()
+    return items, replace_mentions(old_mentions.select("news_item_id", "kind", "target_id"), touched, new)

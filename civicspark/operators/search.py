@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.functions.text import search_tokens, unaccent, weighted_levenshtein
+from civicspark.functions.text import search_tokens, weighted_levenshtein
 
 SHOWN = 10
 
@@ -31,26 +33,27 @@ def _grams(c: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, n))
 
 
-def search_contains(searches: DataFrame, streets: DataFrame, shown: int = SHOWN) -> DataFrame:
+def search_contains(searches: DataFrame, streets: DataFrame, shown: int = SHOWN, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
     """Names that contain a search of three characters or more, or of whose words each search word begins one.
 
-    Ranked by numbers, weighted edit distance and name. Either way the longest search word stands in the
-    unaccented name, so its first three characters are the key of an inverted index that finds the candidates.
+    Ranked by numbers, weighted edit distance and name. tokens makes the words of both sides, such as
+    german_tokens() for stems without stop words. Names that contain the search share its first three
+    characters with it, and names found by words the longest word's first three; these are the keys of an
+    inverted index that finds the candidates. Searches and names are told apart by their whole rows.
     """
-    flat = F.lower(unaccent(F.col("search")))
-    words = search_tokens(F.col("search"))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = searches.where(F.length("search") >= 3).withColumns({"__flat": flat, "__words": words})
-    asked = asked.withColumn("__k", F.substring(longest, 1, 3)).where(F.col("__k").isNotNull())
-    name = F.lower(unaccent(F.col("name")))
-    named = streets.withColumns({"__name": name, "__tokens": search_tokens(F.col("name"))})
-    sizes = [F.when(F.length("__name") >= n, _grams(F.col("__name"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
-    named = named.withColumn("__k", F.explode(F.array_distinct(F.flatten(F.array(*sizes)))))
-    pairs = asked.join(named, "__k")
-    part = F.contains(F.lower("name"), F.lower("search"))
-    every = F.forall("__words", lambda w: F.exists("__tokens", lambda t: F.startswith(t, w)))
-    found = pairs.where(part | every).withColumn("cost", weighted_levenshtein(F.lower("search"), F.lower("name")))
-    found = found.drop("__k", "__flat", "__words", "__name", "__tokens")
+    asked = searches.where(F.length("search") >= 3).withColumns({"__low": F.lower("search"), "__words": tokens(F.col("search"))})
+    longest = F.array_max(F.transform("__words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keys = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("c"), F.substring("__low", 1, 3)), F.concat(F.lit("w"), F.substring(longest, 1, 3)))))
+    asked = asked.withColumn("__k", F.explode(keys))
+    named = streets.withColumns({"__name": F.lower("name"), "__tokens": tokens(F.col("name"))})
+    inside = F.when(F.length("__name") >= 3, _grams(F.col("__name"), 3)).otherwise(F.array().cast("array<string>"))
+    heads = F.flatten(F.transform("__tokens", lambda t: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(t, F.lit(1), n))))
+    index = F.concat(F.transform(inside, lambda g: F.concat(F.lit("c"), g)), F.transform(heads, lambda h: F.concat(F.lit("w"), h)))
+    pairs = asked.join(named.withColumn("__k", F.explode(F.array_distinct(index))), "__k")
+    part = F.contains("__name", F.col("__low"))
+    every = (F.size("__words") > 0) & F.forall("__words", lambda w: F.exists("__tokens", lambda t: F.startswith(t, w)))
+    found = pairs.where(part | every).drop("__k", "__low", "__words", "__name", "__tokens").distinct()
+    found = found.withColumn("cost", weighted_levenshtein(F.lower("search"), F.lower("name")))
     return _rank(found, F.desc("street_number_count"), F.col("cost"), F.col("name"), F.col("district"), shown=shown)
 
 

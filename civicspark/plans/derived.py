@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2001-08-01 00:00:00"
@@ -74,22 +74,39 @@ def street_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct words of the benchmark passages as places: numbered in order, every third name in a second district too."""
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, n): distinct words of the benchmark passages, numbered by a hash of theirs, which needs no order over all."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name"))
     words = words.where(F.col("name").rlike("^[A-Za-z]{7,}$")).distinct()
-    return _numbered(words)
+    return words.withColumn("n", F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 12), 16, 10).cast("long"))
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """The gazetteer is a dimension of some thousand names: one window over it numbers them."""
-    n = words.withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long"))
-    kind = F.element_at(F.array(F.lit("Park"), F.lit("School"), F.lit("LOR")), (F.col("id") % 3 + 1).cast("int"))
-    place = n.select("id", "name", F.concat(F.lit("src"), (F.col("id") % 20).cast("string")).alias("district"), kind.alias("type"))
-    again = n.where("id % 3 = 0").select(
-        (F.col("id") + 1_000_000).alias("id"), "name", F.concat(F.lit("src"), ((F.col("id") + 7) % 20).cast("string")).alias("district"), kind.alias("type")
+def _districted(words: DataFrame, again: Column, shift: int) -> DataFrame:
+    """(id, name, district): each word in a district of its own, and those of `again` in a second one too."""
+    district = lambda k: F.concat(F.lit("src"), (k % 20).cast("string")).alias("district")
+    return words.select(F.col("n").alias("id"), "name", district(F.col("n")), "n").unionByName(
+        words.where(again).select((F.col("n") + 1).alias("id"), "name", district(F.col("n") + shift), "n")
     )
-    return place.unionByName(again)
+
+
+def _typed(places: DataFrame) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("Park"), F.lit("School"), F.lit("LOR")), (F.col("n") % 3 + 1).cast("int"))
+    return places.select("id", "name", "district", kind.alias("type"))
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as places: every third name in a second district too."""
+    return _typed(_districted(_words(spark, sf_dir), F.col("n") % 3 == 0, 7))
+
+
+def tag_gazetteer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(streets, numbers, places): words as streets, as places, and as both; streets have up to fifteen numbers, some with a letter."""
+    words = _words(spark, sf_dir)
+    streets = _districted(words.where("n % 2 = 0"), F.col("n") % 10 == 0, 3).drop("n")
+    places = _typed(_districted(words.where("n % 4 > 0"), F.col("n") % 12 == 3, 7))
+    numbers = streets.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(15), (2 + F.col("id") % 14).cast("int")))))
+    number = F.concat(F.col("k").cast("string"), F.when(F.col("k") % 3 == 0, "A").otherwise(""))
+    return streets, numbers.select((F.col("id") * 16 + F.col("k")).alias("id"), F.col("id").alias("geo_street_id"), number.alias("number")), places
 
 
 def street_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +144,10 @@ ORACLE = {
     "gazetteer": """words as (
     select distinct unnest(string_split(text, ' ')) as name from benchmark
 ), numbered as (
-    select name, row_number() over (order by name) as n from words where regexp_full_match(name, '[A-Za-z]{7,}')
+    select name, cast('0x' || md5(name)[1:12] as bigint) as n from words where regexp_full_match(name, '[A-Za-z]{7,}')
 ), gazetteer as (
     select n as id, name, 'src' || (n % 20) as district, (['Park', 'School', 'LOR'])[n % 3 + 1] as type from numbered
-    union all select n + 1000000, name, 'src' || ((n + 7) % 20), (['Park', 'School', 'LOR'])[n % 3 + 1] from numbered where n % 3 = 0)""",
+    union all select n + 1, name, 'src' || ((n + 7) % 20), (['Park', 'School', 'LOR'])[n % 3 + 1] from numbered where n % 3 = 0)""",
     "street_names": """street_names as (
     select p_name as name, p_brand as district, count(*) as street_number_count from part group by p_name, p_brand)""",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +9,9 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import dates, text
 from civicspark.operators import items, merge, search, tagging
-from civicspark.plans.derived import as_of, gazetteer, geo_items, haversine_sql, lat, lng, query_points, street_names, subscriptions, table, with_tables
-from civicspark.plans.spatial_queries import near_relevance
-from civicspark.streaming.jobs import alert_stream, landed
+from civicspark.plans.derived import as_of, gazetteer, geo_items, haversine_sql, lat, lng, query_points, street_names, subscriptions, table, tag_gazetteer, with_tables
+from civicspark.storage import shared_dir
+from civicspark.streaming.jobs import alert_stream, landed, sent_alerts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +31,11 @@ def hit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = gazetteer(spark, sf_dir)
-    streets = places.select("id", "name", "district").where("false")
-    numbers = spark.createDataFrame([], "id long, geo_street_id long, number string")
-    return tagging.tag_text(_docs(spark, sf_dir), streets, numbers, places).select("doc_id", "target_id", "name", "district", "resolution")
+    """Streets, house numbers and places of all texts, in which a number follows each long word."""
+    number = F.concat(F.lit("$1 "), (1 + F.col("doc_id") % 15).cast("string"), F.lit(" "))
+    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", F.lit("([A-Za-z]{7,}) "), number))
+    streets, numbers, places = tag_gazetteer(spark, sf_dir)
+    return tagging.tag_text(docs, streets, numbers, places).select("doc_id", "kind", "target_id", "name", "district", "resolution")
 
 
 def street_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,37 +105,23 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", text.without_contacts(F.col("main_text")).alias("main_text"), F.size("links").cast("long").alias("n_links"))
 
 
-def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    return pages.select("page_id", text.html_unescape(title).alias("title"))
-
-
-def map_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = near_relevance(spark, sf_dir).join(geo_items(spark, sf_dir).drop("score"), "id")
-    sources = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), F.col("n_name").alias("short_name"), F.lit("#aabbcc").alias("color"))
-    return items.map_documents(near, sources, F.col("query_id"), F.col("rank")).select("query_id", "rank", "document")
-
-
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of items against all subscriptions; what was sent is read back from the sink."""
+    """Events as a stream of items against all subscriptions; what was sent is read back."""
     source = table(spark, sf_dir, "events")
     stream = landed(spark, sf_dir, source.schema, pathGlobFilter="events.parquet")
     new = stream.select(
         F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("inserted_at"), lng("event_id").alias("lng"), lat("event_id").alias("lat")
     )
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{shared.rstrip('/')}/alerts-{uuid.uuid4().hex}"
-    sink = alert_stream(new, subscriptions(spark, sf_dir)).writeStream.format("parquet").option("checkpointLocation", f"{base}/state")
-    sink.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
-    return spark.read.schema("user_id long, kind string, id long, inserted_at timestamp").parquet(f"{base}/out").select("user_id", "kind", "id")
+    folder = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    alert_stream(new, lambda: subscriptions(spark, sf_dir), folder).awaitTermination()
+    return sent_alerts(spark, folder).select("user_id", "kind", "id")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         text_hits, hit_overlap, tag_mentions, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot,
-        reject_split, quarter_dates, status_map, main_text, entity_decode, map_json, stream_alerts,
+        reject_split, quarter_dates, status_map, main_text, stream_alerts,
     )
 }
 
@@ -148,18 +134,76 @@ _HITS = """, held as (
     select doc_id, source, name, start, length(name) as length from placed
     where (start = 1 or text[start - 1] <> '-') and not regexp_matches(text[start + length(name)], '[\\p{L}\\p{Nd}]')
 )"""
-_MENTIONS = """, named as (
+_MENTIONS = r"""
+with words as (
+    select distinct unnest(string_split(text, ' ')) as name from benchmark
+), numbered as (
+    select name, cast('0x' || md5(name)[1:12] as bigint) as n from words where regexp_full_match(name, '[A-Za-z]{7,}')
+), gazetteer as (
+    select n as id, name, 'src' || (n % 20) as district, (['Park', 'School', 'LOR'])[n % 3 + 1] as type from numbered where n % 4 > 0
+    union all select n + 1, name, 'src' || ((n + 7) % 20), (['Park', 'School', 'LOR'])[n % 3 + 1] from numbered where n % 12 = 3
+), streets as (
+    select n as id, name, 'src' || (n % 20) as district from numbered where n % 2 = 0
+    union all select n + 1, name, 'src' || ((n + 3) % 20) from numbered where n % 10 = 0
+), numbers as (
+    select id * 16 + k as id, id as geo_street_id, k || case when k % 3 = 0 then 'A' else '' end as number from streets, range(1, 16) t(k) where k <= 2 + id % 14
+), docs as (
+    select doc_id, source, regexp_replace(regexp_replace(text, '([A-Za-z]{7,}) ', '\1 ' || (1 + doc_id % 15) || ' ', 'g'), '\s+', ' ', 'g') as text from documents
+), named as (
+    select name, bool_or(s) as is_street, bool_or(not s) as is_place from (select name, true as s from streets union all select name, false from gazetteer) group by name
+), held as (
+    select doc_id, text, source, name, is_street, is_place, string_split(text, name) as parts from docs join named on contains(text, name)
+), placed as (
+    select doc_id, text, source, name, is_street, is_place, cast(1 + list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(name) as bigint) as start
+    from (select *, unnest(range(1, len(parts))) as k from held)
+), hits as (
+    select *, length(name) as length from placed where (start = 1 or text[start - 1] <> '-') and not regexp_matches(text[start + length(name)], '[\p{L}\p{Nd}]')
+), street_hits as (
+    select doc_id, name, start, upper(replace(regexp_extract(text[start + length + 1:start + length + 10], '^(\d+(\s*[a-zA-Z])?)'), ' ', '')) as number from hits a
+    where is_street and not exists (
+        select 1 from hits b where b.is_street and a.doc_id = b.doc_id and a.start < b.start + b.length and b.start < a.start + a.length and (a.name, a.start) <> (b.name, b.start)
+        and (b.length > a.length or b.length = a.length and (b.start, b.name) < (a.start, a.name)))
+), found as (
+    select h.doc_id, h.start, h.name, h.number, regexp_extract(h.number, '^\d+') as plain, s.id as street_id, s.district, count(*) over (partition by s.name, h.doc_id, h.start) as n_streets
+    from street_hits h join streets s using (name)
+), looked as (
+    select f.*, n1.id as id1, n2.id as id2, count(n1.id) over w as c1, count(n2.id) over w as c2 from found f
+    left join numbers n1 on n1.geo_street_id = f.street_id and n1.number = f.number left join numbers n2 on n2.geo_street_id = f.street_id and n2.number = f.plain
+    where f.number <> '' window w as (partition by f.doc_id, f.start, f.name)
+), street as (
+    select doc_id, start, name, district, street_id as target, false as is_number, n_streets = 1 as sure from found where number = ''
+    union all select doc_id, start, name, district, id1, true, c1 = 1 from looked where id1 is not null
+    union all select doc_id, start, name, district, id2, true, c2 = 1 from looked where c1 = 0 and id2 is not null
+    union all select doc_id, start, name, district, street_id, false, true from looked where c1 = 0 and c2 = 0
+), counted as (
     select *, count(*) over (partition by name) as n, case type when 'Park' then 1 when 'School' then 2 when 'LOR' then 3 else 9 end as rank from gazetteer
-), candidates as (
-    select distinct h.doc_id, g.* from (select distinct doc_id, name from hits) h join named g using (name)
+), place as (
+    select distinct h.doc_id, g.* from (select distinct doc_id, name from hits where is_place) h join counted g using (name)
 ), relevant as (
-    select doc_id, district from candidates where n = 1 union select doc_id, source from documents
+    select doc_id, district from place where n = 1 union select doc_id, district from street where sure union select doc_id, source from documents
+), guessed as (
+    select *, count(*) over (partition by doc_id, start, name, is_number) as c from street s
+    where not sure and exists (select 1 from relevant r where r.doc_id = s.doc_id and r.district = s.district)
+), streets_left as (
+    select doc_id, name, district, target, is_number, 'certain' as resolution from street where sure
+    union all select doc_id, name, district, target, is_number, 'district' from guessed where c = 1
 ), chosen as (
-    select *, row_number() over (partition by doc_id, name order by rank, id) as best from candidates c
+    select *, row_number() over (partition by doc_id, name order by rank, id) as best from place c
     where n > 1 and exists (select 1 from relevant r where r.doc_id = c.doc_id and r.district = c.district)
+), places_left as (
+    select doc_id, name, district, id as target, type, 'certain' as resolution from place where n = 1
+    union all select doc_id, name, district, id, type, 'district' from chosen where best = 1
+), without_lor as (
+    select * from places_left p where type <> 'LOR'
+        or not exists (select 1 from streets_left s where not s.is_number and s.doc_id = p.doc_id and (s.name = p.name or s.district = p.district))
 )
-select doc_id, id as target_id, name, district, 'certain' as resolution from candidates where n = 1
-union all select doc_id, id, name, district, 'district' from chosen where best = 1"""
+select doc_id, kind, target as target_id, name, district, min(resolution) as resolution from (
+    select doc_id, 'street' as kind, target, name, district, resolution from streets_left s
+    where not is_number and not exists (select 1 from without_lor p where p.doc_id = s.doc_id and p.name = s.name)
+    union all select doc_id, 'street_number', target, name, district, resolution from streets_left where is_number
+    union all select doc_id, 'place', target, name, district, resolution from without_lor p
+    where not exists (select 1 from streets_left s where s.is_number and s.doc_id = p.doc_id and s.name = p.name)
+) group by all"""
 _SPACE = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
 _LOW = "translate(lower(name), 'äöü', 'aou')"
 _ENUM = "((?:[A-Za-z0-9_]*-), )*(?:[A-Za-z0-9_]*-) und [A-Za-z0-9_]*straße"
@@ -171,7 +215,7 @@ ORACLES = {
     + """ select doc_id, name, start from hits a where not exists (
         select 1 from hits b where a.doc_id = b.doc_id and a.start < b.start + b.length and b.start < a.start + a.length and (a.name, a.start) <> (b.name, b.start)
         and (b.length > a.length or b.length = a.length and (b.start, b.name) < (a.start, a.name)))""",
-    "tag_mentions": with_tables("gazetteer") + _HITS + _MENTIONS,
+    "tag_mentions": _MENTIONS,
     "street_normalize": r"""
 with spelt as (
     select doc_id, regexp_replace(replace(replace(replace(replace(text, 'Strasse', 'Straße'), 'Str.', 'Straße'), 'strasse', 'straße'), 'str.', 'straße'), '\s+', ' ', 'g') as t

@@ -61,20 +61,23 @@ def building_plans(spark: SparkSession, plans: str, polygons: str) -> DataFrame:
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """(shape, properties) of a feature collection, both JSON texts."""
-    raw = spark.read.text(path, wholetext=True)
-    features = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-    return raw.select(F.posexplode(features).alias("pos", "f")).select(
-        "pos", F.get_json_object("f", "$.geometry").alias("shape"), F.get_json_object("f", "$.properties").alias("properties")
+    """(pos, shape, properties) of feature collections, the last two JSON texts.
+
+    Files that have a feature to a line, as the usual tools write them, are read line by line and split over
+    tasks however large they are; other files are read whole, one task each. pos grows with the place in the file.
+    """
+    one = F.regexp_replace(F.trim("value"), r",\s*$", "")
+    lines = spark.read.text(path).select("value").where(F.trim("value").rlike(r"^\{.*\}\s*,?$") & (F.get_json_object(one, "$.type") == "Feature"))
+    if not lines.isEmpty():
+        features = lines.select(F.monotonically_increasing_id().alias("pos"), one.alias("f"))
+    else:
+        raw = spark.read.text(path, wholetext=True)
+        features = raw.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("pos", "f"))
+    return features.select(
+        F.col("pos").cast("long").alias("pos"), F.get_json_object("f", "$.geometry").alias("shape"), F.get_json_object("f", "$.properties").alias("properties")
     )
 
 
-def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same from files with one feature a line, which splits over tasks: the form for large inputs."""
-    raw = spark.read.text(path).where(F.get_json_object("value", "$.type") == "Feature")
-    return raw.select(F.lit(0).alias("pos"), F.get_json_object("value", "$.geometry").alias("shape"), F.get_json_object("value", "$.properties").alias("properties"))
-
-
 def _kml_coords(c: Column) -> Column:
     pairs = F.filter(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), lambda p: p != "")
     return F.transform(pairs, lambda p: F.struct(F.split(p, ",")[0].cast("double").alias("lng"), F.split(p, ",")[1].cast("double").alias("lat")))
@@ -170,11 +173,11 @@ def forum_projects(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def press_releases(spark: SparkSession, feed: str, pages: DataFrame, tag: str = "*", cls: str | None = "article") -> DataFrame:
+def press_releases(spark: SparkSession, feed: str, pages: DataFrame, tag: str = "*", cls: str | None = "article", role: str | None = "main") -> DataFrame:
     """(external_id, title, content, url, published_at, full_text, hints) of a feed, with the text of each landed page (url, html)."""
     schema = "title string, link string, description string, category array<string>, pubDate string"
     entries = spark.read.format("xml").option("rowTag", "item").schema(schema).load(feed)
-    texts = main_text(pages.select("url", "html"), tag=tag, cls=cls).select("url", without_contacts(F.col("main_text")).alias("page_text"))
+    texts = main_text(pages.select("url", "html"), tag=tag, cls=cls, role=role).select("url", without_contacts(F.col("main_text")).alias("page_text"))
     title, content = html_unescape(F.col("title")), html_unescape(F.col("description"))
     rows = entries.withColumns({"t": title, "c": content}).join(texts, entries.link == texts.url, "left")
     return rows.select(
@@ -189,9 +192,13 @@ def press_releases(spark: SparkSession, feed: str, pages: DataFrame, tag: str =
 
 
 def street_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Address rows without a header: id;name;number;zip;city;local_center;lng;lat."""
+    """Address rows without a header: id;name;number;zip;city;local_center;lng;lat, with seq, which breaks ties of house numbers.
+
+    seq is the row's place: its file, its block of the file and its offset there, which no split of the work changes.
+    """
     schema = "external_id string, name string, number string, zip string, city string, local_center string, lng double, lat double"
-    return spark.read.schema(schema).csv(path, sep=";", header=False).withColumn("seq", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).csv(path, sep=";", header=False)
+    return rows.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
 def school_csv(spark: SparkSession, path: str) -> DataFrame:

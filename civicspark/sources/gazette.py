@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.dates import german_issue_date
@@ -42,81 +39,78 @@ def issue(file: str = "file") -> tuple:
     return F.when(number != "", number.cast("int")), F.when(year != "", year.cast("int") - 1950)
 
 
-def _squeeze(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
+def outline_from_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Outline rows (file, pos, level, page, title as texts) of XML tables of contents, one file for each issue.
+
+    An entry is an element <outline level= title=> with its page in <pageno>; pos counts from 0 in the file's order.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("xml"))
+    # an entry is taken out as text, so that one without a page leaves no gap
+    entries = F.regexp_extract_all("xml", F.lit(r"(?s)<outline\b[^>]*?(?:/>|>.*?</outline>)"), 0)
+    one = raw.select("file", F.posexplode(entries).alias("pos", "e"))
+    value = lambda what: F.nullif(F.xpath_string("e", F.lit(what)), F.lit(""))
+    return one.select("file", "pos", value("/outline/@level").alias("level"), value("/outline/pageno").alias("page"), value("/outline/@title").alias("title"))
 
 
-def find_title(lines: list[str], title: str, start: int = 0) -> tuple[int, int] | None:
-    """(first, last) line of a title that may run over several lines; lines before start do not count."""
-    title, begin, sofar = _squeeze(title), start, ""
-    for at in range(start, len(lines)):
-        alone, joined = _squeeze(lines[at]), _squeeze(f"{sofar} {lines[at]}")
-        if alone == title:
-            return at, at
-        if sofar and joined == title:
-            return begin, at
-        if sofar and title.startswith(joined):
-            sofar = joined
-        else:
-            begin, sofar = at, alone if title.startswith(alone) else ""
-    return None
+def _title_pattern(title: Column) -> Column:
+    """A regular expression for whole lines that read as the title, whatever the white space; it may run over several lines."""
+    parts = F.filter(F.split(title, r"\s+"), lambda w: w != "")
+    quoted = F.transform(parts, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.concat(F.lit(r"(?m)^[^\S\n]*"), F.array_join(quoted, r"\s+"), F.lit(r"[^\S\n]*$"))
 
 
-def cut_sections(pages: list[str], entries: list[tuple[int, int, str]]) -> list[tuple[int, list[str]]]:
-    """(entry number, lines) of the sections that an issue's outline names: (number, page from 1, title) in order.
+def title_places(body: DataFrame, entries: DataFrame) -> DataFrame:
+    """(file, page_no, pos, begin, end): where on their pages the titles of entries stand, as character offsets from 0.
 
-    A section runs from its title to the title of the next entry, over pages if need be; on one page the search
-    goes on where the section before ended. Entries whose title is not found are left out.
+    body: file, page_no, text; entries: file, pos, page_no, title. The titles of a page are looked for in the
+    order of pos, each behind the one found before it; one that is not found has no row.
     """
-    lines = [p.split("\n") for p in pages]
-    out, resume = [], (0, 0)
-    for k, (number, page, title) in enumerate(entries):
-        if page > len(lines) or re.search(SKIPPED, title):
-            continue
-        here = lines[page - 1]
-        found = find_title(here, title, resume[1] if resume[0] == page else 0)
-        if not found:
-            continue
-        begin = found[1] + 1
-        after = entries[k + 1] if k + 1 < len(entries) and entries[k + 1][1] <= len(lines) else None
-        if after is None:
-            text, stop = here[begin:] + [x for p in lines[page:] for x in p], (page, len(here))
-        elif after[1] == page:
-            end = find_title(here, after[2], begin + 1)
-            cut = end[0] if end else len(here)
-            text, stop = here[begin:cut], (page, cut)
-        else:
-            end = find_title(lines[after[1] - 1], after[2])
-            text = here[begin:] + [x for p in lines[page : after[1] - 1] for x in p] + (lines[after[1] - 1][: end[0]] if end else [])
-            stop = (after[1], end[0] if end else 0)
-        resume = stop
-        out.append((number, text))
-    return out
+    wanted = entries.groupBy("file", "page_no").agg(F.array_sort(F.collect_list(F.struct("pos", "title"))).alias("wanted"))
+    start = F.expr("named_struct('at', 0, 'found', cast(array() as array<struct<pos:int,begin:int,end:int>>))")
+
+    def step(acc: Column, e: Column) -> Column:
+        pattern, rest = _title_pattern(e.title), F.substring(F.col("text"), acc.at + 1, F.length("text"))
+        place = F.when(F.trim(e.title) != "", F.regexp_instr(rest, pattern)).otherwise(0)
+        begin = acc.at + place - 1
+        end = begin + F.length(F.regexp_substr(rest, pattern))
+        hit = F.struct(e.pos.alias("pos"), begin.cast("int").alias("begin"), end.cast("int").alias("end"))
+        return F.when(place > 0, F.struct(end.cast("int").alias("at"), F.concat(acc.found, F.array(hit)).alias("found"))).otherwise(acc)
+
+    found = body.join(wanted, ["file", "page_no"]).select("file", "page_no", F.aggregate("wanted", start, step).alias("r"))
+    return found.select("file", "page_no", F.inline("r.found"))
 
 
 def sections(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """(file, pos, topic, page_no, text) from pages (file, page_no, text) and outline entries (file, pos, page_no, title).
 
-    Issues are independent; the pages and entries of one, a document of bounded size, meet in a task.
+    All titles are located first; a section is what stands between its title and the next entry's, over pages
+    if need be. Where the next title is not on its page, the section ends with its own page, or with the
+    page before the next entry's; the last one takes all pages that follow. Entries that are not found, and
+    topics that are not imported, give no section but still end the one before. Everything is joins on
+    (file, page_no); an issue's pages meet only where a section runs over them.
     """
-    body = pages.select("file", "page_no", page_body(F.col("text")).alias("text"))
     limit = last_pages(entries, pages)
-    body = body.join(limit, "file").where("page_no <= last_page").select("file", "page_no", "text")
-    left = body.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
-    named = accepted(entries).where("page_no is not null")
-    right = named.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "page_no", "title"))).alias("entries"))
-
-    def run(batches):
-        for rows in batches:
-            out = []
-            for file, ps, es in zip(rows["file"], rows["pages"], rows["entries"]):
-                listed = [(e["pos"], e["page_no"], e["title"]) for e in es]
-                topics = {n: (p, t) for n, p, t in listed}
-                for number, text in cut_sections([p["text"] for p in ps], listed):
-                    out.append((file, number, topics[number][1], topics[number][0], "\n".join(text)))
-            yield pd.DataFrame(out, columns=["file", "pos", "topic", "page_no", "text"])
-
-    return left.join(right, "file").mapInPandas(run, "file string, pos int, topic string, page_no int, text string")
+    body = pages.select("file", "page_no", page_body(F.col("text")).alias("text")).join(limit, "file").where("page_no <= last_page")
+    listed = accepted(entries).where("page_no is not null").select("file", "pos", "page_no", "title")
+    places = title_places(body, listed)
+    by_pos = Window.partitionBy("file").orderBy("pos")
+    placed = listed.join(places, ["file", "page_no", "pos"], "left").join(limit, "file")
+    for name in ("page_no", "begin"):
+        placed = placed.withColumn(f"next_{name}", F.lead(name).over(by_pos))
+    inside = F.col("next_page_no") <= F.col("last_page")
+    placed = placed.withColumns({"next_page_no": F.when(inside, F.col("next_page_no")), "next_begin": F.when(inside, F.col("next_begin"))})
+    own = placed.where(F.col("begin").isNotNull() & ~F.col("title").rlike(SKIPPED))
+    stops = F.coalesce("next_page_no", F.col("last_page") + 1)  # the page that the section does not fill
+    own = own.withColumn("page", F.explode(F.sequence("page_no", F.greatest("page_no", F.when(F.col("next_begin").isNull(), stops - 1).otherwise(stops)))))
+    own = own.join(body.select("file", F.col("page_no").alias("page"), F.col("text").alias("body")), ["file", "page"])
+    first = F.when(F.col("page") == F.col("page_no"), F.col("end")).otherwise(0)
+    last = F.when(F.col("page") == F.col("next_page_no"), F.coalesce("next_begin", F.length("body"))).otherwise(F.length("body"))
+    part = F.substring(F.col("body"), first + 1, F.greatest(last - first, F.lit(0)))
+    cut = own.select("file", "pos", "title", "page_no", F.struct("page", part.alias("text")).alias("part"))
+    parts = F.transform(F.array_sort(F.collect_list("part")), lambda p: F.regexp_replace(p.text, r"\A\n|\n\z", ""))
+    return cut.groupBy("file", "pos", "title", "page_no").agg(F.array_join(parts, "\n").alias("text")).select(
+        "file", F.col("pos").cast("int").alias("pos"), F.col("title").alias("topic"), "page_no", "text"
+    )
 
 
 def news_records(pages: DataFrame, entries: DataFrame) -> DataFrame:

@@ -97,3 +97,24 @@ def test_main_text(spark):
     pages = spark.createDataFrame([(1, html), (2, None)], "id int, html string")
     got = {r.id: r for r in text.main_text(pages, tag="*", cls="article").collect()}
     assert got[1].main_text == "Sometext & more" and got[1].links == ["/d"] and got[2].main_text is None
+
+
+def test_stems_and_stop_words(spark):
+    """Words of the published sample vocabulary of the stemmer, without accents."""
+    want = {"aufeinander": "aufeinand", "kategorie": "kategori", "kategorischen": "kategor", "katzen": "katz", "haus": "haus", "hauser": "haus", "freundlichkeit": "freundlich", "ergebnisse": "ergebnis", "aufgabe": "aufgab", "neuen": "neu", "bauer": "bau", "y": "y"}
+    assert {w: text._stem(w) for w in want} == want
+    rows = spark.createDataFrame([("Die Straße der Gärtnerinnen",), ("",), (None,)], "t string")
+    assert [r.s for r in rows.select(text.german_tokens(F.col("t")).alias("s")).collect()] == [["strass", "gartnerinn"], [], None]
+
+
+def test_numbers_that_texts_begin_with(spark):
+    rows = spark.createDataFrame([("1.5",), ("-2x",), ("3e2",), ("x",), ("",), (None,), (".5",)], "t string")
+    assert [r.n for r in rows.select(text.float_or(F.col("t"), 9).alias("n")).collect()] == [1.5, -2.0, 300.0, 9.0, 9.0, 9.0, 9.0]
+
+
+def test_elements_by_class_and_role_and_links_by_class(spark):
+    page = "<div class='article'>no</div><div class='big article' role='main'>yes <b>and</b><br> more<script>x</script></div><a href='/0'>0</a><p class='dl'><i><a href='/1?a&amp;b'>1</a></i></p><a class='dl' href='/2'>2</a><a href='/3'>3</a>"
+    pages = spark.createDataFrame([(page,), (None,), ("<p>nothing",)], "html string")
+    got = text.main_text(pages, tag="*", cls="article", role="main", link_cls="dl").collect()
+    assert [(r.main_text, r.links) for r in got] == [("yes and more", ["/1?a&b", "/2"]), (None, []), ("", [])]
+    assert [r.download_url for r in text.download_link(pages, "http://s", link_cls="dl").collect()] == ["http://s/1?a&b", None, None]

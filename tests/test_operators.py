@@ -1,27 +1,35 @@
 import datetime as dt
+import json
 
-import pytest
 from pyspark.sql import functions as F
 
+from civicspark.functions import text
 from civicspark.functions.geo import GEOMETRY
 from civicspark.operators import gazetteer, items, merge, search, spatial, tagging
 
 AS_OF = dt.datetime(2021, 8, 1)
 
 
-def test_relevance_order(spark):
-    thin = ("MultiPolygon", [("polygon", 0, 0, [(13.2679, 52.51), (13.2679, 52.55), (13.2680, 52.55), (13.2679, 52.51)])])
-    day = dt.timedelta(days=1)
-    rows = [
-        (1, "geo_item", 0, False, 13.26789, 52.509, None, None, False), (2, "geo_item", 0, False, 13.2679, 52.51, None, AS_OF - 300 * day, False),
-        (3, "geo_item", 0, False, None, None, thin, None, False), (4, "geo_item", 0, False, 13.2679, 52.51, None, dt.datetime(2021, 1, 1), True),
-        (5, "geo_item", 0, False, 13.2678, 52.515, None, dt.datetime(2001, 1, 1), False), (6, "geo_item", 0, True, 13.26789, 52.509, None, None, False),
-        (7, "geo_item", 0, False, 13.2679, 52.51, None, AS_OF - 7 * day, True), (9, "geo_item", 0, False, 13.4, 52.51, None, None, False),
+def test_relevance_is_distance_and_age_less_a_bonus_in_two_blocks(spark):
+    """Rows by what they show: hundreds of metres to the north of the point, age in days, and whether people can take part."""
+    degree = 0.0009  # a hundred metres
+    made = [  # id, hundreds of metres, days old (None: no date), open, hidden
+        (1, 30, 20, False, False), (2, 1, 20, False, False), (3, 30, 20, True, False), (4, 2, 400, False, False), (5, 1, 400, True, False),
+        (6, 0, None, False, False), (7, 0, 1, True, True), (8, 3, 365 * 6, False, False), (9, 90, 10, True, False),
     ]
+    rows = [(i, "geo_item", 0, hidden, 13.4, 52.5 + d * degree, None, None if age is None else AS_OF - dt.timedelta(days=age), open_) for i, d, age, open_, hidden in made]
     schema = f"id long, kind string, kind_order int, hidden boolean, lng double, lat double, geometry {GEOMETRY}, newest_date timestamp, participation_open boolean"
-    points = spark.createDataFrame([(1, 13.2679, 52.51)], "query_id long, q_lng double, q_lat double")
+    points = spark.createDataFrame([(1, 13.4, 52.5)], "query_id long, q_lng double, q_lat double")
     got = spatial.items_near(points, spark.createDataFrame(rows, schema), 10, F.lit(AS_OF)).orderBy("rank").collect()
-    assert [r.id for r in got] == [7, 4, 2, 1, 3]
+
+    def want(row):
+        _, d, age, open_, _ = row
+        months = 3 if age is None else {20: 0, 400: 13, 10: 0}[age]
+        return (age is None or age >= 42, 10 * d + months - 30 * open_)
+
+    shown = sorted((r for r in made if not r[4] and r[0] not in (8, 9)), key=want)  # 8 is too old, 9 too far away
+    assert [r.id for r in got] == [r[0] for r in shown]
+    assert [r.is_old for r in got] == [want(r)[0] for r in shown]
 
 
 def test_radius_of_points_and_shapes(spark):
@@ -33,47 +41,112 @@ def test_radius_of_points_and_shapes(spark):
     assert got == {(1, 2), (3, 1)}
 
 
-def tag(spark, text, streets=(), numbers=(), places=(), hints=None):
-    docs = spark.createDataFrame([(1, text, hints)], "doc_id long, text string, hints array<string>")
+def tag(spark, cases, streets=(), numbers=(), places=()):
+    """What each of the texts means: cases are (text, hints), read together as documents of one table."""
+    docs = spark.createDataFrame([(i, t, hints) for i, (t, hints) in enumerate(cases)], "doc_id long, text string, hints array<string>")
     s = spark.createDataFrame([(i, n, d) for i, n, d in streets], "id long, name string, district string")
     n = spark.createDataFrame(list(numbers), "id long, geo_street_id long, number string")
     p = spark.createDataFrame(list(places), "id long, name string, district string, type string")
-    return sorted((r.kind, r.target_id) for r in tagging.tag_text(docs, s, n, p).collect())
-
-
-S = "street"
-CASES = [
-    ("plain", "Baustelle in der Emma Straße die", dict(streets=[(1, "Emma Straße", "A")]), [(S, 1)]),
-    ("spelling", "in der Emma-Strasse und Bornstrasse", dict(streets=[(1, "Emma-Straße", "A"), (2, "Bornstraße", "A")]), [(S, 1), (S, 2)]),
-    ("by hint", "in der Jane Straße die", dict(streets=[(1, "Jane Straße", "A"), (2, "Jane Straße", "B")], hints=["A", "C"]), [(S, 1)]),
-    ("by other street", "Anna Straße Ecke Fran Straße", dict(streets=[(1, "Anna Straße", "A"), (2, "Fran Straße", "A"), (3, "Anna Straße", "B")]), [(S, 1), (S, 2)]),
-    ("by number", "Rob Straße Ecke Lau Straße 20 die", dict(streets=[(1, "Rob Straße", "A"), (2, "Lau Straße", "A"), (3, "Rob Straße", "B")], numbers=[(9, 2, "20")]), [(S, 1), ("street_number", 9)]),
-    ("no such number", "In der Anne Straße 25 wird", dict(streets=[(1, "Anne Straße", "A")], numbers=[(9, 1, "20A")]), [(S, 1)]),
-    ("letter", "In der John Straße 120 c, wird", dict(streets=[(1, "John Straße", "A")], numbers=[(9, 1, "120C")]), [("street_number", 9)]),
-    ("slash", "Mary Straße 73/70", dict(streets=[(1, "Mary Straße", "A")], numbers=[(9, 1, "73")]), [("street_number", 9)]),
-    ("number in two districts", "Weg 78 wird", dict(streets=[(1, "Weg", "A"), (2, "Weg", "B")], numbers=[(8, 1, "78"), (9, 2, "78")], hints=["A"]), [("street_number", 8)]),
-    ("place beats street", "im Foo Park", dict(streets=[(1, "Foo Park", "A")], places=[(5, "Foo Park", "A", "Park")]), [("place", 5)]),
-    ("number beats place", "im Foo Park 3", dict(streets=[(1, "Foo Park", "A")], numbers=[(9, 1, "3")], places=[(5, "Foo Park", "A", "Park")]), [("street_number", 9)]),
-    ("enumeration", "Foo-, Bar- und Fizzstraße", dict(streets=[(1, "Foostraße", "A"), (2, "Barstraße", "A"), (3, "Fizzstraße", "A")]), [(S, 1), (S, 2), (S, 3)]),
-    ("LOR of a street's district", "Emma Straße in Dorf", dict(streets=[(1, "Emma Straße", "A")], places=[(5, "Dorf", "A", "LOR")]), [(S, 1)]),
-    ("type", "am Hain", dict(places=[(5, "Hain", "A", "LOR"), (6, "Hain", "A", "School"), (7, "Hain", "A", "Park")], hints=["A"]), [("place", 7)]),
-    ("kiez", "im Sternviertel heute", dict(places=[(5, "Sternkiez", "A", "Park")]), [("place", 5)]),
-    ("no partial word", "Rosenweghaus", dict(streets=[(1, "Rosenweg", "A")]), []),
-    ("after a hyphen", "der Neu-Rosenweg hier", dict(streets=[(1, "Rosenweg", "A")]), []),
-    ("longest", "Alte Rosenweg Straße", dict(streets=[(1, "Rosenweg", "A"), (2, "Alte Rosenweg Straße", "A")]), [(S, 2)]),
-    ("newline", "Emma\nStraße", dict(streets=[(1, "Emma Straße", "A")]), [(S, 1)]),
-    ("two certain places", "Hain und Dorf", dict(places=[(5, "Hain", "A", "Park"), (6, "Dorf", "B", "Park")]), [("place", 5), ("place", 6)]),
-]
-
-
-@pytest.mark.parametrize("name,text,given,want", CASES, ids=[c[0] for c in CASES])
-def test_tagging(spark, name, text, given, want):
-    assert tag(spark, text, **given) == want
+    found = [[] for _ in cases]
+    for r in tagging.tag_text(docs, s, n, p).collect():
+        found[r.doc_id].append((r.kind, r.target_id))
+    return [sorted(x) for x in found]
+
+
+NORTH, SOUTH = "Nord", "Süd"
+
+
+def streets_only(*ids):
+    return [("street", i) for i in ids]
+
+
+def test_names_and_spellings_that_one_entry_has(spark):
+    streets = [(1, "Ahornallee", NORTH), (2, "Birkenweg", SOUTH), (3, "Alter Birkenweg", NORTH)]
+    streets += [(4, "Eichenstraße", NORTH), (5, "Alte Eichenstraße", NORTH), (6, "Ulmenstraße", SOUTH), (7, "Straße am Hof", SOUTH)]
+    cases = (
+        ("Am Montag wird die Ahornallee gesperrt.", [1]),
+        ("Ahornallee, Birkenweg und nochmals Ahornallee", [1, 2]),
+        ("der Alter Birkenweg endet hier", [3]),  # the longest of what overlaps
+        ("Birkenweg (Alter Birkenweg)", [2, 3]),
+        ("Ahornalleen und Birkenwegfest", []),  # a letter after the name
+        ("im Klein-Birkenweg", []),  # a hyphen before it
+        ("Ahornallee-Süd", [1]),
+        ("", []),
+        (None, []),
+        ("Eichenstr. und Ulmenstrasse", [4, 6]),
+        ("Strasse\tam  Hof", [7]),
+        ("Alte\nEichenstrasse", [5]),
+        ("Eichen-, Ulmen- und Lindenstraße", [4, 6]),
+    )
+    assert tag(spark, [(t, None) for t, _ in cases], streets) == [streets_only(*ids) for _, ids in cases]
+
+
+def test_one_name_in_two_districts(spark):
+    streets = [(1, "Marktgasse", NORTH), (2, "Marktgasse", SOUTH), (3, "Torgasse", SOUTH), (4, "Torgasse", SOUTH), (5, "Fährweg", SOUTH)]
+    cases = (
+        ("in der Marktgasse", None, []),  # nothing tells which
+        ("in der Marktgasse", [SOUTH], streets_only(2)),
+        ("in der Marktgasse", [NORTH, SOUTH], []),
+        ("in der Torgasse", [SOUTH], []),  # two in one district
+        ("Marktgasse am Anger", None, [("place", 9), ("street", 1)]),  # a certain place decides
+        ("Marktgasse, Fährweg", None, streets_only(2, 5)),  # a certain street does
+        ("Marktgasse, Fährweg 4", None, [("street", 2), ("street_number", 50)]),  # so does a number
+    )
+    got = tag(spark, [c[:2] for c in cases], streets, [(50, 5, "4")], [(9, "Anger", NORTH, "Park")])
+    assert got == [c[2] for c in cases]
+
+
+def test_house_numbers_in_texts(spark):
+    streets = [(1, "Weidenufer", NORTH), (2, "Weidenufer", SOUTH), (3, "Kiesweg", NORTH)]
+    numbers = [(11, 1, "8"), (12, 2, "9"), (13, 1, "10B"), (14, 1, "12"), (15, 2, "12"), (16, 3, "5"), (17, 3, "31")]
+    cases = (
+        ("Weidenufer 8", None, [("street_number", 11)]),  # only one of the streets has it
+        ("Weidenufer 9 bis 10", None, [("street_number", 12)]),  # 9B is unknown, 9 is not
+        ("Weidenufer 10 b,", None, [("street_number", 13)]),
+        ("Weidenufer 10", None, streets_only(1, 2)),  # no such number: all streets of the name
+        ("Weidenufer 12", None, []),
+        ("Weidenufer 12", [SOUTH], [("street_number", 15)]),
+        ("Kiesweg 5/7", None, [("street_number", 16)]),
+        ("Kiesweg 31–33", None, [("street_number", 17)]),
+        ("Kiesweg, 31", None, streets_only(3)),  # a number stands right behind its street
+        ("Kiesweg Nr. 31", None, streets_only(3)),
+        ("Kiesweg 5 und Kiesweg", None, [("street", 3), ("street_number", 16)]),
+    )
+    assert tag(spark, [c[:2] for c in cases], streets, numbers) == [c[2] for c in cases]
+
+
+def test_places_and_what_gives_way(spark):
+    places = [(1, "Heidegarten", NORTH, "Park"), (2, "Moorland", NORTH, "LOR"), (3, "Moorland", SOUTH, "LOR"), (4, "Wallgraben", SOUTH, "LOR"), (5, "Wallgraben", SOUTH, "School"), (6, "Mühlenkiez", NORTH, "LOR")]
+    streets = [(7, "Heidegarten", SOUTH), (8, "Uferpfad", NORTH)]
+    cases = (
+        ("im Heidegarten", None, [("place", 1)]),  # a street gives way to the place of its name
+        ("Heidegarten 2", None, [("street_number", 70)]),  # and that to a house number
+        ("bei Moorland", None, []),
+        ("bei Moorland", [SOUTH], [("place", 3)]),
+        ("Wallgraben", [SOUTH], [("place", 5)]),  # a school before a planning area
+        ("das Mühlenviertel", None, [("place", 6)]),
+        ("Mühlenkiez am Uferpfad", None, [("street", 8)]),  # a planning area gives way to a street of its district
+        ("Heidegarten am Uferpfad", None, [("place", 1), ("street", 8)]),
+    )
+    assert tag(spark, [c[:2] for c in cases], streets, [(70, 7, "2")], places) == [c[2] for c in cases]
+
+
+def test_a_failing_text_fails_alone(spark, monkeypatch):
+    class Odd(tagging.Dictionary):
+        def hits(self, text):
+            if "boom" in text:
+                raise ValueError(text)
+            return super().hits(text)
+
+    monkeypatch.setattr(tagging, "Dictionary", Odd)
+    docs = spark.createDataFrame([(1, "Kiesweg"), (2, "boom Kiesweg"), (3, None), (4, "kein Kiesweg")], "doc_id long, text string")
+    got = {r.doc_id: r for r in tagging.text_hits(docs, spark.createDataFrame([("Kiesweg",)], "name string")).collect()}
+    assert got.keys() == {1, 2, 4} and (got[4].start, got[4].error) == (6, None) and got[2].name is None and "boom" in got[2].error
 
 
 def test_gazetteer_in_slices(spark):
-    docs = spark.createDataFrame([(1, "ab abc bcd")], "doc_id long, text string")
-    names = spark.createDataFrame([(x,) for x in ("ab", "abc", "bcd", "abc bcd")], "name string")
+    docs = spark.createDataFrame([(1, "ab abc bcd"), (2, "bcd"), (3, None)], "doc_id long, text string")
+    names = spark.createDataFrame([(x, 1 + (x == "bcd")) for x in ("ab", "abc", "bcd", "abc bcd")], "name string, mask int")
     whole = sorted(map(tuple, tagging.text_hits(docs, names).collect()))
     assert sorted(map(tuple, tagging.text_hits(docs, names, max_terms=2).collect())) == whole
 
@@ -107,11 +180,71 @@ def test_partial_upsert(spark):
     assert full["b"].url is None
 
 
+SUBS = "sub_id long, user_id long, radius_m int, lng double, lat double"
+EVENTS = "seq int, op string, user_id long, lng double, lat double, radius_m int"
+
+
+def after(spark, subs, events):
+    got = merge.apply_subscription_events(spark.createDataFrame(subs, SUBS), spark.createDataFrame(events, EVENTS)).collect()
+    return sorted((r.user_id, r.radius_m, r.lng) for r in got)
+
+
 def test_subscription_events(spark):
-    subs = spark.createDataFrame([(1, 10, 500, 13.0, 52.0), (2, 10, 500, 13.5, 52.0), (3, 11, 500, 13.0, 52.0)], "sub_id long, user_id long, radius_m int, lng double, lat double")
-    events = spark.createDataFrame([(1, "unsubscribe", 10, 13.0002, 52.0, None), (2, "update", 11, 13.0, 52.0, 900), (3, "subscribe", 12, 13.0, 52.0, None)], "seq int, op string, user_id long, lng double, lat double, radius_m int")
-    got = sorted((r.user_id, r.radius_m, r.lng) for r in merge.apply_subscription_events(subs, events).collect())
-    assert got == [(10, 500, 13.5), (11, 900, 13.0), (12, 2000, 13.0)]
+    subs = [(1, 10, 500, 13.0, 52.0), (2, 10, 500, 13.5, 52.0), (3, 11, 500, 13.0, 52.0), (4, 13, 700, 13.0, 52.0)]
+    events = [(1, "unsubscribe", 10, 13.0002, 52.0, None), (2, "update", 11, 13.0, 52.0, 900), (3, "subscribe", 12, 13.0, 52.0, None), (4, "subscribe", None, 13.0, 52.0, 1), (5, "update", 14, 13.0, 52.0, 5)]
+    assert after(spark, subs, events) == [(10, 500, 13.5), (11, 900, 13.0), (12, 2000, 13.0), (13, 700, 13.0)]
+    assert after(spark, subs, []) == [(10, 500, 13.0), (10, 500, 13.5), (11, 500, 13.0), (13, 700, 13.0)] and after(spark, [], []) == []
+
+
+def test_subscription_events_see_those_before_them(spark):
+    """Points 48 metres apart are one place, 700 metres apart are not."""
+    here, near, far = 13.0, 13.0007, 13.01
+    new = (1, "subscribe", 7, here, 52.0, None)
+    assert after(spark, [], [new, (2, "unsubscribe", 7, near, 52.0, None)]) == []
+    assert after(spark, [], [new, (2, "update", 7, near, 52.0, 900)]) == [(7, 900, here)]
+    assert after(spark, [], [new, (2, "update", 7, far, 52.0, 900)]) == [(7, 2000, here)]
+    assert after(spark, [], [(2, "unsubscribe", 7, near, 52.0, None), (1, "subscribe", 7, here, 52.0, 300), (3, "subscribe", 7, near, 52.0, 400)]) == [(7, 400, near)]
+    assert after(spark, [(1, 7, 500, here, 52.0)], [(1, "subscribe", 7, near, 52.0, 800), (2, "subscribe", 7, far, 52.0, None)]) == [(7, 800, here), (7, 2000, far)]
+    assert after(spark, [(1, 7, 500, here, 52.0), (2, 7, 600, near, 52.0)], [(1, "unsubscribe", 7, here, 52.0, None)]) == [(7, 600, near)]
+
+
+def test_news_upsert_replaces_mentions(spark):
+    day = dt.datetime(2020, 1, 1)
+    old = spark.createDataFrame([(1, 1, "a", "A", day, day), (2, 1, "b", "B", day, day)], "id long, source_id long, external_id string, title string, inserted_at timestamp, updated_at timestamp")
+    batch = spark.createDataFrame([(1, "a", "A", 1), (1, "c", "C", 1)], "source_id long, external_id string, title string, seq int")
+    before = spark.createDataFrame([(1, "street", 5), (1, "place", 6), (2, "street", 7)], "news_item_id long, kind string, target_id long")
+    said = spark.createDataFrame([(1, "a", "street", 8), (1, "a", "street", 8), (1, "c", "place", 9)], "source_id long, external_id string, kind string, target_id long")
+    items_, mentions = merge.upsert_news(old, batch, before, said, F.lit(AS_OF))
+    ids = {r.external_id: r.id for r in items_.collect()}
+    assert (ids["a"], ids["b"]) == (1, 2) and {r.external_id for r in items_.where(F.col("updated_at") == F.lit(AS_OF)).collect()} == {"c"}
+    assert sorted(map(tuple, mentions.collect())) == sorted([(1, "street", 8), (2, "street", 7), (ids["c"], "place", 9)])
+
+
+def test_distance_of_news_is_that_of_their_nearest_part(spark):
+    line = ("LineString", [("line", 0, 0, [(13.2, 52.53), (13.3, 52.53)])])
+    rows = [(1, False, [(13.25, 52.54), (13.25, 52.51)], None), (2, False, None, [line]), (3, False, None, None), (4, True, [(13.25, 52.5)], None), (5, False, [(13.25, 52.551)], [line])]
+    news = spark.createDataFrame(rows, f"id long, hidden boolean, geo_points array<struct<lng:double,lat:double>>, geometries array<{GEOMETRY}>")
+    points = spark.createDataFrame([(1, 13.25, 52.5)], "query_id long, q_lng double, q_lat double")
+    got = {r.id: round(r.dist_deg, 6) for r in spatial.nearest_news(points, news, 10).collect()}
+    assert got == {1: 0.01, 2: 0.03, 5: 0.03}
+    assert [r.id for r in spatial.nearest_news(points, news, 1).collect()] == [1]
+
+
+def test_map_documents(spark):
+    schema = "kind string, id long, title string, lng double, lat double, source_id long, participation_open boolean"
+    rows = [("geo_item", 1, 'Say "hi"', 13.5, 52.5, 1, True), ("geo_item", 2, None, None, None, 9, None)]
+    sources = spark.createDataFrame([(1, "S", "#fff")], "source_id long, short_name string, color string")
+    got = {r.id: json.loads(r.document) for r in items.map_documents(spark.createDataFrame(rows, schema), sources, F.col("id")).collect()}
+    assert got[1] == {"type": "geo_item", "id": 1, "title": 'Say "hi"', "participation_open": True, "source": "S", "color": "#fff", "positions": [{"type": "geo_item", "id": 1, "point": {"lat": 52.5, "lng": 13.5}}]}
+    assert got[2] == {"type": "geo_item", "id": 2, "title": None, "participation_open": None, "source": None, "color": None, "positions": [{"type": "geo_item", "id": 2}]}
+
+
+def test_search_by_stems(spark):
+    names = spark.createDataFrame([("Straße der Gärtnerinnen", "A", 5), ("Am Gartenweg", "A", 9), ("Kirchenplatz", "B", 1)], "name string, district string, street_number_count long")
+    asked = spark.createDataFrame([("gärtnerin",), ("kirche",), ("die gärten",)], "search string")
+    got = [(r.search, r.name) for r in search.search_contains(asked, names, tokens=text.german_tokens).orderBy("search", "rank").collect()]
+    gardener = "Straße der Gärtnerinnen"
+    assert got == [("die gärten", "Am Gartenweg"), ("die gärten", gardener), ("gärtnerin", gardener), ("kirche", "Kirchenplatz")]
 
 
 def test_news_positions_and_caches(spark):

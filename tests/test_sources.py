@@ -87,3 +87,30 @@ def test_gazette(spark):
     assert by["Drittes"].published_at == dt.datetime(2021, 7, 16, 13, 26, 8, 3000)
     r = spark.range(1).select(F.lit("abl_2021_30_x.pdf").alias("file")).select(gazette.issue()[0].alias("n"), gazette.issue()[1].alias("v")).first()
     assert (r.n, r.v) == (30, 71)
+
+
+def test_collections_in_lines_and_in_one_piece(spark, tmp_path):
+    feature = lambda k: json.dumps({"type": "Feature", "properties": {"n": k, "t": "a } , {"}, "geometry": {"type": "Point", "coordinates": [k, 2]}})
+    lines = put(tmp_path / "lines", "a.json", '{"type": "FeatureCollection",\n"features": [\n' + ",\n".join(map(feature, range(5))) + "\n]\n}\n")
+    whole = put(tmp_path / "whole", "a.json", '{"type": "FeatureCollection", "features": [' + ",".join(map(feature, range(5))) + "]}")
+    pretty = put(tmp_path / "pretty", "a.json", json.dumps({"type": "FeatureCollection", "features": [json.loads(feature(k)) for k in range(5)]}, indent=1))
+    for path in (lines, whole, pretty):
+        got = feeds.geojson_features(spark, path).orderBy("pos").collect()
+        assert [json.loads(r.properties)["n"] for r in got] == list(range(5)) and json.loads(got[3]["shape"])["coordinates"] == [3, 2]
+    assert feeds.geojson_features(spark, put(tmp_path / "none", "a.json", '{"type": "FeatureCollection", "features": []}')).count() == 0
+
+
+def test_titles_with_marks_and_repeats(spark):
+    """Titles are taken as written, are looked for behind the one before, and end sections even if their topic is not imported."""
+    body = "Kopf\n\nA (1) [x]\\E.*\neins\nListe\nzwei\nListe\ndrei\nÄrztekammer Berlin\nvier\nEnde\nfünf"
+    pages = spark.createDataFrame([("f", 1, body), ("f", 2, "Kopf\n\nsechs")], "file string, page_no int, text string")
+    titles = ["Inhalt", "A (1) [x]\\E.*", "Liste", "Liste", "Ärztekammer Berlin", "Fehlt", "Ende"]
+    entries = spark.createDataFrame([("f", k, None if k == 0 else 1, t) for k, t in enumerate(titles)], "file string, pos int, page_no int, title string")
+    got = {r.pos: r.text for r in gazette.sections(pages, entries).collect()}
+    assert got == {1: "eins", 2: "zwei", 3: "drei", 6: "fünf\nsechs"}
+
+
+def test_outline_of_xml(spark, tmp_path):
+    xml = "<outlines><outline level='1' title=\"b'Inhalt &amp; mehr'\"><pageno>1</pageno></outline><outline level='2' title='ohne'/><outline title='x y'><dest/><pageno>7</pageno></outline></outlines>"
+    got = gazette.outline(gazette.outline_from_xml(spark, put(tmp_path / "toc", "a.xml", xml))).orderBy("pos").collect()
+    assert [(r.pos, r.level, r.page_no, r.title) for r in got] == [(0, 1, 1, "Inhalt & mehr"), (1, 2, None, "ohne"), (2, None, 7, "x y")]

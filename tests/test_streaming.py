@@ -1,0 +1,95 @@
+"""Streams of landed files: what a batch sees, and what a repeated one does."""
+
+import datetime as dt
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
+from civicspark.storage import shared_dir
+from civicspark.streaming.jobs import alert_stream, digest_batches, ingest, landed, sent_alerts
+
+DAY = dt.datetime(2024, 5, 1, 12)
+ITEM = "id long, kind string, inserted_at timestamp, lng double, lat double"
+SUB = "user_id long, lng double, lat double, radius_m int"
+
+
+def land(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def run(spark, tmp_path, send=None):
+    stream = landed(spark, str(tmp_path / "items"), spark.createDataFrame([], ITEM).schema)
+    alert_stream(stream, lambda: spark.read.schema(SUB).parquet(str(tmp_path / "subs")), str(tmp_path / "alerts"), send).awaitTermination()
+    return sorted((r.user_id, r.id) for r in sent_alerts(spark, str(tmp_path / "alerts")).collect())
+
+
+def test_subscriptions_made_after_the_start_are_alerted(spark, tmp_path):
+    land(spark, tmp_path / "subs", [(1, 13.0, 52.0, 500)], SUB)
+    land(spark, tmp_path / "items", [(10, "geo_item", DAY, 13.001, 52.0), (11, "geo_item", DAY, 13.02, 52.0)], ITEM)
+    assert run(spark, tmp_path) == [(1, 10)]
+    # another user, and a radius that no subscription had before
+    land(spark, tmp_path / "subs", [(2, 13.0, 52.0, 500), (4, 13.0, 52.0, 3000)], SUB)
+    land(spark, tmp_path / "items", [(12, "geo_item", DAY, 13.001, 52.0), (13, "geo_item", DAY, 13.02, 52.0), (10, "geo_item", DAY, 13.001, 52.0)], ITEM)
+    sent = []
+    got = run(spark, tmp_path, lambda alerts, batch: sent.append((batch, sorted((r.user_id, r.id) for r in alerts.collect()))))
+    # item 10 lands again: user 1 knows it, the others do not
+    assert got == [(1, 10), (1, 12), (2, 10), (2, 12), (4, 10), (4, 12), (4, 13)]
+    assert sent == [(1, [(1, 12), (2, 10), (2, 12), (4, 10), (4, 12), (4, 13)])]
+
+
+def test_a_batch_that_is_run_again_writes_over_its_part(spark, tmp_path):
+    land(spark, tmp_path / "subs", [(1, 13.0, 52.0, 500)], SUB)
+    land(spark, tmp_path / "items", [(10, "geo_item", DAY, 13.0, 52.0)], ITEM)
+    first = run(spark, tmp_path)
+    shutil.rmtree(tmp_path / "alerts" / "state")  # as if the batch had not been committed
+    assert run(spark, tmp_path) == first == [(1, 10)]
+
+
+def test_no_subscriptions(spark, tmp_path):
+    land(spark, tmp_path / "subs", [], SUB)
+    land(spark, tmp_path / "items", [(10, "geo_item", DAY, 13.0, 52.0)], ITEM)
+    assert run(spark, tmp_path) == []
+
+
+def test_ingest_reads_each_file_once(spark, tmp_path):
+    land(spark, tmp_path / "in", [(1,)], "id long")
+    seen = []
+    for _ in range(2):
+        ingest(landed(spark, str(tmp_path / "in"), spark.range(0).schema), str(tmp_path / "state"), lambda b, n: seen.append((n, sorted(r.id for r in b.collect())))).awaitTermination()
+        land(spark, tmp_path / "in", [(2,), (3,)], "id long")
+    assert seen == [(0, [1]), (1, [2, 3])]
+
+
+def test_digests(spark, tmp_path):
+    rows = [(1, "news_item", 5, DAY), (1, "geo_item", 7, DAY), (1, "geo_item", 6, DAY - dt.timedelta(days=1)), (2, "geo_item", 7, DAY)]
+    schema = "user_id long, kind string, id long, inserted_at timestamp"
+    land(spark, tmp_path / "in", rows, schema)
+    sent = {}
+    send = lambda digests, number: sent.update({r.user_id: [x.id for x in r["items"]] for r in digests.collect()})
+    digest_batches(landed(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), str(tmp_path / "state"), send).awaitTermination()
+    assert sent == {1: [6, 7, 5], 2: [7]}  # geo items first, then by time
+
+
+class _Session:
+    """As much of a session as shared_dir() asks for."""
+
+    def __init__(self, master, folder=None):
+        self.values = {"spark.checkpoint.dir": folder} if folder else {}
+        self.conf, self.sparkContext, self.master = self, self, master
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+    def set(self, key, value):
+        self.values[key] = value
+
+
+def test_the_shared_folder_is_never_a_local_one_on_a_cluster(spark):
+    assert shared_dir(_Session("spark://host:7077", "/shared/")) == "/shared"
+    local = _Session("local[4]")
+    assert shared_dir(local) == shared_dir(local) == local.values["spark.checkpoint.dir"]
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(_Session(master))
+    assert spark.range(1).select(F.lit(1)).count() == 1
