@@ -12,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import text_or_empty
+from civicspark.llm.common import shared_table, text_or_empty
 
 BAD, GOOD, NONE = 0, 1, 2
 #: Documents whose features train the scorer: those with the smallest hash of id and text.
 TRAIN_ROWS = 5000
 #: Hashed features; a power of two.
 BUCKETS = 1 << 18
-#: Words whose flags and buckets a Python worker remembers; past it the memory starts anew.
-MEMO = 600_000
+#: Words whose flags and buckets a Python worker remembers; past it the memory starts anew. Longer words are not remembered.
+MEMO, MEMO_CHARS = 600_000, 64
+#: Distinct features of the training rows together; a row that would exceed them is passed over.
+TRAIN_FEATURES = 4_000_000
 
 SYMBOL = re.compile(r"[#*$%&|<>@^~=+{}\\]")
 TRAILING = re.compile(r"[^\w\s.,;:!?\"'()\[\]-]{2,}$|^[^\w\s]$")
@@ -51,7 +53,7 @@ _KINDS, _RUN = _Kinds(), re.compile(r"(.)\1+", re.DOTALL)
 
 def shape(word: str) -> str:
     """The word with letters as a or A and digits as 0, runs of one kind as one character."""
-    return _RUN.sub(r"\1", word[:64].translate(_KINDS))
+    return _RUN.sub(r"\1", word.translate(_KINDS))
 
 
 #: What a word tells the labellers, one bit each.
@@ -76,7 +78,9 @@ class Words(dict):
                 | ("a" not in s and "A" not in s) << 5
                 | bool(TRAILING.search(word)) << 6
             )
-        self[word] = got = flags | _hash("w " + low) << 8 | _hash("s " + s) << 32
+        got = flags | _hash("w " + low) << 8 | _hash("s " + s) << 32
+        if len(word) <= MEMO_CHARS:
+            self[word] = got
         return got
 
 
@@ -207,18 +211,32 @@ def _vote_table(base: DataFrame) -> DataFrame:
 
 
 def _training_rows(sample: DataFrame) -> DataFrame:
+    """(h, n, at, x, votes) of sample (h, text): n distinct features, their buckets and values, and the votes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, x, v = [], [], []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(1).to_pylist():
                 seen = read(text)
                 a, b = features(seen[1], seen[2])
                 at.append(a.astype("<i4").tobytes())
                 x.append(b.astype("<f4").tobytes())
                 v.append(votes(*seen))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(x, pa.binary()), pa.array(v, pa.list_(pa.int32()))], names=["at", "x", "votes"])
+            n = pa.array([len(a) // 4 for a in at], pa.int64())
+            data = [batch.column(0), n, pa.array(at, pa.binary()), pa.array(x, pa.binary()), pa.array(v, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(data, names=["h", "n", "at", "x", "votes"])
+
+    return sample.mapInArrow(run, "h long, n long, at binary, x binary, votes array<int>")
 
-    return sample.mapInArrow(run, "at binary, x binary, votes array<int>")
+
+def _within(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """The first of (key, size), by key, that together have `most` at most; those too large for what is left are passed over."""
+    out, used = [], 0
+    for h, n in sorted(sizes):
+        if used + n <= most:
+            out.append(h)
+            used += n
+    return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, np.ndarray]:
@@ -233,8 +251,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     hashed = base.withColumn("h", F.xxhash64("id", "text"))
     # the smallest hashes first, then the texts they belong to: no other text is shuffled
     last = hashed.select("h").orderBy("h").limit(train_rows).agg(F.max("h").alias("h")).first().h
-    chosen = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).select("text")
-    rows = _training_rows(chosen).collect()
+    chosen = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).select("h", "text")
+    sample = shared_table(_training_rows(chosen))
+    fit = _within([tuple(r) for r in sample.select("h", "n").collect()], TRAIN_FEATURES)
+    rows = sample.where(F.col("h").isin(fit)).drop("h").collect()  # TRAIN_FEATURES features at most, however long the texts
     data = [(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(np.float64)) for r in rows]
     target = labels.posterior(np.array([r.votes for r in rows], dtype=np.int64))
     order = sorted(range(len(rows)), key=lambda i: (rows[i].at, rows[i].x))  # the same whatever the partitions
