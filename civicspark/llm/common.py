@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from civicspark.storage import drop_shared_tables, shared_dir, shared_table
 
 __all__ = [
-    "SPACE_CHARS", "SPACE_RE", "ascii_lower", "drop_shared_tables", "hash128", "join_back", "salt", "salts", "shared_dir", "shared_table", "text_or_empty",
+    "SPACE_CHARS", "SPACE_RE", "ascii_lower", "drop_shared_tables", "hash128", "join_back", "numbered", "salt", "salts", "shared_dir", "shared_table", "text_or_empty",
     "with_salts", "words",
 ]
 
@@ -64,6 +64,14 @@ def with_salts(keys: DataFrame, column: str = "salts") -> DataFrame:
     return keys.withColumn("salt", F.explode(occurs)).drop(column)
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns c0, c1 and so on, and what the named ones are called now: no name of theirs meets one of an operator.
+
+    `.toDF(*docs.columns)` gives the names back.
+    """
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{docs.columns.index(n)}" for n in names]
+
+
 def join_back(docs: DataFrame, extra: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe join of extra to docs on equally named keys; the keys of docs stay."""
     renamed = extra.select([F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in extra.columns])

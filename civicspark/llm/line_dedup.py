@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import SPACE_CHARS, ascii_lower, hash128, join_back, salt, salts, shared_table, text_or_empty, with_salts
+from civicspark.llm.common import SPACE_CHARS, ascii_lower, hash128, join_back, numbered, salt, salts, shared_table, text_or_empty, with_salts
 
 
 def line_key(line: Column) -> Column:
@@ -70,11 +70,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **kw) -> DataFrame:
-    """docs with the texts that line_dedup() leaves; a column length_col, if there is one, holds their lengths."""
-    keyed = docs.withColumns({"__id": F.col(id_col), "__text": text_or_empty(text_col)})
+    """docs with the texts that line_dedup() leaves; a column length_col, if there is one, holds their lengths.
+
+    Every row and column stays, whatever the columns are called. Null texts become empty ones.
+    """
+    rows, (key, text) = numbered(docs, id_col, text_col)
+    keyed = rows.withColumns({"__id": F.col(key), "__text": text_or_empty(text)})
     lost = _lost_lines(keyed.select("__id", "__text"), kw.get("min_chars", 10), kw.get("min_docs", 2))
     whole = join_back(keyed.withColumn("__th", F.xxhash64("__text")), lost, ["__id", "__th"])
-    whole = whole.withColumn("__lines", F.split("__text", "\n", -1)).withColumn(text_col, _kept_text())
+    whole = whole.withColumn("__lines", F.split("__text", "\n", -1)).withColumn(text, _kept_text())
     if length_col in docs.columns:
-        whole = whole.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return whole.select(docs.columns)
+        length = f"c{docs.columns.index(length_col)}"
+        whole = whole.withColumn(length, F.char_length(text).cast(rows.schema[length].dataType))
+    return whole.select(rows.columns).toDF(*docs.columns)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import join_back, salt, salts, shared_table, text_or_empty, with_salts
+from civicspark.llm.common import join_back, numbered, salt, salts, shared_table, text_or_empty, with_salts
 
 #: Documents that one block of the reduction tree rounds in sequence.
 BLOCK = 64
@@ -166,9 +166,10 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
-    """The mix itself: every row of docs, with all its columns, as often as mix() takes it."""
-    often = mix(docs, id_col, text_col, source_col, **kw).where("copies > 0")
-    often = often.groupBy(F.col(id_col).alias("__id"), "__th").agg(F.max("copies").alias("__copies"))
-    keyed = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_or_empty(text_col))})
+    """The mix itself: every row of docs, with all its columns, whatever these are called, as often as mix() takes it."""
+    rows, (key, text, source) = numbered(docs, id_col, text_col, source_col)
+    often = mix(rows, key, text, source, **kw).where("copies > 0")
+    often = often.groupBy(F.col(key).alias("__id"), "__th").agg(F.max("copies").alias("__copies"))
+    keyed = rows.withColumns({"__id": F.col(key), "__th": F.xxhash64(text_or_empty(text))})
     taken = join_back(keyed, often, ["__id", "__th"], "inner")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(rows.columns).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm.bitsliced import link_buckets, merge
-from civicspark.llm.common import join_back, shared_table, text_or_empty
+from civicspark.llm.common import join_back, numbered, shared_table, text_or_empty
 from civicspark.llm.components import components
 from civicspark.llm.simhash import simhash
 
@@ -181,12 +181,15 @@ def one_of_each_group(
     bits or fewer, directly or through others; an exchanged word changes fewer of the sketch_n-word shingles that
     these are made of. The n-word shingles decide. A text of fewer than n words is one shingle, null
     and empty texts are alike. A null id sorts first. Of rows with equal id and text one stays, whichever it is.
+    The columns of docs may have any names; an empty table stays empty.
 
     Equal sets are one node. Texts of candidates only are read again.
     """
-    sets = shared_table(shingle_sets(docs, id_col, text_col, n, sketch_n, seed))
-    placed = sets.join(_groups(docs, sets, text_col, n, seed, radius, similarity), "__set", "left")
+    rows, (key, text) = numbered(docs, id_col, text_col)
+    sets = shared_table(shingle_sets(rows, key, text, n, sketch_n, seed))
+    placed = sets.join(_groups(rows, sets, text, n, seed, radius, similarity), "__set", "left")
     placed = placed.select(F.coalesce("__group", "__set").alias("__group"), "__id", "__th")
     stays = placed.groupBy("__group").agg(F.min(F.struct("__id", "__th")).alias("s")).select("s.__id", "s.__th")
-    keyed = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_or_empty(text_col))})
-    return join_back(keyed, shared_table(stays), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(docs.columns)
+    keyed = rows.withColumns({"__id": F.col(key), "__th": F.xxhash64(text_or_empty(text))})
+    kept = join_back(keyed, shared_table(stays), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
+    return kept.select(rows.columns).toDF(*docs.columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import shared_table, text_or_empty
+from civicspark.llm.common import numbered, shared_table, text_or_empty
 
 BAD, GOOD, NONE = 0, 1, 2
 #: Documents whose features train the scorer: those with the smallest hash of id and text.
@@ -271,16 +271,20 @@ def _scores(texts: list[str], w: np.ndarray) -> list[float]:
 
 
 def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_scores() keeps. No row is shuffled for it."""
-    _, weights = train(docs, id_col, text_col, train_rows)
+    """The rows of docs, with all their columns, whatever these are called, that quality_scores() keeps. No row is shuffled for it.
+
+    Null and empty texts go; nulls elsewhere, null ids and repeated rows are kept as they are; an empty table stays empty.
+    """
+    rows, (key, text) = numbered(docs, id_col, text_col)
+    _, weights = train(rows, key, text, train_rows)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["" if t is None else str(t) for t in batch.column(text_col).to_pylist()]
+            texts = ["" if t is None else str(t) for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(np.array(_scores(texts, sent.value)) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:

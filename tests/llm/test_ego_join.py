@@ -29,8 +29,8 @@ def result(df):
     return {r.vec_id: (r.n_links, r.component_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("interval,leaf", [(16_384, 512), (60, 16)])
-def test_clusters(spark, monkeypatch, interval, leaf):
+@pytest.mark.parametrize("cells,leaf", [(1 << 20, 512), (60 * 24, 16)])
+def test_clusters(spark, monkeypatch, cells, leaf):
     monkeypatch.setattr(ego_join, "LEAF", leaf)
     rng = np.random.default_rng(5)
     v = rng.normal(size=(500, 24)).astype(np.float32)
@@ -39,7 +39,7 @@ def test_clusters(spark, monkeypatch, interval, leaf):
     v[380:420] = v[7]  # copies
     v[420] = 3 * v[7]
     rows = [(int(i) * 3, x.tolist()) for i, x in zip(rng.permutation(500), v)]
-    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), interval=interval)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cells=cells)
     want = slow(rows)
     assert sum(n for n, _ in want.values()) > 6000
     assert result(got) == want
@@ -55,3 +55,13 @@ def test_edge_cases(spark):
     assert near_vectors(df.limit(0)).count() == 0
     again = near_vectors(spark.createDataFrame([(1, [1.0]), (1, [1.0]), (None, [1.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in again) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True)]
+
+
+def test_ids_and_dimensions(spark):
+    with pytest.raises(TypeError):
+        near_vectors(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<float>"))
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 5000)).astype(np.float32)
+    v[20:] = v[:20] * 2
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    assert result(near_vectors(spark.createDataFrame(rows, "vec_id int, embedding array<float>"))) == slow(rows)
