@@ -18,14 +18,16 @@ from civicspark.llm.common import shared_table, text_or_empty
 
 #: Labelled documents that the model is fitted on: those with the smallest hash of the id.
 TRAIN_ROWS = 9000
-#: Terms of the lexicon: most of them, and how much likelier a document with one is toxic.
-LEXICON_SIZE, LEXICON_LIFT, LEXICON_DOCS = 2000, 8.0, 4
+#: Terms of the lexicon: in how many toxic documents of the sample one stands at least, and how much likelier they are toxic.
+LEXICON_LIFT, LEXICON_DOCS = 8.0, 4
+#: Terms that the driver and the tasks hold at most, the most telling first; the sample is bounded, and so is what it may hold.
+LEXICON_SIZE = 50_000
 #: Lengths of word beginnings that are terms too.
 STEMS = (4, 5, 6, 7)
 #: Words around a lexicon term in which a second person counts as near.
 NEAR = 6
-#: Words whose flags a Python worker remembers; past it the memory starts anew.
-MEMO = 600_000
+#: Words whose flags a Python worker remembers; past it the memory starts anew. Longer words are not remembered.
+MEMO, MEMO_CHARS = 600_000, 64
 
 EDGE = ".,;:!?\"'()[]*#$%&"
 #: Second persons of the languages in the corpus.
@@ -72,12 +74,14 @@ class Flags(dict):
             found[0], any(found[1:]), low in SECOND, len(bare) > 1 and bare.isupper(), odd, bool(plain) and plain in self.lexicon,
             "!" in word, "?" in word, not bare or word[-2:-1] == word[-1:] and not word[-1:].isalnum(), stretched,
         )
-        self[word] = got = sum(b << k for k, b in enumerate(bits))
+        got = sum(b << k for k, b in enumerate(bits))
+        if len(word) <= MEMO_CHARS:
+            self[word] = got
         return got
 
 
 def features(text: str, flags: Flags) -> list[float]:
-    """The dense features of a text, in the order of FEATURES; shares and densities, except the last two."""
+    """The dense features of a text, in the order of FEATURES; shares and densities, except the counts of hits and the last two."""
     if len(flags) > MEMO:
         flags.clear()
     found = text.split()
@@ -97,7 +101,7 @@ def features(text: str, flags: Flags) -> list[float]:
         near = int((gap <= NEAR).sum())
     upper = len(text) - len(text.translate(_NO_CAPITALS))
     return [
-        count["term"] / n, count["stem"] / n, min(count["term"], 20), min(count["stem"], 20), near / n, count["second"] / n, count["capitals"] / n,
+        count["term"] / n, count["stem"] / n, count["term"], count["stem"], near / n, count["second"] / n, count["capitals"] / n,
         upper / len(text), count["exclaims"] / n, count["question"] / n, count["marks"] / n, count["obfuscated"] / n, count["hidden_term"] / n,
         count["stretched"] / n, float(np.log1p(n)), float(len(hits) > 0),
     ]

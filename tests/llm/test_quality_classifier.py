@@ -1,6 +1,13 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
 
-from civicspark.llm.quality_classifier import BAD, GOOD, LABELLERS, NONE, features, fit_labels, fit_scorer, quality_scores, read, shape, votes
+from civicspark.llm import quality_classifier
+from civicspark.llm.quality_classifier import BAD, BUCKETS, FUNCTION_WORDS, GOOD, LABELLERS, NONE, _within, features, fit_labels, fit_scorer, quality_scores, read, shape, train, votes
 
 DATA = "/root/testdata/sf0.01"
 
@@ -55,3 +62,106 @@ def test_edge_cases(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert [(r.score, r.kept) for r in got if r.doc_id in (1, 2)] == [(0.0, False)] * 2
     assert quality_scores(docs.limit(0)).count() == 0
+
+
+def slow_shape(word):
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
+    return "".join(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1])
+
+
+def slow_votes(text):
+    """The labellers word by word, from their description."""
+    w = text.split()
+    n, abstain = len(w), {name: NONE for name in LABELLERS}
+    if n < 10:
+        return abstain
+    bare = [x.strip(".,;:!?\"'()") for x in w]
+    low = [b.lower() for b in bare]
+    keys = [zlib.crc32(f"w {x}".encode()) % BUCKETS for x in low]
+    top = Counter(keys)
+    share = lambda hits: sum(map(bool, hits)) / n
+    symbol = share(re.search(r"[#*$%&|<>@^~=+{}\\]", x) for x in w)
+    trailing = share(not (x.isalpha() and x.islower()) and re.search(r"[^\w\s.,;:!?\"'()\[\]-]{2,}$|^[^\w\s]$", x) for x in w)
+    capitals = share(len(b) > 1 and b.isupper() for b in bare)
+    function = share(x in FUNCTION_WORDS for x in low)
+    ends = share(x[-1] in ".,;:!?" for x in w)
+    loud = share(x[-2:] in ("!!", "??", "?!", "!?") for x in w)
+    blank = share(not any(c.isalpha() for c in x) for x in w)
+    stutter = sum(a == b for a, b in zip(keys, keys[1:])) / n
+    variety = len(top) / n if n < 200 else len(top) / (200 * (n / 200) ** 0.6)
+    most, length = max(top.values()), sum(map(len, w)) / n
+    pick = lambda bad, good: BAD if bad else GOOD if good else NONE
+    long = n >= 20
+    return {
+        "symbols": pick(symbol > 0.1, symbol < 0.02), "trailing_marks": pick(trailing > 0.1, trailing < 0.02), "capitals": pick(capitals > 0.2, capitals < 0.05),
+        "function_words": pick(long and function < 0.02, function > 0.08), "punctuation": pick(long and not 0.01 <= ends <= 0.5, 0.03 < ends < 0.35),
+        "emphasis": pick(loud > 0.1, loud < 0.02), "no_letters": pick(long and blank > 0.25, blank < 0.05), "stutter": pick(stutter > 0.15, stutter < 0.04),
+        "variety": pick(long and (variety < 0.2 or most > 0.4 * n), variety > 0.35 and most < 0.2 * n), "length": pick(False, n >= 30),
+        "word_length": pick(long and not 2.5 <= length <= 14, 3.5 < length < 9),
+    }
+
+
+def slow_posteriors(rows, rounds=200):
+    """EM over single documents, by loops: rows of votes -> P(good) of each."""
+    good = [{0: 0.95, 1: 0.3}.get(sum(v == BAD for v in r), 0.05) for r in rows]
+    for _ in range(rounds):
+        total = {GOOD: sum(good) + 0.0, BAD: sum(1 - g for g in good)}
+        prior = {c: (total[c] + 1) / (len(rows) + 2) for c in total}
+        chance = {}
+        for k in range(len(LABELLERS)):
+            for c in (BAD, GOOD):
+                seen = {v: 1 + sum((g if c == GOOD else 1 - g) for r, g in zip(rows, good) if r[k] == v) for v in (BAD, GOOD)}
+                chance[k, c] = {v: seen[v] / sum(seen.values()) for v in seen} | {NONE: 1.0}
+        new = []
+        for r in rows:
+            p = {c: math.log(prior[c]) + sum(math.log(chance[k, c][v]) for k, v in enumerate(r)) for c in (BAD, GOOD)}
+            new.append(1 / (1 + math.exp(p[BAD] - p[GOOD])))
+        moved = max(abs(a - b) for a, b in zip(new, good))
+        if moved < 1e-7:
+            break
+        good = new
+    return new
+
+
+def slow_features(text):
+    w = [x.lower() if x.isalpha() and x.islower() else x.strip(".,;:!?\"'()").lower() for x in text.split()]
+    at = lambda x: zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS
+    words, shapes = [at(f"w {x}") for x in w], [at(f"s {slow_shape(x)}") for x in text.split()]
+    marks = [at("p same") if a == b else at("p other") for a, b in zip(words, words[1:])]
+    every = Counter(words) + Counter(shapes) + Counter(shapes) + Counter(marks) + Counter(marks)
+    return {k: math.sqrt(n / sum(every.values())) for k, n in every.items()}
+
+
+def test_whole_table_against_brute_force(spark):
+    """Votes, posteriors, features and scores of all documents by plain loops; the scorer itself is trained by the operator."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    odd = {-1: "x" * 70 + "9 " + "7" * 100 + "a word " * 20, -2: "", -3: "!! ?? \u00e9\u00c9 " * 30}
+    labels, weights = train(docs)
+    rows, said = [], []
+    for i, t in (texts | odd).items():
+        seen = read(t)
+        assert votes(*seen) == list(slow_votes(t).values()), i
+        at, x = features(seen[1], seen[2])
+        assert dict(zip(at.tolist(), x.tolist())) == pytest.approx(slow_features(t)), i
+        if i >= 0:
+            rows.append(list(slow_votes(t).values()))
+            said.append(votes(*seen))
+    assert labels.posterior(np.array(said)) == pytest.approx(np.array(slow_posteriors(rows)), abs=1e-4)
+    for r in quality_scores(docs).collect():
+        z = sum(weights[k] * x for k, x in slow_features(texts[r.doc_id]).items()) + weights[-1]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)) if texts[r.doc_id].split() else 0.0, abs=1e-5) and r.kept == (r.score >= 0.5)
+
+
+def test_long_words_are_read_whole_and_not_remembered():
+    word = "7" * 64 + "a"
+    assert shape(word) == slow_shape(word) == "0a" and shape("ab" * 1000 + "9") == "a0"
+    read(word)
+    assert word not in quality_classifier._WORDS and "plain" in (read("plain") and quality_classifier._WORDS)
+
+
+def test_training_features_are_bounded_together(spark, monkeypatch):
+    assert _within([(3, 5), (1, 4), (2, 9), (4, 1)], 10) == [1, 3, 4]  # in the order of keys; what does not fit is passed over
+    monkeypatch.setattr(quality_classifier, "TRAIN_FEATURES", 200)
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(20)], "doc_id long, text string")
+    assert len(quality_scores(docs).collect()) == 20
