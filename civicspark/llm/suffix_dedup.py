@@ -20,7 +20,7 @@ ANCHOR = 64
 #: Contexts that a sorting task gets in the mean, and that one bucket may bring to it before it is split.
 GROUP, CROWD = 2_500, 8_192
 #: Bytes of a text that are searched for anchors at a time, with an overlap that loses no string.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _POWER = powers(CHUNK)
 _INVERSE = powers(CHUNK, np.uint64(pow(int(BASE), -1, 1 << 64)))
@@ -28,7 +28,7 @@ _PLACE = np.uint64((1 << 21) - 1)
 
 
 #: Rows that a Python task holds unpacked at a time.
-ROWS = 400
+ROWS = 200
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +191,13 @@ def _split_crowds(contexts: DataFrame, length: int, crowd: int) -> tuple[list[Da
     contexts = contexts.withColumns({"least": F.lit(0).cast("long"), "most": F.lit(length - ANCHOR).cast("long")}).select(columns)
     parts, spans = [], []
     while True:
-        sizes = shared_table(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-        small, crowded = sizes.where(F.col("n") <= crowd).select("anchor"), sizes.where(F.col("n") > crowd).select("anchor")
-        parts.append(contexts.join(small, "anchor", "left_semi").select("id", "th", "anchor", "at", "left", "context"))
+        contexts = contexts.withColumn("salt", salt("id", "th", "at"))
+        sizes = shared_table(contexts.groupBy("anchor").agg(F.count("*").alias("n"), salts("salt").alias("salts")).where("n > 1"))
+        small, crowded = (with_salts(sizes.where(c).select("anchor", "salts")) for c in (F.col("n") <= crowd, F.col("n") > crowd))
+        parts.append(contexts.join(small, ["anchor", "salt"], "left_semi").select("id", "th", "anchor", "at", "left", "context"))
         if crowded.isEmpty():
             return parts, spans
-        large = contexts.join(crowded, "anchor", "left_semi")
+        large = contexts.join(crowded, ["anchor", "salt"], "left_semi").drop("salt")
         made = f"id {kind}, th long, at long, anchor long, d1 long, d2 long, least long, most long, left long, context binary"
         halves = shared_table(large.mapInArrow(_halve(length), made)).withColumn("salt", salt("id", "th", "at"))
         key = ["anchor", "d1", "d2"]
@@ -225,8 +226,9 @@ def repeated_spans(texts: DataFrame, length: int = 400, crowd: int = CROWD) -> D
     found = shared_table(texts.mapInArrow(unzip(_find_anchors(length)), names)).withColumn("salt", salt("id", "th", "at"))
     firsts = [F.first(c).alias(c) for c in ("id", "th", "at", "left", "right")]
     classes = shared_table(found.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), salts("salt").alias("salts"), *firsts))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    meet = classes.join(several.select("anchor"), "anchor", "left_semi")
+    classes = classes.withColumn("salt", salt("d1", "d2"))
+    several = classes.groupBy("anchor").agg(F.count("*").alias("contexts"), salts("salt").alias("parts")).where("contexts > 1")
+    meet = classes.join(with_salts(several.select("anchor", "parts"), "parts"), ["anchor", "salt"], "left_semi")
     place = F.struct("anchor", "at", "left", "right")
     places = meet.groupBy("id", "th").agg(F.collect_list(place).alias("places"))
     cut = join_back(texts, places, ["id", "th"], "inner").select("id", "th", "z", "places")
