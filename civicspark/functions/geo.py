@@ -106,7 +106,7 @@ def distance(geometry: Column, px: Column, py: Column, sx: Column | None = None,
     sx, sy = (F.lit(1.0) if s is None else s for s in (sx, sy))
     nearest = F.sqrt(F.array_min(F.transform(geometry["parts"], lambda p: _ring_distance2(px, py, p.coords, sx, sy))))
     solid = F.exists(geometry["parts"], lambda p: p.kind == "polygon")  # only a polygon has an inside to look into
-    return F.when(solid, F.when(contains(geometry, px, py), F.lit(0.0)).otherwise(nearest)).otherwise(nearest)
+    return F.when(solid & contains(geometry, px, py), F.lit(0.0)).otherwise(nearest)
 
 
 def distance_m(geometry: Column, lng: Column, lat: Column) -> Column:

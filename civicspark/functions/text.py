@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,18 +27,28 @@ def none_if_blank(c: Column) -> Column:
     return F.when(~is_blank(c), c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for all its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def street_normalize(c: Column) -> Column:
     """One spelling of street names, one space between words, and enumerations spelt out."""
     for short, long in (("Strasse", "Straße"), ("Str.", "Straße"), ("strasse", "straße"), ("str.", "straße")):
         c = F.replace(c, F.lit(short), F.lit(long))
-    return street_enumeration(F.regexp_replace(c, r"\s+", " "))
+    return let(F.regexp_replace(c, r"\s+", " "), street_enumeration)
 
 
 def street_enumeration(c: Column) -> Column:
     """The first "A-, B- und Cstraße" of a text becomes "Astraße, Bstraße und Cstraße"."""
-    phrase = F.regexp_extract(c, r"((?:\w*-), )*(?:\w*-) und \w*straße", 0)
-    spelt = F.replace(F.replace(phrase, F.lit("-, "), F.lit("straße, ")), F.lit("- und "), F.lit("straße und "))
-    return F.when(phrase != "", F.replace(c, phrase, spelt)).otherwise(c)
+
+    def spelt(phrase: Column) -> Column:
+        out = F.replace(F.replace(phrase, F.lit("-, "), F.lit("straße, ")), F.lit("- und "), F.lit("straße und "))
+        return F.when(phrase != "", F.replace(c, phrase, out)).otherwise(c)
+
+    # few texts hold what every enumeration does; only these are searched for one
+    found = let(F.regexp_extract(c, r"((?:\w*-), )*(?:\w*-) und \w*straße", 0), spelt)
+    return F.when(F.contains(c, F.lit("- und ")), found).otherwise(c)
 
 
 def house_number(c: Column) -> Column:
@@ -59,7 +69,8 @@ def number_normalize(c: Column) -> Column:
 
 def kiez_variants(c: Column) -> Column:
     """A text, and the same with "viertel" for "kiez" and the other way round."""
-    return F.array(c, F.regexp_replace(c, r"(?U)(\w+)(viertel)\b", "$1kiez"), F.regexp_replace(c, r"(?U)(\w+)(kiez)\b", "$1viertel"))
+    swap = lambda old, new: F.when(F.contains(c, F.lit(old)), F.regexp_replace(c, rf"(?U)(\w+)({old})\b", f"$1{new}")).otherwise(c)
+    return F.array(c, swap("viertel", "kiez"), swap("kiez", "viertel"))
 
 
 def districts_in(c: Column) -> Column:

@@ -66,7 +66,7 @@ def search_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("search", "name", "district", "street_number_count", F.col("cost").cast("long").alias("cost"), F.col("rank").cast("long").alias("rank"), "is_duplicate")
 
 
-def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _snapshot_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Finished orders are the snapshot; a batch renames those of high priority and brings the others."""
     columns = ("id", "source_id", "external_id", "title", "state", "hidden", "inserted_at")
     all_items = geo_items(spark, sf_dir).select(*columns, F.col("participation_open").alias("status"))
@@ -76,8 +76,24 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("status"), F.array(F.lit("title"), F.lit("state"), F.lit("hidden"))).otherwise(F.array(F.lit("title"))).alias("present"),
     )
     earlier = batch.withColumn("title", F.lit("overwritten")).withColumn("seq", F.col("seq") - 1)
-    out = merge.merge_snapshot(old, batch.unionByName(earlier), ["source_id", "external_id"], as_of())
-    return out.select("source_id", "external_id", "title", "state", "hidden", "inserted_at", "updated_at")
+    return old, batch.unionByName(earlier)
+
+
+UPSERTED = ("source_id", "external_id", "title", "state", "hidden", "inserted_at", "updated_at")
+
+
+def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, batch = _snapshot_and_batch(spark, sf_dir)
+    return merge.merge_snapshot(old, batch, ["source_id", "external_id"], as_of()).select(*UPSERTED)
+
+
+def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch on a stored snapshot, item by item of one source: folders that it does not touch stay as they are."""
+    old, batch = _snapshot_and_batch(spark, sf_dir)
+    path, keys = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}", ["source_id", "external_id"]
+    merge.store_snapshot(old, path, keys, 16)
+    merge.merge_stored(path, batch.where("source_id = 3"), keys, as_of(), 16)
+    return spark.read.parquet(path).select(*UPSERTED)
 
 
 def reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +136,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_hits, hit_overlap, tag_mentions, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot,
+        text_hits, hit_overlap, tag_mentions, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot, upsert_stored,
         reject_split, quarter_dates, status_map, main_text, stream_alerts,
     )
 }
@@ -264,15 +280,16 @@ select *, count(*) over (partition by search, name) > 1 as is_duplicate from ran
        case when participation_open then timestamp '2001-08-01' else inserted_at end as inserted_at,
        case when participation_open or title = '1-URGENT' then timestamp '2001-08-01' else inserted_at end as updated_at
     from geo_items""",
+    "upsert_stored": with_tables("geo_items")
+    + """, told as (select *, source_id = 3 and (participation_open or title = '1-URGENT') as hit from geo_items where not participation_open or source_id = 3)
+    select source_id, external_id, case when hit then upper(title || ' new') else title end as title, state, hidden,
+       case when participation_open then timestamp '2001-08-01' else inserted_at end as inserted_at, case when hit then timestamp '2001-08-01' else inserted_at end as updated_at
+    from told""",
     "reject_split": with_tables("geo_items")
     + """ select id, case when title = '5-LOW' then 'title is missing' else 'state is unknown' end as reason from geo_items where title = '5-LOW' or hidden""",
     "quarter_dates": """
-with q as (
-    select o_orderkey, quarter(o_orderdate) as q, date_trunc('quarter', o_orderdate) as s, date_trunc('quarter', o_orderdate) + interval 3 months - interval 1 day as e from orders
-)
-select o_orderkey, s - case when q = 1 or (q = 4 and year(s) < 1996) then interval 1 hour else interval 2 hours end as date_start,
-       e - case when q = 4 or (q = 1 and dayofweek(e) = 0) or (q = 3 and year(s) < 1996) then interval 1 hour else interval 2 hours end as date_end
-from q""",
+with q as (select o_orderkey, date_trunc('quarter', o_orderdate) as s, date_trunc('quarter', o_orderdate) + interval 3 months - interval 1 day as e from orders)
+select o_orderkey, (s at time zone 'Europe/Berlin') at time zone 'UTC' as date_start, (e at time zone 'Europe/Berlin') at time zone 'UTC' as date_end from q""",
     "status_map": """
 with coded as (select o_orderkey, (['aul', 'bbg', 'imVerfahren', 'festg', 'other'])[o_orderkey % 5 + 1] as code from orders)
 select o_orderkey, case when code in ('aul', 'bbg', 'imVerfahren') then 'in_planning' when code = 'festg' then 'finished' end as state,
