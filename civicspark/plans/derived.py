@@ -77,7 +77,7 @@ def street_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, n): distinct words of the benchmark passages, numbered by a hash of theirs, which needs no order over all."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name"))
-    words = words.where(F.col("name").rlike("^[A-Za-z]{7,}$")).distinct()
+    words = words.where(F.col("name").rlike(r"^\p{L}{4,}$")).distinct()
     return words.withColumn("n", F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 12), 16, 10).cast("long"))
 
 
@@ -144,7 +144,7 @@ ORACLE = {
     "gazetteer": """words as (
     select distinct unnest(string_split(text, ' ')) as name from benchmark
 ), numbered as (
-    select name, cast('0x' || md5(name)[1:12] as bigint) as n from words where regexp_full_match(name, '[A-Za-z]{7,}')
+    select name, cast('0x' || md5(name)[1:12] as bigint) as n from words where regexp_full_match(name, '\\p{L}{4,}')
 ), gazetteer as (
     select n as id, name, 'src' || (n % 20) as district, (['Park', 'School', 'LOR'])[n % 3 + 1] as type from numbered
     union all select n + 1, name, 'src' || ((n + 7) % 20), (['Park', 'School', 'LOR'])[n % 3 + 1] from numbered where n % 3 = 0)""",

@@ -33,7 +33,7 @@ def hit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets, house numbers and places of all texts, in which a number follows each long word."""
     number = F.concat(F.lit("$1 "), (1 + F.col("doc_id") % 15).cast("string"), F.lit(" "))
-    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", F.lit("([A-Za-z]{7,}) "), number))
+    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", F.lit(r"(\p{L}{4,}) "), number))
     streets, numbers, places = tag_gazetteer(spark, sf_dir)
     return tagging.tag_text(docs, streets, numbers, places).select("doc_id", "kind", "target_id", "name", "district", "resolution")
 
@@ -141,20 +141,20 @@ QUERIES = {
     )
 }
 
-_HITS = """, held as (
-    select doc_id, text, source, name, string_split(text, name) as parts from documents join (select distinct name from gazetteer) on contains(text, name)
-), placed as (
-    select doc_id, text, source, name, cast(1 + list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(name) as bigint) as start
-    from (select *, unnest(range(1, len(parts))) as k from held)
+#: A hit ends where a run of letters and digits ends, and names are letters: hits are ends of runs.
+_HITS = r""", runs as (
+    select doc_id, text, source, unnest(string_split_regex(text, '[^\p{L}\p{Nd}]')) as run, generate_subscripts(string_split_regex(text, '[^\p{L}\p{Nd}]'), 1) as k from documents
+), ended as (
+    select *, cast(sum(length(run) + 1) over (partition by doc_id order by k) - 1 as bigint) as last from runs
 ), hits as (
-    select doc_id, source, name, start, length(name) as length from placed
-    where (start = 1 or text[start - 1] <> '-') and not regexp_matches(text[start + length(name)], '[\\p{L}\\p{Nd}]')
+    select doc_id, source, name, cast(last - n + 1 as bigint) as start, n as length from (select *, unnest(range(4, length(run) + 1)) as n from ended)
+    join (select distinct name from gazetteer) on name = right(run, n) where n < length(run) or last = n or text[last - n] <> '-'
 )"""
 _MENTIONS = r"""
 with words as (
     select distinct unnest(string_split(text, ' ')) as name from benchmark
 ), numbered as (
-    select name, cast('0x' || md5(name)[1:12] as bigint) as n from words where regexp_full_match(name, '[A-Za-z]{7,}')
+    select name, cast('0x' || md5(name)[1:12] as bigint) as n from words where regexp_full_match(name, '\p{L}{4,}')
 ), gazetteer as (
     select n as id, name, 'src' || (n % 20) as district, (['Park', 'School', 'LOR'])[n % 3 + 1] as type from numbered where n % 4 > 0
     union all select n + 1, name, 'src' || ((n + 7) % 20), (['Park', 'School', 'LOR'])[n % 3 + 1] from numbered where n % 12 = 3
@@ -164,16 +164,16 @@ with words as (
 ), numbers as (
     select id * 16 + k as id, id as geo_street_id, k || case when k % 3 = 0 then 'A' else '' end as number from streets, range(1, 16) t(k) where k <= 2 + id % 14
 ), docs as (
-    select doc_id, source, regexp_replace(regexp_replace(text, '([A-Za-z]{7,}) ', '\1 ' || (1 + doc_id % 15) || ' ', 'g'), '\s+', ' ', 'g') as text from documents
+    select doc_id, source, regexp_replace(regexp_replace(text, '(\p{L}{4,}) ', '\1 ' || (1 + doc_id % 15) || ' ', 'g'), '\s+', ' ', 'g') as text from documents
 ), named as (
     select name, bool_or(s) as is_street, bool_or(not s) as is_place from (select name, true as s from streets union all select name, false from gazetteer) group by name
-), held as (
-    select doc_id, text, source, name, is_street, is_place, string_split(text, name) as parts from docs join named on contains(text, name)
-), placed as (
-    select doc_id, text, source, name, is_street, is_place, cast(1 + list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(name) as bigint) as start
-    from (select *, unnest(range(1, len(parts))) as k from held)
+), runs as (
+    select doc_id, text, source, unnest(string_split_regex(text, '[^\p{L}\p{Nd}]')) as run, generate_subscripts(string_split_regex(text, '[^\p{L}\p{Nd}]'), 1) as k from docs
+), ended as (
+    select *, cast(sum(length(run) + 1) over (partition by doc_id order by k) - 1 as bigint) as last from runs
 ), hits as (
-    select *, length(name) as length from placed where (start = 1 or text[start - 1] <> '-') and not regexp_matches(text[start + length(name)], '[\p{L}\p{Nd}]')
+    select doc_id, text, source, name, is_street, is_place, cast(last - n + 1 as bigint) as start, n as length
+    from (select *, unnest(range(4, length(run) + 1)) as n from ended) join named on name = right(run, n) where n < length(run) or last = n or text[last - n] <> '-'
 ), street_hits as (
     select doc_id, name, start, upper(replace(regexp_extract(text[start + length + 1:start + length + 10], '^(\d+(\s*[a-zA-Z])?)'), ' ', '')) as number from hits a
     where is_street and not exists (
