@@ -251,32 +251,28 @@ class _MainText(HTMLParser):
     def __init__(self, tag: str, cls: str | None, role: str | None = None, link_cls: str | None = None):
         super().__init__(convert_charrefs=True)
         self.tag, self.cls, self.role, self.link_cls = tag, cls, role, link_cls
-        self.open: list[tuple[str, bool]] = []  # tags not closed yet, and whether their class is link_cls
-        self.depth, self.mute, self.out, self.links = 0, 0, [], []
+        self.open: list[tuple[str, bool, bool, bool]] = []  # elements not closed yet: tag, whether chosen, of link_cls, without text
+        self.out, self.links = [], []
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         classes = (attrs.get("class") or "").split()
-        if tag == "a" and attrs.get("href") and (self.link_cls is None or self.link_cls in classes or any(inside for _, inside in self.open)):
+        linked = self.link_cls in classes
+        if tag == "a" and attrs.get("href") and (self.link_cls is None or linked or any(e[2] for e in self.open)):
             self.links.append(attrs["href"])
-        if tag in self.VOID:
-            return
-        hit = (self.tag == "*" or tag == self.tag) and (self.cls is None or self.cls in classes) and (self.role is None or attrs.get("role") == self.role)
-        self.open.append((tag, self.link_cls in classes))
-        if self.depth or hit:
-            self.depth += 1
-        self.mute += tag in ("script", "style")
+        if tag not in self.VOID:
+            chosen = (self.tag == "*" or tag == self.tag) and (self.cls is None or self.cls in classes) and (self.role is None or attrs.get("role") == self.role)
+            self.open.append((tag, chosen, linked, tag in ("script", "style")))
 
     def handle_endtag(self, tag):
-        if tag in self.VOID:
-            return
-        if self.open:
-            self.open.pop()
-        self.depth -= bool(self.depth)
-        self.mute -= bool(self.mute and tag in ("script", "style"))
+        """Close the last open element of the tag, and those inside it that were never closed; a stray end closes nothing."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
 
     def handle_data(self, data):
-        if self.depth and not self.mute:
+        if any(e[1] for e in self.open) and not any(e[3] for e in self.open):
             self.out.append(data)
 
 

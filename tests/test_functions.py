@@ -118,3 +118,8 @@ def test_elements_by_class_and_role_and_links_by_class(spark):
     got = text.main_text(pages, tag="*", cls="article", role="main", link_cls="dl").collect()
     assert [(r.main_text, r.links) for r in got] == [("yes and more", ["/1?a&b", "/2"]), (None, []), ("", [])]
     assert [r.download_url for r in text.download_link(pages, "http://s", link_cls="dl").collect()] == ["http://s/1?a&b", None, None]
+
+
+def test_elements_that_are_not_closed(spark):
+    pages = spark.createDataFrame([("<article><p>one<b>two</article><footer>foot</footer></p><article>three</i> four</article>end",)], "html string")
+    assert text.main_text(pages).first().main_text == "onetwothree four"
