@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -79,3 +80,15 @@ def test_edge_cases(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash_components(docs).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (None, 3), (7, 7), (8, 7), (9, 9), (9, 9), (None, None)], key=str)
     assert simhash_components(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(150_000)]
+    other = [*words[:-1], "last"]
+    rows = [(4, " ".join(words)), (2, "\n".join(other)), (9, "x" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint & (2**64 - 1), r.component_id) for r in simhash_components(docs).collect()}
+    fps = {i: slow_fingerprint(t) for i, t in rows}
+    assert {i: f for i, (f, _) in got.items()} == fps
+    assert {i: c for i, (_, c) in got.items()} == slow_groups(list(fps.items()), 2) and got[4][1] == 2
