@@ -33,12 +33,13 @@ def test_relevance_is_distance_and_age_less_a_bonus_in_two_blocks(spark):
 
 
 def test_radius_of_points_and_shapes(spark):
-    line = ("LineString", [("line", 0, 0, [(13.2679, 52.52), (13.3679, 52.52)])])
-    rows = [(1, 13.2679, 52.511, None), (2, None, None, line), (3, 13.2679, 52.55, None)]
+    """An item 111 m to the north of two places, a line 1113 m to the north of a third, and an item far away."""
+    line = ("LineString", [("line", 0, 0, [(13.40, 52.49), (13.50, 52.49)])])
+    rows = [(1, 13.40, 52.481, None), (2, None, None, line), (3, 13.40, 52.60, None)]
     wide = spark.createDataFrame(rows, f"id long, lng double, lat double, geometry {GEOMETRY}")
-    places = spark.createDataFrame([(1, 13.30, 52.51, 2000), (2, 13.2679, 52.51, 100), (3, 13.2679, 52.51, 200)], "sub long, q_lng double, q_lat double, radius_m int")
-    got = {(r["sub"], r.id) for r in spatial.within_metres(places, wide).collect()}
-    assert got == {(1, 2), (3, 1)}
+    asked = [(1, 13.43, 52.48, 1200), (2, 13.43, 52.48, 1000), (3, 13.40, 52.48, 105), (4, 13.40, 52.48, 115)]
+    places = spark.createDataFrame(asked, "sub long, q_lng double, q_lat double, radius_m int")
+    assert {(r["sub"], r.id) for r in spatial.within_metres(places, wide).collect()} == {(1, 2), (4, 1)}
 
 
 def tag(spark, cases, streets=(), numbers=(), places=()):
