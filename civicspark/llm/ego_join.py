@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from civicspark.llm.bitsliced import merge
 from civicspark.llm.common import join_back, shared_table
@@ -16,8 +17,8 @@ from civicspark.llm.components import components
 
 #: Vectors that the principal dimensions are fitted on. They decide speed, never a result.
 BASIS_ROWS = 4096
-#: Vectors of one interval of the grid order, and of a block in which all pairs are compared.
-INTERVAL, LEAF = 16_384, 512
+#: Components of the vectors of one interval of the grid order, and vectors of a block in which all pairs are compared.
+INTERVAL_CELLS, LEAF = 1 << 22, 512
 #: Leading dimensions of the order key, with CELL_BITS each, and of the bounding boxes.
 KEY_DIMS, CELL_BITS, BOX_DIMS = 10, 4, 16
 #: Room for rounding of single-precision bounds.
@@ -151,7 +152,7 @@ def _join_intervals(basis: Basis, cosine: float, dtype: str):
     return run
 
 
-def _join_length(nodes: DataFrame, cosine: float, dtype: str, interval: int) -> DataFrame:
+def _join_length(nodes: DataFrame, cosine: float, dtype: str, cells: int) -> DataFrame:
     """(rep, links, parent) of nodes (rep, n, vec) whose vectors have the same length."""
     sample = nodes.orderBy(F.xxhash64("rep"), "rep").limit(BASIS_ROWS).select("vec").collect()
     basis = Basis(unit(np.frombuffer(b"".join(r.vec for r in sample), dtype=dtype).reshape(len(sample), -1)), cosine)
@@ -166,7 +167,8 @@ def _join_length(nodes: DataFrame, cosine: float, dtype: str, interval: int) ->
     # equal cells are told apart by a hash, so that no crowd of vectors shares a key
     coded = shared_table(coded.withColumn("key", F.shiftleft("cells", 20).bitwiseOR(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)))).drop("cells"))
     total = coded.count()
-    n = max(-(-total // interval), min(12, -(-total // 256)))
+    interval = max(LEAF, cells // max(1, len(sample[0].vec) // np.dtype(dtype).itemsize))  # a task's memory, whatever the dimension
+    n = max(-(-total // interval), min(8, -(-total // 256)))
     if n > 1:
         cuts = coded.agg(F.percentile_approx("key", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("c")).first().c
     else:
@@ -196,20 +198,23 @@ def _join_length(nodes: DataFrame, cosine: float, dtype: str, interval: int) ->
     return rows.groupBy("i", "j").applyInPandas(_join_intervals(basis, cosine, dtype), "rep long, links long, parent long")
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, interval: int = INTERVAL) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, cells: int = INTERVAL_CELLS) -> DataFrame:
     """Link vectors with a cosine of at least `cosine`, in double precision, and group what links reach.
 
     Returns (id_col, n_links, component_id, kept), one row per input row: the number of other vectors
     linked directly, the smallest id reachable, and whether that is the row's own. A vector that is null,
     empty or zero, or holds a null or a component that is not finite, links with nothing, and so does a
     vector of another length. Rows that repeat an id are vectors of their own. A row with a null id links
-    with nothing and is kept. An empty table gives an empty result. Only the two columns are read.
+    with nothing and is kept. An empty table gives an empty result. Only the two columns are read. Ids are
+    integers; ids of another type raise a TypeError.
 
     Equal vectors are one node with a weight. Nodes are sorted by the grid cells of their leading principal
-    dimensions and cut into intervals of about `interval` vectors. Intervals whose bounding boxes come
+    dimensions and cut into intervals of about `cells` numbers each. Intervals whose bounding boxes come
     within the radius meet in a task, which recurses into halves; it returns the number of links of each
     node and a spanning forest, never the pairs.
     """
+    if not isinstance(vectors.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is {vectors.schema[id_col].dataType.simpleString()}; ids must be integers")
     kind = vectors.schema[vec_col].dataType.elementType.simpleString()
     base = vectors.select(F.col(id_col).cast("long").alias("__id"), F.col(vec_col).alias("__vec"))
     base = base.withColumn("__ok", usable(F.col("__vec")) & F.col("__id").isNotNull())
@@ -224,7 +229,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     nodes = shared_table(nodes.mapInPandas(as_bytes, "__h1 long, __h2 long, rep long, n long, vec binary"))
     lengths = [r[0] for r in nodes.select(F.length("vec")).distinct().collect()]
-    parts = [_join_length(nodes.where(F.length("vec") == n).select("rep", "n", "vec"), cosine, dtype, interval) for n in sorted(lengths)]
+    parts = [_join_length(nodes.where(F.length("vec") == n).select("rep", "n", "vec"), cosine, dtype, cells) for n in sorted(lengths)]
     empty = base.sparkSession.createDataFrame([], "rep long, links long, parent long")
     found = empty
     for part in parts:
