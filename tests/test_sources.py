@@ -114,3 +114,23 @@ def test_outline_of_xml(spark, tmp_path):
     xml = "<outlines><outline level='1' title=\"b'Inhalt &amp; mehr'\"><pageno>1</pageno></outline><outline level='2' title='ohne'/><outline title='x y'><dest/><pageno>7</pageno></outline></outlines>"
     got = gazette.outline(gazette.outline_from_xml(spark, put(tmp_path / "toc", "a.xml", xml))).orderBy("pos").collect()
     assert [(r.pos, r.level, r.page_no, r.title) for r in got] == [(0, 1, 1, "Inhalt & mehr"), (1, 2, None, "ohne"), (2, None, 7, "x y")]
+
+
+def test_shapes_of_several_parts(spark, tmp_path):
+    line = lambda x: f"<LineString><coordinates>{x},52 {x},53</coordinates></LineString>"
+    ring = "<Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 2,0 2,2 0,0</coordinates></LinearRing></outerBoundaryIs><innerBoundaryIs><LinearRing><coordinates>1,1 1,1 1,1 1,1</coordinates></LinearRing></innerBoundaryIs></Polygon>"
+    place = lambda body: f"<kml><Document><Placemark>{body}</Placemark></Document></kml>"
+    rows = [{"id": "1", "kml": place(f"<MultiGeometry>{line(13)}{line(14)}{ring}</MultiGeometry>")}, {"id": "2", "kml": place(f"<MultiGeometry>{line(13)}</MultiGeometry>")}, {"id": "3", "kml": place(ring)}, {"id": "4", "kml": "no markup"}]
+    got = {r.external_id: r.geometry for r in feeds.bike_projects(spark, put(tmp_path / "k", "1.json", {"results": rows})).collect()}
+    assert got["1"].type == "GeometryCollection" and [(p.kind, len(p.coords)) for p in got["1"].parts] == [("line", 2), ("line", 2), ("polygon", 4)]
+    assert got["2"].type == "LineString" and got["3"].type == "Polygon" and len(got["3"].parts) == 1 and got["4"] is None
+
+
+def test_long_titles_of_sections(spark):
+    """The link takes a hundred characters of a title, the record 250."""
+    for n in (90, 250, 251):
+        title = "x" * n
+        pages = spark.createDataFrame([("a/b.pdf", 1, f"Kopf\n\nAusgegeben zu Berlin am 3. März 2020\nThema\n{title}\n\nText.")], "file string, page_no int, text string")
+        entries = spark.createDataFrame([("a/b.pdf", 0, 1, "Inhalt"), ("a/b.pdf", 1, 1, "Thema")], "file string, pos int, page_no int, title string")
+        r = gazette.news_records(pages, entries).first()
+        assert r.title == (title if n <= 250 else "x" * 247 + "...") and r.url.endswith("title=" + "x" * min(n, 100)) and r.content == "Text."
