@@ -6,8 +6,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicspark.llm.common import ascii_lower
 from civicspark.llm.ego_join import near_vectors
 from civicspark.llm.line_dedup import line_dedup
+from civicspark.llm.merkle import fold, manifest
 from civicspark.llm.mixing import mix
 from civicspark.llm.packing import pack
 from civicspark.llm.quality_classifier import quality_scores
@@ -74,6 +76,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    tree = manifest(_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"), tampered={"text": lowered})
+    siblings = F.transform("path", lambda s: F.concat(s.before, s.after))
+    out = tree.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"), fold(F.col("tampered_leaf"), F.col("path")).alias("folded_root")
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_quality_classifier": op2_quality_classifier,
@@ -85,6 +97,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -162,5 +175,57 @@ with lines as (
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from judged group by doc_id
+""",
+    "op13_merkle_manifest": r"""
+with recursive given as (
+    select doc_id, lang, row_number() over () as row_id, text,
+           concat_ws('', coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                     coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-')) as head
+    from documents
+), crc(row_id, doc_id, i, c) as (
+    select row_id, cast(doc_id as varchar), 0, cast(4294967295 as ubigint) from given where doc_id is not null
+    union all
+    select row_id, doc_id, i + 1, list_reduce([xor(c, cast(ascii(doc_id[i + 1]) as ubigint))] || [cast(k as ubigint) for k in range(8)],
+               lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384::ubigint) else a >> 1 end)
+    from crc where i < length(doc_id)
+), tampers as (
+    select row_id from crc where i = length(doc_id) and xor(c, cast(4294967295 as ubigint)) % 3 = 0
+), leaves as (
+    select doc_id, row_id, coalesce('=' || lang, '') as grp,
+           sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+           sha256(head || coalesce(strlen(text) || ':' || case when row_id in (from tampers)
+               then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end, '-')) as changed
+    from given
+), placed as (
+    select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by grp) as n from leaves
+), lower_tree(lvl, grp, n, idx, hash) as (
+    select 0, grp, n, idx, leaf from placed
+    union all
+    select lvl + 1, grp, cast(ceil(n / 8) as bigint), idx // 8, sha256(string_agg(hash, '' order by idx)) from lower_tree where n > 1 group by lvl, grp, n, idx // 8
+), subroots as (
+    select grp, hash, row_number() over (order by grp) - 1 as idx, count(*) over () as n from lower_tree where n = 1
+), upper_tree(lvl, n, idx, hash) as (
+    select 0, n, idx, hash from subroots
+    union all
+    select lvl + 1, cast(ceil(n / 8) as bigint), idx // 8, sha256(string_agg(hash, '' order by idx)) from upper_tree where n > 1 group by lvl, n, idx // 8
+), steps as (
+    select p.row_id, 0 as tier, t.lvl, coalesce(string_agg(t.hash, '' order by t.idx) filter (where t.idx < p.idx // cast(8 ** t.lvl as bigint)), '') as l,
+           coalesce(string_agg(t.hash, '' order by t.idx) filter (where t.idx > p.idx // cast(8 ** t.lvl as bigint)), '') as r
+    from placed p join lower_tree t on t.grp = p.grp and t.n > 1 and t.idx // 8 = p.idx // cast(8 ** (t.lvl + 1) as bigint)
+    group by p.row_id, p.idx, t.lvl
+    union all
+    select p.row_id, 1, t.lvl, coalesce(string_agg(t.hash, '' order by t.idx) filter (where t.idx < s.idx // cast(8 ** t.lvl as bigint)), ''),
+           coalesce(string_agg(t.hash, '' order by t.idx) filter (where t.idx > s.idx // cast(8 ** t.lvl as bigint)), '')
+    from placed p join subroots s using (grp) join upper_tree t on t.n > 1 and t.idx // 8 = s.idx // cast(8 ** (t.lvl + 1) as bigint)
+    group by p.row_id, s.idx, t.lvl
+), paths as (
+    select row_id, string_agg(l || r, '' order by tier, lvl) as proof, list({'l': l, 'r': r} order by tier, lvl) as path from steps group by row_id
+), folded(row_id, i, path, h) as (
+    select p.row_id, 0, coalesce(path, []), changed from placed p left join paths using (row_id)
+    union all
+    select row_id, i + 1, path, sha256(path[i + 1].l || h || path[i + 1].r) from folded where i < len(path)
+)
+select doc_id, leaf, s.hash as subroot, u.hash as root, sha256(coalesce(proof, '')) as proof_sha256, f.h as folded_root, f.h = u.hash as verified
+from placed p join subroots s using (grp) join upper_tree u on u.n = 1 left join paths using (row_id) join folded f on f.row_id = p.row_id and f.i = len(f.path)
 """,
 }
