@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from civicspark.llm.chat import digests, format_conversations
 from civicspark.llm.common import ascii_lower
 from civicspark.llm.ego_join import near_vectors
+from civicspark.llm.lexical import LexicalIndex
 from civicspark.llm.line_dedup import line_dedup
 from civicspark.llm.merkle import fold, manifest
 from civicspark.llm.mixing import mix
@@ -77,6 +78,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = LexicalIndex.build(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return index.search(_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,6 +114,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lexical_search": op11_lexical_search,
     "op12_chat_format": op12_chat_format,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
@@ -187,6 +194,32 @@ with lines as (
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from judged group by doc_id
+""",
+    "op11_lexical_search": r"""
+with doc_terms as (
+    select row_number() over () as row_id, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+    from documents
+), sized as (
+    select row_id, doc_id, t, len(t) as n from doc_terms where len(t) > 0
+), totals as (
+    select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from sized
+), postings as (
+    select row_id, doc_id, n, term, count(*) as tf from (select row_id, doc_id, n, unnest(t) as term from sized) group by all
+), weights as (
+    select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from postings, totals group by term
+), asked as (
+    select distinct item_no, item_id, term from (
+        select row_number() over () as item_no, item_id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from benchmark)
+), scored as (
+    select item_no, item_id, row_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) as bigint) as score
+    from asked join postings using (term) join weights using (term), totals group by all
+), ranked as (
+    select *, row_number() over (partition by item_no order by score desc, doc_id nulls first) as rank from scored where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
 """,
     "op13_merkle_manifest": r"""
 with recursive given as (
