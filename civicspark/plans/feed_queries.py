@@ -21,11 +21,17 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _land(rows: DataFrame, page: Column, entry: Column, around: tuple[str, str], name: str, separator: str = ",") -> str:
-    """Write entries, one file of about PAGE of them for each page, between two texts; the pattern of the files."""
+#: Layouts of a collection: between head and entries, between entries, after them. A file has one, a folder all of them.
+LAYOUTS = (("", ",", ""), ("\n", ",\n", "\n"), (" ", " ,\n  ", "\n\n"), ("\n\t", ",", "\n"))
+
+
+def _land(rows: DataFrame, page: Column, entry: Column, around: tuple[str, str], name: str, layouts: tuple = LAYOUTS[:1]) -> str:
+    """Write entries, one file of about PAGE of them for each page, between two texts, in layouts by turns; the pattern of the files."""
     folder = _folder(rows.sparkSession, name)
-    whole = rows.groupBy(page.alias("page")).agg(F.array_join(F.collect_list(entry), separator).alias("value"))
-    whole = whole.select("page", F.concat(F.lit(around[0]), "value", F.lit(around[1])).alias("value"))
+    whole = rows.groupBy(page.alias("page")).agg(F.collect_list(entry).alias("entries"))
+    head, between, tail = (F.element_at(F.array(*[F.lit(x[k]) for x in layouts]), (F.col("page") % len(layouts) + 1).cast("int")) for k in range(3))
+    joined = F.call_function("array_join", F.col("entries"), between)
+    whole = whole.select("page", F.concat(F.lit(around[0]), head, joined, tail, F.lit(around[1])).alias("value"))
     whole.repartition("page").write.partitionBy("page").text(folder)
     return f"{folder}/page=*"
 
@@ -72,7 +78,7 @@ def building_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     plans = _land(o, F.col("page"), entry, ('{"results":[', "]}"), "plans")
     feature = _text('{"type":"Feature","geometry":', _square("x", "y"), ',"properties":{"pk":', s, "}}")
-    shapes = _land(o.where("k % 2 = 0"), F.col("page"), feature, ('{"type":"FeatureCollection","features":[\n', "\n]}"), "shapes", ",\n")
+    shapes = _land(o.where("k % 2 = 0"), F.col("page"), feature, ('{"type":"FeatureCollection","features":[', '],"crs":{"type":"name","properties":{"at":[1,{"x":2}]}}}'), "shapes", LAYOUTS)
     out = feeds.building_plans(spark, plans, shapes)
     c = items.item_point(F.col("geo_point"), F.col("geometry"))
     return out.select(
@@ -124,15 +130,14 @@ def economy_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     geometry = F.when(k % 4 == 0, _text('{"type":"LineString","coordinates":[[1,2],[3,4]]}')).otherwise(_text('{"type":"Point","coordinates":[', F.col("x"), ",", F.col("y"), "]}"))
     properties = _json(title=_text("Work ", s), description=F.col("priority"), url=_text("u/", s), modified=F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     feature = _text('{"type":"Feature","properties":', properties, ',"geometry":', geometry, "}")
-    # one collection on a single line for each page: the form that cannot be split
-    out = feeds.economy_projects(spark, _land(o, F.col("page"), feature, ('{"type":"FeatureCollection","features":[', "]}"), "economy"))
+    out = feeds.economy_projects(spark, _land(o, F.col("page"), feature, ('{"type":"FeatureCollection","features":[', "]}"), "economy", LAYOUTS))
     return out.select("external_id", "title", "description", "url", F.round("geo_point.lng", 6).alias("p_lng"), F.unix_timestamp("date_updated").alias("updated"))
 
 
 def environmental_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, s = _orders(spark, sf_dir), F.col("s")
     row = _text("[", F.col("y"), ",", F.col("x"), ',"Site \\"', s, '\\"","id-', s, '","c","l",[{"id":', s, "}],[]]")
-    out = feeds.environmental_markers(spark, _land(o, F.col("page"), row, ("var markers = [", "];"), "markers"))
+    out = feeds.environmental_markers(spark, _land(o, F.col("page"), row, ("var markers = [", "];"), "markers", LAYOUTS))
     return out.select("external_id", "title", "url", F.round("geo_point.lng", 6).alias("p_lng"), F.round("geo_point.lat", 6).alias("p_lat"))
 
 
@@ -146,7 +151,7 @@ def forum_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = [s, "0", _text('"N &amp; ', s, '"'), "0", told, *["0"] * 7, _text('"http://f/', s, '"'), "0", "0", F.col("y"), F.col("x"), area, _text('"', _date(F.col("day")), '"'), "null"]
     cells += [F.when(k % 4 == 0, "0").otherwise("1"), "0", _text('"', F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss"), '"'), *["0"] * 6]
     row = _text("[", F.array_join(F.array(*[c.cast("string") if isinstance(c, Column) else F.lit(c) for c in cells]), ","), "]")
-    out = feeds.forum_projects(spark, _land(o, F.col("page"), row, ('{"rows":[', "]}"), "forum"))
+    out = feeds.forum_projects(spark, _land(o, F.col("page"), row, ('{"rows":[', "]}"), "forum", LAYOUTS))
     n = F.size(F.get(F.col("geometry.parts"), F.lit(0))["coords"]).cast("long")
     return out.select(
         "external_id", "title", "description", "url", "additional_link", F.round("geo_point.lng", 6).alias("p_lng"), F.when(F.col("geometry").isNotNull(), n).otherwise(-1).alias("n_corners"),
@@ -229,11 +234,11 @@ def street_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parks and planning areas as GeoJSON, a feature a line, and schools as CSV, in one table of places."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("s"), F.col("p_brand").alias("brand"), lng("p_partkey").alias("x"), lat("p_partkey").alias("y"))
-    page, head = F.floor(F.col("k") / PAGE), ('{"type":"FeatureCollection","features":[\n', "\n]}")
+    page, head = F.floor(F.col("k") / PAGE), ('{"type":"FeatureCollection","bbox":[1,2],"features":[', "]}")
     feature = lambda properties: _text('{"type":"Feature","properties":', properties, ',"geometry":', _square("x", "y"), "}")
     park = feature(_json(gml_id=_text("g", F.col("s")), namenr=_text("Hain ", F.col("s")), bezirkname=F.col("brand")))
     area = feature(_json(PLANUNGSRAUM=_text("Raum ", F.col("s")), BEZIRKSNAME=F.col("brand")))
-    parks, areas = (_land(p.where(f"k % 3 = {r}"), page, c, head, n, ",\n") for r, c, n in ((0, park, "parks"), (1, area, "areas")))
+    parks, areas = (_land(p.where(f"k % 3 = {r}"), page, c, head, n, LAYOUTS) for r, c, n in ((0, park, "parks"), (1, area, "areas")))
     schools = _folder(spark, "schools")
     p.where("k % 3 = 2").select(F.col("s").alias("BSN"), _text("Schule ", F.col("s")).alias("Name"), F.lit("Berlin").alias("City"), F.col("x").alias("Longitude"), F.col("y").alias("Latitude")).write.csv(schools, sep=";", header=True)
     every = feeds.parks(spark, parks).unionByName(feeds.planning_areas(spark, areas)).unionByName(feeds.school_csv(spark, schools))
@@ -245,7 +250,7 @@ def outline_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k, s = _orders(spark, sf_dir), F.col("k"), F.col("s")
     page = F.when(k % 3 == 0, "").otherwise(_text("<pageno>", k % 90, "</pageno>"))
     e = _text('<outline level="', k % 3, "\" title=\"b'Thema &amp; ", s, '\'"><dest>x</dest>', page, "</outline>")
-    files = _land(o, F.col("page"), e, ("<outlines>", "</outlines>"), "toc", "\n")
+    files = _land(o, F.col("page"), e, ("<outlines>", "</outlines>"), "toc", (("", "\n", ""),))
     out = gazette.outline(gazette.outline_from_xml(spark, files))
     return out.select("title", F.col("level").cast("long").alias("level"), F.coalesce(F.col("page_no").cast("long"), F.lit(-1)).alias("page_no"))
 

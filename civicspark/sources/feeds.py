@@ -11,6 +11,7 @@ from civicspark.functions.dates import date_range, parse_date, parse_timestamp,
 from civicspark.functions.geo import GEOMETRY, POINT, center, geojson_geometry
 from civicspark.functions.text import districts_of_categories, forum_description, html_unescape, main_text, without_contacts
 from civicspark.operators.items import plan_links, plan_open, plan_state, project_state
+from civicspark.sources.records import records
 
 #: Columns of every geo item, in order, with their types.
 ITEM = {
@@ -61,21 +62,9 @@ def building_plans(spark: SparkSession, plans: str, polygons: str) -> DataFrame:
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, shape, properties) of feature collections, the last two JSON texts.
-
-    Files that have a feature to a line, as the usual tools write them, are read line by line and split over
-    tasks however large they are; other files are read whole, one task each. pos grows with the place in the file.
-    """
-    one = F.regexp_replace(F.trim("value"), r",\s*$", "")
-    lines = spark.read.text(path).select("value").where(F.trim("value").rlike(r"^\{.*\}\s*,?$") & (F.get_json_object(one, "$.type") == "Feature"))
-    if not lines.isEmpty():
-        features = lines.select(F.monotonically_increasing_id().alias("pos"), one.alias("f"))
-    else:
-        raw = spark.read.text(path, wholetext=True)
-        features = raw.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("pos", "f"))
-    return features.select(
-        F.col("pos").cast("long").alias("pos"), F.get_json_object("f", "$.geometry").alias("shape"), F.get_json_object("f", "$.properties").alias("properties")
-    )
+    """(file, pos, shape, properties) of feature collections of any layout, the last two JSON texts; pos is the feature's byte in its file."""
+    f = F.col("value")
+    return records(spark, path, "features").select("file", "pos", F.get_json_object(f, "$.geometry").alias("shape"), F.get_json_object(f, "$.properties").alias("properties"))
 
 
 def _kml_coords(c: Column) -> Column:
@@ -143,9 +132,7 @@ def economy_projects(spark: SparkSession, path: str) -> DataFrame:
 
 def environmental_markers(spark: SparkSession, path: str, site: str = "https://www.uvp-verbund.de/trefferanzeige?docuuid=") -> DataFrame:
     """A script that assigns an array of positional rows: latitude, longitude, title, id and others."""
-    raw = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace(F.regexp_replace("value", r"\A\s*var markers = ", ""), r";\s*\z", "")
-    rows = raw.select(F.posexplode(F.from_json(body, "array<array<string>>")).alias("pos", "r"))
+    rows = records(spark, path, sep="]").select("pos", F.from_json("value", "array<string>").alias("r"))
     r = lambda k: F.get("r", F.lit(k))
     return canonical(rows, "environmental_markers", external_id=r(3), title=r(2), url=F.concat(F.lit(site), r(3)), geo_point=point(r(1), r(0)), seq=F.col("pos"))
 
@@ -162,8 +149,7 @@ def area_polygon(c: Column) -> Column:
 
 def forum_projects(spark: SparkSession, path: str) -> DataFrame:
     """Positional rows of a forum's map; those that are not enabled go."""
-    raw = spark.read.text(path, wholetext=True)
-    rows = raw.select(F.posexplode(F.from_json(F.get_json_object("value", "$.rows"), "array<array<string>>")).alias("pos", "r"))
+    rows = records(spark, path, "rows", sep="]").select("pos", F.from_json("value", "array<string>").alias("r"))
     r = lambda k: F.get("r", F.lit(k))
     day = lambda k: parse_date(r(k)).cast("timestamp")
     return canonical(
