@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.functions.geo import haversine_m
-from civicspark.storage import shared_table
 
 #: States an item may be in.
 STATES = ("intended", "in_preparation", "in_planning", "under_construction", "active", "finished")
@@ -64,31 +63,6 @@ def merge_snapshot(old: DataFrame, batch: DataFrame, keys: list[str], as_of: Col
     return both.select(out)
 
 
-#: Parts of a stored snapshot; a batch rewrites those that its keys fall in.
-BUCKETS = 256
-
-
-def _bucket(keys: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def store_snapshot(snapshot: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
-    """Write a snapshot as Parquet in folders by a hash of its keys, which merge_stored() reads and writes one by one."""
-    parted = snapshot.withColumn("bucket", _bucket(keys, buckets))
-    parted.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def merge_stored(path: str, batch: DataFrame, keys: list[str], as_of: Column, buckets: int = BUCKETS, **how) -> None:
-    """merge_snapshot() on a stored snapshot of at least one row: only the folders that the batch's keys fall in are read, joined and written.
-
-    The merged folders are written aside before they take the place of the old ones, so a lost executor loses nothing.
-    """
-    spark = batch.sparkSession
-    touched = [r[0] for r in batch.select(_bucket(keys, buckets)).distinct().collect()]  # `buckets` numbers at most
-    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
-    store_snapshot(shared_table(merge_snapshot(old, batch, keys, as_of, **how)), path, keys, buckets)
-
-
 def validate(items: DataFrame, required: tuple = ("source_id", "external_id", "title")) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected): rejected rows have reason; a state is one of STATES or null. One bad row stops no batch."""
     reason = F.lit(None).cast("string")

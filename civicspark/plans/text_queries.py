@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import dates, text
 from civicspark.operators import items, merge, search, tagging
+from civicspark.operators.versions import SnapshotStore
 from civicspark.plans.derived import as_of, gazetteer, geo_items, haversine_sql, lat, lng, query_points, street_names, subscriptions, table, tag_gazetteer, with_tables
 from civicspark.storage import shared_dir
 from civicspark.streaming.jobs import alert_stream, landed, sent_alerts
@@ -87,13 +88,24 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_snapshot(old, batch, ["source_id", "external_id"], as_of()).select(*UPSERTED)
 
 
-def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same batch on a stored snapshot, item by item of one source: folders that it does not touch stay as they are."""
+def _store(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """A stored snapshot after three versions: the snapshot, the batch's items of source 3, and without the old items of source 4."""
     old, batch = _snapshot_and_batch(spark, sf_dir)
-    path, keys = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}", ["source_id", "external_id"]
-    merge.store_snapshot(old, path, keys, 16)
-    merge.merge_stored(path, batch.where("source_id = 3"), keys, as_of(), 16)
-    return spark.read.parquet(path).select(*UPSERTED)
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}", ["source_id", "external_id"], 16)
+    store.store(old)
+    store.merge(batch.where("source_id = 3"), as_of())
+    store.delete(old.where("source_id = 4"))
+    return store
+
+
+def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch on a stored snapshot, item by item of one source, as the version after it has it."""
+    return _store(spark, sf_dir).read(2).select(*UPSERTED)
+
+
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed from the first version of a stored snapshot to the last."""
+    return _store(spark, sf_dir).changes(1).select("op", *UPSERTED)
 
 
 def reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +148,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_hits, hit_overlap, tag_mentions, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot, upsert_stored,
+        text_hits, hit_overlap, tag_mentions, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot, upsert_stored, snapshot_changes,
         reject_split, quarter_dates, status_map, main_text, stream_alerts,
     )
 }
@@ -285,6 +297,12 @@ select *, count(*) over (partition by search, name) > 1 as is_duplicate from ran
     select source_id, external_id, case when hit then upper(title || ' new') else title end as title, state, hidden,
        case when participation_open then timestamp '2001-08-01' else inserted_at end as inserted_at, case when hit then timestamp '2001-08-01' else inserted_at end as updated_at
     from told""",
+    "snapshot_changes": with_tables("geo_items")
+    + """, told as (select *, source_id = 3 and (participation_open or title = '1-URGENT') as hit from geo_items where source_id in (3, 4) and (not participation_open or source_id = 3))
+    select case when source_id = 4 then 'delete' when participation_open then 'insert' else 'update' end as op, source_id, external_id,
+       case when hit then upper(title || ' new') else title end as title, state, hidden,
+       case when participation_open then timestamp '2001-08-01' else inserted_at end as inserted_at, case when hit then timestamp '2001-08-01' else inserted_at end as updated_at
+    from told where hit or source_id = 4""",
     "reject_split": with_tables("geo_items")
     + """ select id, case when title = '5-LOW' then 'title is missing' else 'state is unknown' end as reason from geo_items where title = '5-LOW' or hidden""",
     "quarter_dates": """

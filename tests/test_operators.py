@@ -209,20 +209,6 @@ def test_subscription_events_see_those_before_them(spark):
     assert after(spark, [(1, 7, 500, here, 52.0), (2, 7, 600, near, 52.0)], [(1, "unsubscribe", 7, here, 52.0, None)]) == [(7, 600, near)]
 
 
-def test_a_stored_merge_touches_only_its_folders(spark, tmp_path):
-    day, keys = dt.datetime(2020, 1, 1), ["source_id", "external_id"]
-    old = spark.createDataFrame([(k, 1, str(k), "old", day, day) for k in range(200)], "id long, source_id long, external_id string, title string, inserted_at timestamp, updated_at timestamp")
-    path = tmp_path / "snapshot"
-    merge.store_snapshot(old, str(path), keys, 32)
-    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
-    batch = spark.createDataFrame([(1, "7", "new", 1), (1, "new one", "first", 1)], "source_id long, external_id string, title string, seq int")
-    merge.merge_stored(str(path), batch, keys, F.lit(AS_OF), 32)
-    kept = [f for f in path.rglob("*.parquet") if before.get(f) == f.stat().st_mtime_ns]
-    assert len(before) > 25 and len(before) - 2 <= len(kept) < len(before)
-    got = {r.external_id: r.title for r in spark.read.parquet(str(path)).collect()}
-    assert got == {str(k): "new" if k == 7 else "old" for k in range(200)} | {"new one": "first"}
-
-
 def test_news_upsert_replaces_mentions(spark):
     day = dt.datetime(2020, 1, 1)
     old = spark.createDataFrame([(1, 1, "a", "A", day, day), (2, 1, "b", "B", day, day)], "id long, source_id long, external_id string, title string, inserted_at timestamp, updated_at timestamp")
