@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.functions.dates import date_range, newest_date
-from civicspark.functions.geo import bounding_box, center, distance, distance_m
+from civicspark.functions.geo import bounding_box, center, distance, distance_m, line, polygon
 from civicspark.operators import gazetteer, spatial
 from civicspark.plans.derived import (
     as_of,
@@ -55,6 +55,27 @@ def radius_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alerts(spark, sf_dir).select("user_id", "kind", "id")
 
 
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of very unequal size: boxes from some ten metres to the whole city, lines, and points without a shape."""
+    size = F.when(F.col("id") % 97 == 0, 0.5).when(F.col("id") % 5 == 1, 0.0005).when(F.col("id") % 5 == 2, 0.01).when(F.col("id") % 5 == 3, 0.06)
+    at = lambda dx, dy: F.struct((F.col("lng") + dx).alias("lng"), (F.col("lat") + dy).alias("lat"))
+    zero = F.lit(0.0)
+    box = polygon(F.array(at(zero, zero), at(size, zero), at(size, size / 2), at(zero, size / 2), at(zero, zero)))
+    shape = F.when(size.isNull(), F.lit(None)).when(F.col("id") % 5 == 3, line(F.array(at(zero, zero), at(size, zero)))).otherwise(box)
+    return geo_items(spark, sf_dir).withColumn("geometry", shape)
+
+
+def extent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts to items with shapes, by the metres from each subscription to the shape."""
+    return spatial.alerts(subscriptions(spark, sf_dir), _shaped(spark, sf_dir), _since()).select("user_id", "kind", "id")
+
+
+def extent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest items by their shapes."""
+    out = spatial.nearest(query_points(spark, sf_dir), _shaped(spark, sf_dir), 10)
+    return out.select("query_id", "id", F.col("near_rank").cast("long").alias("near_rank"), F.round("dist_deg", 9).alias("degrees"))
+
+
 def alert_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
     users = spatial.users_with_subscriptions(users, subscriptions(spark, sf_dir))
@@ -115,7 +136,7 @@ def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        near_topk, near_relevance, newest_dates, radius_alerts, alert_digest, feed_entries, subscription_match,
+        near_topk, near_relevance, newest_dates, radius_alerts, extent_alerts, extent_topk, alert_digest, feed_entries, subscription_match,
         street_assembly, street_number_counts, bbox_center, geometry_distance, date_ranges,
     )
 }
@@ -133,6 +154,11 @@ _ALERTS = f""", alerted as (
     select distinct s.user_id, i.kind, i.id, i.inserted_at from subscriptions s
     join geo_items i on i.inserted_at >= timestamp '{SINCE}' and i.lat between s.lat - 0.03 and s.lat + 0.03 and {_MET} <= s.radius_m
 )"""
+_SHAPED = """, sized as (
+    select *, cast(case when id % 97 = 0 then 0.5 when id % 5 = 1 then 0.0005 when id % 5 = 2 then 0.01 when id % 5 = 3 then 0.06 end as double) as w from geo_items
+), shaped as (
+    select *, case when id % 5 = 3 then 0 else w / 2 end as h from sized
+)"""
 _LINES = """, points as (
     select district, name, list({'lng': lng, 'lat': lat} order by n, seq) as p, list(number order by n, seq) as numbers, arg_min(city, seq) as city, count(*) as c
     from street_numbers group by district, name
@@ -170,6 +196,25 @@ select * from (
     "newest_dates": with_tables("geo_items")
     + f" select id, {_NEWEST} as newest_date, {_NEWEST} > timestamp '1996-08-01' as is_recent from geo_items",
     "radius_alerts": with_tables("subscriptions", "geo_items") + _ALERTS + " select user_id, kind, id from alerted",
+    "extent_alerts": with_tables("subscriptions", "geo_items")
+    + _SHAPED
+    + f""", placed as (
+    select *, sin(radians(lat)) as sn from subscriptions
+), scaled as (
+    select *, 6378137.0 * pi() / 180 * cos(radians(lat)) / sqrt(1 - 0.0066943799901413165 * sn * sn) as east,
+           6378137.0 * (1 - 0.0066943799901413165) * pi() / 180 / pow(sqrt(1 - 0.0066943799901413165 * sn * sn), 3) as north from placed
+)
+select distinct user_id, kind, id from scaled s join shaped i on i.inserted_at >= timestamp '{SINCE}' and i.lat between s.lat - 0.6 and s.lat + 0.6
+    and case when w is null then {_MET} else sqrt(pow(greatest(i.lng - s.lng, 0, s.lng - (i.lng + w)) * east, 2) + pow(greatest(i.lat - s.lat, 0, s.lat - (i.lat + h)) * north, 2)) end <= s.radius_m""",
+    "extent_topk": with_tables("query_points", "geo_items")
+    + _SHAPED
+    + """, far as (
+    select query_id, id, sqrt(pow(lng - q_lng, 2) + pow(lat - q_lat, 2)) as from_point,
+           case when w is null then sqrt(pow(lng - q_lng, 2) + pow(lat - q_lat, 2))
+                else sqrt(pow(greatest(lng - q_lng, 0, q_lng - (lng + w)), 2) + pow(greatest(lat - q_lat, 0, q_lat - (lat + h)), 2)) end as d
+    from query_points join shaped on not hidden
+)
+select * from (select query_id, id, row_number() over (partition by query_id order by d, id) as near_rank, round(d, 9) as degrees from far where d <= 0.05 or from_point <= 0.05) where near_rank <= 10""",
     "alert_digest": with_tables("subscriptions", "geo_items")
     + _ALERTS
     + """ select user_id, c_name as name, count(*) as n_items, arg_min(id, (inserted_at, id)) as first_id, arg_max(id, (inserted_at, id)) as last_id
