@@ -14,7 +14,7 @@ from civicspark.plans.derived import as_of, geo_items, haversine_sql, lat, lng,
 from civicspark.plans.derived import gazetteer as places_of_words
 from civicspark.plans.spatial_queries import SINCE, _dated, _since
 from civicspark.storage import shared_dir
-from civicspark.streaming.jobs import digest_batches, ingest, landed
+from civicspark.streaming.jobs import digest_batches, digest_windows, ingest, landed
 
 KINDS = ("street", "street_number", "place")
 
@@ -254,11 +254,24 @@ def digest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select("user_id", F.size("items").cast("long").alias("n_items"), F.get(ids, F.lit(0)).alias("first_id"), F.element_at(ids, -1).alias("last_id"))
 
 
+def digest_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as alerts that land in two files, digested for each user and six hours of event time once these are over."""
+    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("user_id", F.lit("geo_item").alias("kind"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("inserted_at"))
+    for part in (0, 1):
+        e.where(F.col("id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    send = lambda digests, number: digests.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    digest_windows(landed(spark, f"{folder}/in", e.schema), f"{folder}/checkpoint", send, "6 hours", "12 hours").awaitTermination()
+    sent = spark.read.schema("user_id long, start timestamp, items array<struct<kind_order:int,inserted_at:timestamp,id:long,kind:string>>").parquet(f"{folder}/out")
+    ids = F.transform("items", lambda x: x["id"])
+    return sent.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.size("items").cast("long").alias("n_items"), F.get(ids, F.lit(0)).alias("first_id"), F.element_at(ids, -1).alias("last_id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         news_positions, near_news, near_both_kinds, polygon_distance, detail_collapse, display_texts, house_numbers, name_candidates, gazetteer_growth, query_formats,
-        float_defaults, entity_decode, map_json, feed_rows, by_ids, source_upsert, place_replace, news_upsert, subscription_events, ingest_events, digest_stream,
+        float_defaults, entity_decode, map_json, feed_rows, by_ids, source_upsert, place_replace, news_upsert, subscription_events, ingest_events, digest_stream, digest_hours,
     )
 }
 
@@ -376,6 +389,11 @@ from n""",
 select l.user_id, cast(coalesce(l.radius, 2000) as bigint) as radius_m, round({_x("l.user_id")}, 6) as lng, round({_y("l.user_id")} + l.place * cast(0.0625 as double) + e.shift, 6) as lat
 from last l join e on e.user_id = l.user_id and e.place = l.place and e.seq = l.s""",
     "ingest_events": """select user_id, arg_max(event_type, (ts, event_id)) as state, arg_max(value, (ts, event_id)) as value, arg_max(event_id, (ts, event_id)) as event_id from events group by user_id""",
+    "digest_hours": """with w as (
+    select user_id, event_id as id, ts, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as start from events
+), over_at as (select max(ts) - interval 12 hours as watermark from events)
+select user_id, start, count(*) as n_items, arg_min(id, (ts, id)) as first_id, arg_max(id, (ts, id)) as last_id
+from w, over_at where start + interval 6 hours <= date_trunc('millisecond', watermark) group by user_id, start""",
     "digest_stream": with_tables("subscriptions", "geo_items")
     + f""", alerted as (
     select distinct s.user_id, i.id, i.inserted_at from subscriptions s

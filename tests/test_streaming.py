@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicspark.storage import shared_dir
-from civicspark.streaming.jobs import alert_stream, digest_batches, ingest, landed, sent_alerts
+from civicspark.streaming.jobs import alert_stream, digest_batches, digest_windows, ingest, landed, sent_alerts
 
 DAY = dt.datetime(2024, 5, 1, 12)
 ITEM = "id long, kind string, inserted_at timestamp, lng double, lat double"
@@ -35,7 +35,7 @@ def test_subscriptions_made_after_the_start_are_alerted(spark, tmp_path):
     got = run(spark, tmp_path, lambda alerts, batch: sent.append((batch, sorted((r.user_id, r.id) for r in alerts.collect()))))
     # item 10 lands again: user 1 knows it, the others do not
     assert got == [(1, 10), (1, 12), (2, 10), (2, 12), (4, 10), (4, 12), (4, 13)]
-    assert sent == [(1, [(1, 12), (2, 10), (2, 12), (4, 10), (4, 12), (4, 13)])]
+    assert [alerts for _, alerts in sent if alerts] == [[(1, 12), (2, 10), (2, 12), (4, 10), (4, 12), (4, 13)]]  # batches that only move the watermark are empty
 
 
 def test_a_batch_that_is_run_again_writes_over_its_part(spark, tmp_path):
@@ -46,6 +46,51 @@ def test_a_batch_that_is_run_again_writes_over_its_part(spark, tmp_path):
     assert run(spark, tmp_path) == first == [(1, 10)]
 
 
+def test_state_expires_and_late_items_are_not_alerted(spark, tmp_path):
+    """Within two days an item is known; what is older than the newest item by more is late. All over restarts."""
+    land(spark, tmp_path / "subs", [(1, 13.0, 52.0, 500)], SUB)
+    hours = lambda n: DAY + dt.timedelta(hours=n)
+    for items, want in (
+        ([(1, 0), (2, 1)], [1, 2]),
+        ([(1, 0), (3, 40)], [1, 2, 3]),  # 1 lands again
+        ([(4, 30), (5, 100)], [1, 2, 3, 4, 5]),  # 4 is late, but not by two days
+        ([(6, 20), (2, 1), (7, 99)], [1, 2, 3, 4, 5, 7]),  # 6 and 2 are too late
+    ):
+        land(spark, tmp_path / "items", [(i, "geo_item", hours(h), 13.0, 52.0) for i, h in items], ITEM)
+        assert run(spark, tmp_path) == [(1, i) for i in want]
+    state = spark.read.format("statestore").load(str(tmp_path / "alerts" / "state" / "once"))
+    assert {r.id for r in state.select("key.id").collect()} <= {5, 7, 4, 3}  # those before the watermark are forgotten
+
+
+def test_found_parts_are_not_read_again(spark, tmp_path):
+    land(spark, tmp_path / "subs", [(1, 13.0, 52.0, 500)], SUB)
+    for n in range(4):
+        land(spark, tmp_path / "items", [(n, "geo_item", DAY, 13.0, 52.0)], ITEM)
+        stream = landed(spark, str(tmp_path / "items"), spark.createDataFrame([], ITEM).schema)
+        alerts = alert_stream(stream, lambda: spark.read.schema(SUB).parquet(str(tmp_path / "subs")), str(tmp_path / "alerts"))
+        alerts.awaitTermination()
+        assert sum(p["numInputRows"] for p in alerts.once.recentProgress) == 1  # of n + 1 found so far
+
+
+def test_windows_of_event_time(spark, tmp_path):
+    schema = "user_id long, kind string, id long, inserted_at timestamp"
+    at = lambda h, m=0: dt.datetime(2024, 5, 1, h, m)
+    sent = []
+    send = lambda digests, number: sent.extend((r.user_id, r.start.hour, [x.id for x in r["items"]]) for r in digests.collect())
+
+    def go():
+        sent.clear()
+        digest_windows(landed(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), str(tmp_path / "state"), send).awaitTermination()
+        return sorted(sent)
+
+    land(spark, tmp_path / "in", [(1, "news_item", 5, at(8, 1)), (1, "geo_item", 7, at(8, 59)), (1, "geo_item", 7, at(8, 59)), (2, "geo_item", 7, at(9)), (1, "geo_item", 8, at(9, 30))], schema)
+    assert go() == []  # no window has been over for an hour
+    land(spark, tmp_path / "in", [(1, "geo_item", 6, at(8, 30)), (3, "geo_item", 1, at(10, 10))], schema)
+    assert go() == [(1, 8, [6, 7, 5])]  # with the late row, geo items first
+    land(spark, tmp_path / "in", [(1, "geo_item", 9, at(8, 40)), (3, "geo_item", 1, at(23))], schema)
+    assert go() == [(1, 9, [8]), (2, 9, [7]), (3, 10, [1])]  # 9 came too late
+
+
 def test_no_subscriptions(spark, tmp_path):
     land(spark, tmp_path / "subs", [], SUB)
     land(spark, tmp_path / "items", [(10, "geo_item", DAY, 13.0, 52.0)], ITEM)
