@@ -19,16 +19,17 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("hints"))
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.text_hits(_docs(spark, sf_dir), gazetteer(spark, sf_dir))
+def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.text_hits(_docs(spark, sf_dir), gazetteer(spark, sf_dir)).select("doc_id", "name", "start", "length")
 
 
-def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("doc_id", "name", "start", "length")
+def keyed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits by keys, as for a gazetteer that no task can hold."""
+    return tagging.text_hits(_docs(spark, sf_dir), gazetteer(spark, sf_dir), max_terms=0).select("doc_id", "name", "start", "length", "is_longest")
 
 
 def hit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).where("is_longest").select("doc_id", "name", "start")
+    return tagging.text_hits(_docs(spark, sf_dir), gazetteer(spark, sf_dir), only_longest=True).select("doc_id", "name", "start")
 
 
 def tag_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +149,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_hits, hit_overlap, tag_mentions, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot, upsert_stored, snapshot_changes,
+        text_hits, keyed_hits, hit_overlap, tag_mentions, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot, upsert_stored, snapshot_changes,
         reject_split, quarter_dates, status_map, main_text, stream_alerts,
     )
 }
@@ -238,6 +239,11 @@ _ENUM = "((?:[A-Za-z0-9_]*-), )*(?:[A-Za-z0-9_]*-) und [A-Za-z0-9_]*straße"
 
 ORACLES = {
     "text_hits": with_tables("gazetteer") + _HITS + " select doc_id, name, start, length from hits",
+    "keyed_hits": with_tables("gazetteer")
+    + _HITS
+    + """ select doc_id, name, start, length, not exists (
+        select 1 from hits b where a.doc_id = b.doc_id and a.start < b.start + b.length and b.start < a.start + a.length and (a.name, a.start) <> (b.name, b.start)
+        and (b.length > a.length or b.length = a.length and (b.start, b.name) < (a.start, a.name))) as is_longest from hits a""",
     "hit_overlap": with_tables("gazetteer")
     + _HITS
     + """ select doc_id, name, start from hits a where not exists (
