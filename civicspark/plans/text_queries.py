@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.functions import dates, text
-from civicspark.operators import items, merge, search, tagging
+from civicspark.operators import items, merge, retag, search, tagging
 from civicspark.operators.versions import SnapshotStore
 from civicspark.plans.derived import as_of, gazetteer, geo_items, haversine_sql, lat, lng, query_points, street_names, subscriptions, table, tag_gazetteer, with_tables
-from civicspark.storage import shared_dir
+from civicspark.storage import shared_dir, shared_table
 from civicspark.streaming.jobs import alert_stream, landed, sent_alerts
 
 
@@ -32,12 +32,28 @@ def hit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.text_hits(_docs(spark, sf_dir), gazetteer(spark, sf_dir), only_longest=True).select("doc_id", "name", "start")
 
 
-def tag_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streets, house numbers and places of all texts, in which a number follows each long word."""
+def _numbered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts, in which a number follows each long word."""
     number = F.concat(F.lit("$1 "), (1 + F.col("doc_id") % 15).cast("string"), F.lit(" "))
-    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", F.lit(r"(\p{L}{4,}) "), number))
-    streets, numbers, places = tag_gazetteer(spark, sf_dir)
-    return tagging.tag_text(docs, streets, numbers, places).select("doc_id", "kind", "target_id", "name", "district", "resolution")
+    return _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", F.lit(r"(\p{L}{4,}) "), number))
+
+
+MENTION = ("doc_id", "kind", "target_id", "name", "district", "resolution")
+
+
+def tag_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets, house numbers and places of all texts."""
+    return tagging.tag_text(_numbered_docs(spark, sf_dir), *tag_gazetteer(spark, sf_dir)).select(*MENTION)
+
+
+def retag_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mentions, first those of a part of the gazetteer, then by difference those of the whole one."""
+    docs, new = _numbered_docs(spark, sf_dir), tag_gazetteer(spark, sf_dir)
+    old = tuple(t.where("id % 40 > 0") for t in new)
+    before = shared_table(tagging.tag_text(docs, *old))
+    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    retag.store_index(retag.word_index(docs), path)
+    return retag.retag(docs, before, spark.read.parquet(path), old, new).select(*MENTION)
 
 
 def street_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +165,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_hits, keyed_hits, hit_overlap, tag_mentions, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot, upsert_stored, snapshot_changes,
+        text_hits, keyed_hits, hit_overlap, tag_mentions, retag_growth, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot, upsert_stored, snapshot_changes,
         reject_split, quarter_dates, status_map, main_text, stream_alerts,
     )
 }
@@ -250,6 +266,7 @@ ORACLES = {
         select 1 from hits b where a.doc_id = b.doc_id and a.start < b.start + b.length and b.start < a.start + a.length and (a.name, a.start) <> (b.name, b.start)
         and (b.length > a.length or b.length = a.length and (b.start, b.name) < (a.start, a.name)))""",
     "tag_mentions": _MENTIONS,
+    "retag_growth": _MENTIONS,
     "street_normalize": r"""
 with spelt as (
     select doc_id, regexp_replace(replace(replace(replace(replace(text, 'Strasse', 'Straße'), 'Str.', 'Straße'), 'strasse', 'straße'), 'str.', 'straße'), '\s+', ' ', 'g') as t
