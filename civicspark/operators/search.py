@@ -33,23 +33,23 @@ def _grams(c: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, n))
 
 
-def search_contains(searches: DataFrame, streets: DataFrame, shown: int = SHOWN, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
-    """Names that contain a search of three characters or more, or of whose words each search word begins one.
-
-    Ranked by numbers, weighted edit distance and name. tokens makes the words of both sides, such as
-    german_tokens() for stems without stop words. Names that contain the search share its first three
-    characters with it, and names found by words the longest word's first three; these are the keys of an
-    inverted index that finds the candidates. Searches and names are told apart by their whole rows.
-    """
+def asked_with_keys(searches: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """searches of three characters or more with __low, __words, and a row for each key __k that a name it finds may have."""
     asked = searches.where(F.length("search") >= 3).withColumns({"__low": F.lower("search"), "__words": tokens(F.col("search"))})
     longest = F.array_max(F.transform("__words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keys = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("c"), F.substring("__low", 1, 3)), F.concat(F.lit("w"), F.substring(longest, 1, 3)))))
-    asked = asked.withColumn("__k", F.explode(keys))
-    named = streets.withColumns({"__name": F.lower("name"), "__tokens": tokens(F.col("name"))})
-    inside = F.when(F.length("__name") >= 3, _grams(F.col("__name"), 3)).otherwise(F.array().cast("array<string>"))
-    heads = F.flatten(F.transform("__tokens", lambda t: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(t, F.lit(1), n))))
-    index = F.concat(F.transform(inside, lambda g: F.concat(F.lit("c"), g)), F.transform(heads, lambda h: F.concat(F.lit("w"), h)))
-    pairs = asked.join(named.withColumn("__k", F.explode(F.array_distinct(index))), "__k")
+    return asked.withColumn("__k", F.explode(keys))
+
+
+def name_index_keys(name: Column, words: Column) -> Column:
+    """The keys that find a lower-case name with these words: its runs of three characters, and the beginnings of its words."""
+    inside = F.when(F.length(name) >= 3, _grams(name, 3)).otherwise(F.array().cast("array<string>"))
+    heads = F.flatten(F.transform(words, lambda t: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(t, F.lit(1), n))))
+    return F.array_distinct(F.concat(F.transform(inside, lambda g: F.concat(F.lit("c"), g)), F.transform(heads, lambda h: F.concat(F.lit("w"), h))))
+
+
+def ranked_matches(pairs: DataFrame, shown: int) -> DataFrame:
+    """Of pairs of a search (search, __low, __words) and a name (name, __name, __tokens and others) those that match, ranked."""
     part = F.contains("__name", F.col("__low"))
     every = (F.size("__words") > 0) & F.forall("__words", lambda w: F.exists("__tokens", lambda t: F.startswith(t, w)))
     found = pairs.where(part | every).drop("__k", "__low", "__words", "__name", "__tokens").distinct()
@@ -57,6 +57,19 @@ def search_contains(searches: DataFrame, streets: DataFrame, shown: int = SHOWN,
     return _rank(found, F.desc("street_number_count"), F.col("cost"), F.col("name"), F.col("district"), shown=shown)
 
 
+def search_contains(searches: DataFrame, streets: DataFrame, shown: int = SHOWN, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
+    """Names that contain a search of three characters or more, or of whose words each search word begins one.
+
+    Ranked by numbers, weighted edit distance and name. tokens makes the words of both sides, such as
+    german_tokens() for stems without stop words; a StreetIndex has those by default. Names that contain the search share its
+    first three characters with it, and names found by words the longest word's first three; these are the keys
+    that find the candidates. Searches and names are told apart by their whole rows.
+    """
+    named = streets.withColumns({"__name": F.lower("name"), "__tokens": tokens(F.col("name"))})
+    pairs = asked_with_keys(searches, tokens).join(named.withColumn("__k", F.explode(name_index_keys(F.col("__name"), F.col("__tokens")))), "__k")
+    return ranked_matches(pairs, shown)
+
+
 def with_duplicate_mark(found: DataFrame) -> DataFrame:
     """Whether a name stands more than once in a result, so that its district should be shown."""
     return found.withColumn("is_duplicate", F.count("*").over(Window.partitionBy("search", "name")) > 1)

@@ -28,14 +28,15 @@ class SnapshotStore:
     """A table of one row per key in a folder, in numbered versions from 1.
 
     The keys and the number of buckets are those of the first store() and hold for all versions; opening a
-    folder with others is an error. Any file system that Spark reaches will do if it renames at once.
+    folder with others is an error. Any file system that Spark reaches will do if it renames at once. by: those of the keys
+    that decide on the bucket, all by default; files are sorted by them, so that filters on them skip parts of files.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None, by: list[str] | None = None):
+        self.spark, self.path, self.keys, self.by = spark, path.rstrip("/"), list(keys), list(by or keys)
         known = self.manifest(None) if self.versions() else None
-        if known and (known["keys"] != self.keys or buckets not in (None, known["buckets"])):
-            raise ValueError(f"{path} is stored by {known['keys']} in {known['buckets']} buckets")
+        if known and (known["keys"] != self.keys or known["by"] != self.by or buckets not in (None, known["buckets"])):
+            raise ValueError(f"{path} is stored by {known['keys']} in {known['buckets']} buckets of {known['by']}")
         self.buckets = known["buckets"] if known else buckets or BUCKETS
 
     # files of the store, through Spark's own file systems
@@ -66,7 +67,7 @@ class SnapshotStore:
         jvm, fs = self.spark._jvm, self._files()
         aside = f"versions/.{uuid.uuid4().hex}"
         stream = fs.create(self._at(aside))
-        stream.write(bytearray(json.dumps({"version": version, "keys": self.keys, "buckets": self.buckets, "schema": schema.jsonValue(), "parts": parts}).encode()))
+        stream.write(bytearray(json.dumps({"version": version, "keys": self.keys, "by": self.by, "buckets": self.buckets, "schema": schema.jsonValue(), "parts": parts}).encode()))
         stream.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # none: does not write over
@@ -80,12 +81,12 @@ class SnapshotStore:
         return version
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame) -> dict[str, str]:
         """Write rows to a new folder and give the parts that came out."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", *self.by).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
 
     def _rows(self, manifest: dict, buckets: set[str] | None = None) -> DataFrame:
@@ -99,6 +100,13 @@ class SnapshotStore:
         """The rows of a version, the last one without a number."""
         return self._rows(self.manifest(version))
 
+    def read_for(self, wanted: DataFrame, version: int | None = None) -> DataFrame:
+        """The rows of a version in the buckets that the wanted rows (columns `by`) fall in: a superset of the rows with their values."""
+        return self._rows(self.manifest(version), self._touched(wanted))
+
+    def _touched(self, rows: DataFrame) -> set[str]:
+        return {str(r[0]) for r in rows.select(self._bucket()).distinct().collect()}  # numbers below `buckets`
+
     def store(self, snapshot: DataFrame) -> int:
         """A version that holds the snapshot and nothing else. Rows of equal keys are all kept; keys may be null."""
         before = max(self.versions(), default=0)
@@ -107,7 +115,7 @@ class SnapshotStore:
     def _changed(self, batch: DataFrame, change) -> int:
         before = max(self.versions())
         manifest = self.manifest(before)
-        touched = {str(r[0]) for r in batch.select(self._bucket()).distinct().collect()}  # numbers below `buckets`
+        touched = self._touched(batch)
         if not touched:
             return before
         old = self._rows(manifest, touched)
@@ -119,6 +127,17 @@ class SnapshotStore:
         """The version after merge_snapshot(): only the buckets that the batch's keys fall in are read, joined and written."""
         return self._changed(batch, lambda old: merge_snapshot(old, batch, self.keys, as_of, **how))
 
+    def change(self, deltas: DataFrame) -> int:
+        """The version after deltas: rows of the table with `gone`, true where a row of these keys goes and false where this one is put."""
+        last = deltas.groupBy(*self.keys).agg(F.min_by(F.struct(*[c for c in deltas.columns if c not in self.keys]), "gone").alias("__d"))
+
+        def apply(old: DataFrame) -> DataFrame:
+            kept = old.join(last.select(*self.keys), self.keys, "left_anti")
+            put = last.where(~F.col("__d.gone")).select(*self.keys, "__d.*").select(old.columns)
+            return kept.unionByName(put)
+
+        return self._changed(deltas, apply)
+
     def delete(self, keys: DataFrame) -> int:
         """The version without the rows of these keys; a null key matches a null key."""
         gone = keys.select(*[F.col(k).alias(f"__g_{k}") for k in self.keys]).distinct()

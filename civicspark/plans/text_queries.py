@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import dates, text
 from civicspark.operators import items, merge, retag, search, tagging
+from civicspark.operators.search_index import StreetIndex
 from civicspark.operators.versions import SnapshotStore
 from civicspark.plans.derived import as_of, gazetteer, geo_items, haversine_sql, lat, lng, query_points, street_names, subscriptions, table, tag_gazetteer, with_tables
 from civicspark.storage import shared_dir, shared_table
@@ -84,6 +85,21 @@ def search_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("search", "name", "district", "street_number_count", F.col("cost").cast("long").alias("cost"), F.col("rank").cast("long").alias("rank"), "is_duplicate")
 
 
+def search_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches in other inflections than the names, by a stored index that half of the names came into later and some left."""
+    k = F.col("o_orderkey")
+    pick = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), (k % len(words) + 1).cast("int"))
+    number = (k % 1000).cast("string")
+    named = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.concat(pick("Alter Garten ", "Alte Gärten ", "Neues Haus ", "Neue Häuser "), number).alias("name"), F.col("o_orderstatus").alias("district"), k.alias("street_number_count")
+    )
+    index = StreetIndex(spark, f"{shared_dir(spark)}/streets-{uuid.uuid4().hex}", buckets=16)
+    index.upsert(named.where("id % 2 = 0").withColumn("name", F.when(F.col("id") % 10 == 0, F.lit("Umbenannt")).otherwise(F.col("name"))))
+    index.upsert(named.where("id % 2 = 1 or id % 10 = 0"), named.where("id % 14 = 2"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.element_at(F.array(F.lit("der alte Gärten "), F.lit("neuen Hauses ")), (F.col("p_partkey") % 2 + 1).cast("int")), (F.col("p_partkey") % 100).cast("string")).alias("search")).distinct()
+    return index.search(p).select("search", "name", "district", "street_number_count", F.col("rank").cast("long").alias("rank"))
+
+
 def _snapshot_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Finished orders are the snapshot; a batch renames those of high priority and brings the others."""
     columns = ("id", "source_id", "external_id", "title", "state", "hidden", "inserted_at")
@@ -165,7 +181,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_hits, keyed_hits, hit_overlap, tag_mentions, retag_growth, street_normalize, dehyphen, title_description, search_prefix, search_contains, upsert_snapshot, upsert_stored, snapshot_changes,
+        text_hits, keyed_hits, hit_overlap, tag_mentions, retag_growth, street_normalize, dehyphen, title_description, search_prefix, search_contains, search_stems, upsert_snapshot, upsert_stored, snapshot_changes,
         reject_split, quarter_dates, status_map, main_text, stream_alerts,
     )
 }
@@ -310,6 +326,15 @@ select * from (
     select search, name, district, street_number_count, cost, row_number() over (partition by search order by street_number_count desc, cost, name, district) as rank from found
 )
 select *, count(*) over (partition by search, name) > 1 as is_duplicate from ranked where rank <= 10""",
+    "search_stems": """with n as (
+    select o_orderkey as k, o_orderkey % 4 // 2 as stem, cast(o_orderkey % 1000 as varchar) as number, o_orderstatus as district,
+           (['Alter Garten ', 'Alte Gärten ', 'Neues Haus ', 'Neue Häuser '])[o_orderkey % 4 + 1] || (o_orderkey % 1000) as name
+    from orders where o_orderkey % 14 <> 2 or o_orderkey % 10 = 0
+), s as (
+    select distinct p_partkey % 2 as stem, cast(p_partkey % 100 as varchar) as number, (['der alte Gärten ', 'neuen Hauses '])[p_partkey % 2 + 1] || (p_partkey % 100) as search from part
+)
+select * from (select search, name, district, k as street_number_count, row_number() over (partition by search order by k desc) as rank from s join n on s.stem = n.stem and starts_with(n.number, s.number))
+where rank <= 10""",
     "upsert_snapshot": with_tables("geo_items")
     + """ select source_id, external_id, case when participation_open or title = '1-URGENT' then upper(title || ' new') else title end as title, state, hidden,
        case when participation_open then timestamp '2001-08-01' else inserted_at end as inserted_at,
