@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civicspark.functions.geo import center
 from civicspark.functions.text import none_if_blank, text_to_html
+from civicspark.storage import shared_table
 
 #: Codes of building plans, and labels of states.
 PLAN_STATES = {"aul": "in_planning", "bbg": "in_planning", "imVerfahren": "in_planning", "festg": "finished"}
@@ -119,6 +120,30 @@ def cached_geometries(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return p.select("news_item_id", F.when(F.size(shapes) > 0, shapes).alias("geometries"), F.when(F.size(points) > 0, points).alias("geo_points"))
 
 
+def refresh_geometries(
+    cached: DataFrame, mentions: DataFrame, gazetteer: DataFrame, changed_news: DataFrame | None = None, changed_places: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(changes, cached after them): cached_geometries() kept up by what changed alone.
+
+    changed_news (news_item_id): news items whose mentions came, went or changed; changed_places (kind, target_id):
+    rows of the gazetteer that did. mentions and gazetteer are those after the change. Items with a changed
+    mention, or a mention of a changed row, are made anew; of the others neither mentions nor geometries are touched. changes
+    has the items made anew, with gone = true for those that have no position left, as SnapshotStore.change() takes them.
+    """
+    touched = cached.select("news_item_id").limit(0)
+    if changed_news is not None:
+        touched = touched.unionByName(changed_news.select("news_item_id"))
+    if changed_places is not None:
+        touched = touched.unionByName(mentions.join(changed_places.select("kind", "target_id").distinct(), ["kind", "target_id"], "left_semi").select("news_item_id"))
+    touched = shared_table(touched.distinct())
+    their = mentions.join(touched, "news_item_id", "left_semi")
+    wanted = gazetteer.join(their.select("kind", "target_id").distinct(), ["kind", "target_id"], "left_semi")
+    new = cached_geometries(their, wanted)
+    changes = shared_table(touched.join(new.withColumn("__there", F.lit(True)), "news_item_id", "left").withColumn("gone", F.col("__there").isNull()).drop("__there"))
+    after = cached.join(touched, "news_item_id", "left_anti").unionByName(changes.where("not gone").drop("gone").select(cached.columns))
+    return changes, after
+
+
 def collapse_single_news(details: DataFrame) -> DataFrame:
     """details (kind, target_id, news_item_id): what has exactly one news item is shown as that item."""
     n = F.count("news_item_id").over(Window.partitionBy("kind", "target_id"))

@@ -86,9 +86,13 @@ class SnapshotStore:
     def _write(self, rows: DataFrame) -> dict[str, str]:
         """Write rows to a new folder and give the parts that came out."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", *self.by).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", *self.by).write.options(**self._skipping(rows)).partitionBy("bucket").parquet(f"{self.path}/{folder}")
         return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
 
+    def _skipping(self, rows: DataFrame) -> dict[str, str]:
+        """Bloom filters on the columns that rows are looked up by."""
+        return {f"parquet.bloom.filter.enabled#{c}": "true" for c in self.by if rows.schema[c].dataType.typeName() != "boolean"}
+
     def _rows(self, manifest: dict, buckets: set[str] | None = None) -> DataFrame:
         schema = StructType.fromJson(manifest["schema"])
         paths = [f"{self.path}/{folder}" for bucket, folder in manifest["parts"].items() if buckets is None or bucket in buckets]
@@ -104,6 +108,17 @@ class SnapshotStore:
         """The rows of a version in the buckets that the wanted rows (columns `by`) fall in: a superset of the rows with their values."""
         return self._rows(self.manifest(version), self._touched(wanted))
 
+    def lookup(self, version: int | None = None, **key) -> DataFrame:
+        """The rows with these values of the columns `by`: one bucket is read, of whose files Parquet skips what cannot have them."""
+        if set(key) != set(self.by):
+            raise ValueError(f"rows are looked up by {self.by}")
+        kinds = {f["name"]: f["type"] for f in self.manifest(version)["schema"]["fields"]}
+        asked = self.spark.range(1).select(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in key.items()])
+        found = self.read_for(asked, version)
+        for c, v in key.items():
+            found = found.where(F.col(c) == F.lit(v).cast(kinds[c]))
+        return found
+
     def _touched(self, rows: DataFrame) -> set[str]:
         return {str(r[0]) for r in rows.select(self._bucket()).distinct().collect()}  # numbers below `buckets`
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from civicspark.functions import geo, text
 from civicspark.functions.geo import GEOMETRY, POINT
 from civicspark.operators import gazetteer, items, merge, spatial
+from civicspark.operators.versions import SnapshotStore
 from civicspark.plans.derived import as_of, geo_items, haversine_sql, lat, lng, query_points, subscriptions, table, with_tables
 from civicspark.plans.derived import gazetteer as places_of_words
 from civicspark.plans.spatial_queries import SINCE, _dated, _since
@@ -51,9 +52,21 @@ def news_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def geometry_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached geometries of news, made from a part of mentions and gazetteer and brought up to the whole by what was missing."""
+    mentions, places = _mentions(spark, sf_dir), _gazetteer(spark, sf_dir)
+    some, known = mentions.where("news_item_id % 5 > 0"), places.where("target_id % 11 > 0")
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/geometries-{uuid.uuid4().hex}", ["news_item_id"], 16)
+    store.store(items.cached_geometries(some, known))
+    changes, _ = items.refresh_geometries(store.read(), mentions, places, mentions.where("news_item_id % 5 = 0"), places.where("target_id % 11 = 0"))
+    store.change(changes)
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return store.read().select("news_item_id", count("geometries").alias("n_geometries"), count("geo_points").alias("n_points"))
+
+
 def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth order as news with two points, every tenth with a line too."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").withColumn("other", F.col("o_orderkey") + 333)
+    """Every order as news with two points, every tenth with a line too."""
+    o = table(spark, sf_dir, "orders").withColumn("other", F.col("o_orderkey") + 333)
     a = F.struct(lng("o_orderkey").alias("lng"), lat("o_orderkey").alias("lat"))
     b = F.struct(lng("other").alias("lng"), lat("other").alias("lat"))
     c = F.struct((lng("o_orderkey") + 0.03).alias("lng"), lat("o_orderkey").alias("lat"))
@@ -87,7 +100,7 @@ def polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detail_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(_kind(F.col("l_linenumber")).alias("kind"), F.col("l_partkey").alias("target_id"), F.col("l_orderkey").alias("news_item_id"))
+    li = table(spark, sf_dir, "lineitem").select(_kind(F.col("l_linenumber")).alias("kind"), F.col("l_partkey").alias("target_id"), F.col("l_orderkey").alias("news_item_id"))
     return items.collapse_single_news(li.distinct())
 
 
@@ -270,7 +283,7 @@ def digest_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        news_positions, near_news, near_both_kinds, polygon_distance, detail_collapse, display_texts, house_numbers, name_candidates, gazetteer_growth, query_formats,
+        news_positions, geometry_refresh, near_news, near_both_kinds, polygon_distance, detail_collapse, display_texts, house_numbers, name_candidates, gazetteer_growth, query_formats,
         float_defaults, entity_decode, map_json, feed_rows, by_ids, source_upsert, place_replace, news_upsert, subscription_events, ingest_events, digest_stream, digest_hours,
     )
 }
@@ -291,11 +304,11 @@ _POSITIONS = f"""with mentions as (
 )"""
 _NEWS = f"""news as (
     select o_orderkey as id, o_orderkey % 35 = 0 as hidden, o_orderdate as published_at, {_x("o_orderkey")} as xa, {_y("o_orderkey")} as ya,
-           {_x("(o_orderkey + 333)")} as xb, {_y("(o_orderkey + 333)")} as yb from orders where o_orderkey % 5 = 0
+           {_x("(o_orderkey + 333)")} as xb, {_y("(o_orderkey + 333)")} as yb from orders
 ), far as (
     select q.*, n.*, least(sqrt((xa - q_lng) * (xa - q_lng) + (ya - q_lat) * (ya - q_lat)), sqrt((xb - q_lng) * (xb - q_lng) + (yb - q_lat) * (yb - q_lat)),
         case when id % 10 = 0 then sqrt(pow(greatest(xa - q_lng, q_lng - (xa + 0.03), 0), 2) + (ya - q_lat) * (ya - q_lat)) else 9 end) as dist_deg
-    from query_points q, news n where not hidden and id % 5 = 0
+    from query_points q, news n where not hidden
 ), near_n as (
     select * from (select *, row_number() over (partition by query_id order by dist_deg, id) as near_rank from far where dist_deg <= 0.05) where near_rank <= 10
 )"""
@@ -305,6 +318,7 @@ ORACLES = {
     + f""" select id as news_item_id, count(*) as n_positions, arg_min(kind, (o, k)) as first_type, arg_min(k, (o, k)) as first_id, arg_max(kind, (o, k)) as last_type, arg_max(k, (o, k)) as last_id,
         count(*) filter (where shaped) as n_geometries, count(x) as n_points,
         round(coalesce(arg_min(x, (o, k)) filter (where x is not null), arg_min({_x("k")} + 0.125, (o, k)) filter (where shaped)), 6) as p_lng from placed group by id""",
+    "geometry_refresh": _POSITIONS + " select id as news_item_id, count(*) filter (where shaped) as n_geometries, count(x) as n_points from placed group by id",
     "near_news": with_tables("query_points") + ", " + _NEWS + " select query_id, id, near_rank, round(dist_deg, 9) as dist_deg from near_n",
     "near_both_kinds": with_tables("query_points", "geo_items")
     + ", "
@@ -329,7 +343,7 @@ select query_id, kind, id, rank, round(score, 6) as score from (
     select *, row_number() over (partition by query_id order by is_old, score, kind_order, dist_deg, id) as rank from scored) where rank <= 10""",
     "polygon_distance": """select c_custkey as id, round(([0, 0.03125, 0, 0.25 / sqrt(2), 0.125 * sqrt(2)])[c_custkey % 5 + 1], 9) as degrees from customer""",
     "detail_collapse": """with d as (
-    select distinct (['street', 'street_number', 'place'])[l_linenumber % 3 + 1] as kind, l_partkey as target_id, l_orderkey as news_item_id from lineitem where l_linenumber <= 2
+    select distinct (['street', 'street_number', 'place'])[l_linenumber % 3 + 1] as kind, l_partkey as target_id, l_orderkey as news_item_id from lineitem
 ), counted as (select *, count(*) over (partition by kind, target_id) = 1 as alone from d)
 select kind, target_id, news_item_id, case when alone then 'news_item' else kind end as shown_kind, case when alone then news_item_id else target_id end as shown_id from counted""",
     "display_texts": """select o_orderkey, case when o_orderkey % 4 = 1 then 'S ' || o_orderkey when o_orderkey % 3 > 0 then o_orderpriority end as shown, o_orderkey % 4 <> 1 as is_blank from orders""",

@@ -257,3 +257,25 @@ def test_news_positions_and_caches(spark):
     assert len(c.geometries) == 1 and [p.lng for p in c.geo_points] == [13.1, 13.0]
     d = {(x.kind, x.target_id): x.shown_kind for x in items.collapse_single_news(mentions).collect()}
     assert set(d.values()) == {"news_item"}
+
+
+def test_geometries_are_kept_up_by_what_changed(spark):
+    """Against the bulk refresh; items that nothing touches are not made anew."""
+    line = ("LineString", [("line", 0, 0, [(13.0, 52.0), (13.1, 52.0)])])
+    places = [("street", k, (13.0 + k, 52.0) if k % 2 else None, line if k % 3 else None) for k in range(8)] + [("place", 3, None, None)]
+    said = [(n, "street", (n * 3 + j) % 8) for n in range(20) for j in range(2)] + [(30, "place", 3)]
+    frames = lambda m, g: (spark.createDataFrame(m, "news_item_id long, kind string, target_id long"), spark.createDataFrame(g, f"kind string, target_id long, point struct<lng:double,lat:double>, geometry {GEOMETRY}"))
+    cached = items.cached_geometries(*frames(said, places))
+    ids = lambda rows: spark.createDataFrame([(r,) for r in rows], "news_item_id long")
+    key = spark.createDataFrame([("street", 5)], "kind string, target_id long")
+    moved = [p if p[1] != 5 else ("street", 5, None, None) for p in places]
+    more = [m for m in said if m[0] not in (1, 2)] + [(1, "street", 7), (40, "street", 1), (30, "street", 1)]
+    for m, g, news, rows, touched in (
+        (said, moved, None, key, {n for n, _, t in said if t == 5}),
+        (more, places, ids([1, 2, 30, 40]), None, {1, 2, 30, 40}),
+        (more, moved, ids([1, 2, 30, 40]), key, {1, 2, 30, 40} | {n for n, k, t in more if (k, t) == ("street", 5)}),
+        (said, places, None, None, set()),
+    ):
+        changes, after = items.refresh_geometries(cached, *frames(m, g), news, rows)
+        assert {r.news_item_id for r in changes.collect()} == touched
+        assert sorted(map(tuple, after.collect()), key=str) == sorted(map(tuple, items.cached_geometries(*frames(m, g)).collect()), key=str)

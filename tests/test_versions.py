@@ -100,3 +100,26 @@ def test_null_keys_and_added_columns(spark, tmp_path):
     store.store(store.read().withColumn("w", F.when(F.col("k") == 2, "x")))
     assert sorted(map(tuple, store.changes(2).collect())) == [("update", 2, 3, "x")]
     assert sorted(map(tuple, store.read(1).collect()), key=str) == [(1, 2), (2, 3), (None, 1)]
+
+
+def test_a_lookup_reads_one_file_and_few_rows(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "l"), KEYS, 16)
+    store.store(snapshot(spark, range(3000)))
+    found = store.lookup(source_id=1, external_id="1234")
+    assert [r.id for r in found.collect()] == [1234] and len(found.inputFiles()) == 1 < 16 == len(store.read().inputFiles())
+    assert "EqualTo(external_id,1234)" in found._jdf.queryExecution().executedPlan().toString()
+    assert store.lookup(source_id=1, external_id="none").collect() == [] and store.lookup(1, source_id=1, external_id="7").count() == 1
+    with pytest.raises(ValueError):
+        store.lookup(external_id="1234")
+    from pyarrow import parquet
+
+    part = next((tmp_path / "l" / "data").rglob("*.parquet"))
+    keys = parquet.read_table(part, partitioning=None).select(KEYS).to_pylist()
+    assert keys == sorted(keys, key=lambda r: (r["source_id"], r["external_id"]))
+
+
+def test_changes_given_as_deltas(spark, store):
+    row = lambda k, title, gone: (k, 1, str(k), title, DAY, DAY, gone)
+    store.change(spark.createDataFrame([row(3, None, True), row(5, "put", False), row(90, "new", False), row(91, None, True), row(6, None, True), row(6, "back", False)], f"{SCHEMA}, gone boolean"))
+    want = {str(k): "old" for k in range(40) if k != 3} | {"5": "put", "90": "new", "6": "back"}
+    assert titles(store.read()) == want
