@@ -108,6 +108,7 @@ def features(text: str, flags: Flags) -> list[float]:
 
 
 _NO_CAPITALS = {c: None for c in range(ord("A"), ord("Z") + 1)}
+#: What a Python worker remembers of words, by the lexicon in use.
 _FLAGS: dict[int, Flags] = {}
 
 
@@ -116,6 +117,8 @@ def _with_features(rows: DataFrame, lexicon: dict[int, frozenset], columns: list
     sent = rows.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON_SIZE terms at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in _FLAGS.keys() - {hash(v) for v in sent.value.values()}:
+            del _FLAGS[other]  # the words of a lexicon no longer in use
         memo = {k: _FLAGS.get(hash(v)) or _FLAGS.setdefault(hash(v), Flags(v)) for k, v in sent.value.items()}
         for batch in batches:
             x = [features(t, memo[f]) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist())]
