@@ -93,8 +93,10 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscription_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subs = subscriptions(spark, sf_dir)
-    # each user asks at a place a little to the east of each subscription
+    """Users with five subscriptions in a row, some 54 metres apart, ask at a place a little to the east of each."""
+    k = F.col("sub_id")
+    subs = subscriptions(spark, sf_dir).withColumn("user_id", F.floor(k / 5)).select("*", lng("user_id").alias("u_lng"), lat("user_id").alias("u_lat"))
+    subs = subs.select("sub_id", "user_id", "radius_m", (F.col("u_lng") + (k % 5) * F.lit(0.0008)).alias("lng"), F.col("u_lat").alias("lat"))
     step = (F.col("sub_id") % 5) * F.lit(0.0005)
     places = subs.select(F.col("sub_id").alias("place_id"), "user_id", (F.col("lng") + step).alias("q_lng"), F.col("lat").alias("q_lat"))
     return spatial.matching_subscription(places, subs)
@@ -222,8 +224,10 @@ select * from (select query_id, id, row_number() over (partition by query_id ord
     "feed_entries": with_tables("query_points", "geo_items")
     + f""" select query_id, id, title, inserted_at as updated from query_points q
     join geo_items i on inserted_at >= timestamp '2001-08-01' - interval 28 days and {haversine_sql("q.q_lng", "q.q_lat", "i.lng", "i.lat")} <= 2000""",
-    "subscription_match": with_tables("subscriptions")
-    + f""" select p.sub_id as place_id, p.user_id, min(s.sub_id) as sub_id from subscriptions p join subscriptions s on s.user_id = p.user_id
+    "subscription_match": f"""with users as (select c_custkey as sub_id, c_custkey // 5 as user_id from customer), subs as (
+    select sub_id, user_id, cast(13.08 as double) + cast(user_id * 7919 % 10007 as double) / cast(10007 as double) * cast(0.68 as double) + sub_id % 5 * cast(0.0008 as double) as lng,
+           cast(52.33 as double) + cast(user_id * 104729 % 10009 as double) / cast(10009 as double) * cast(0.35 as double) as lat from users
+) select p.sub_id as place_id, p.user_id, min(s.sub_id) as sub_id from subs p join subs s on s.user_id = p.user_id
     and {haversine_sql("(p.lng + (p.sub_id % 5) * cast(0.0005 as double))", "p.lat", "s.lng", "s.lat")} <= 100 group by p.sub_id, p.user_id""",
     "street_assembly": with_tables("street_numbers")
     + _LINES
