@@ -32,6 +32,14 @@ def test_relevance_is_distance_and_age_less_a_bonus_in_two_blocks(spark):
     assert [r.is_old for r in got] == [want(r)[0] for r in shown]
 
 
+def test_items_without_positions_are_not_ranked(spark):
+    rows = [(1, 1, 13.4, 52.5, 0, k, 0.01, None, False, p) for k, p in ((1, [((13.4, 52.5), None)]), (2, []), (3, [((13.4, 52.6), None), ((13.4, 52.51), None)]))]
+    position = f"array<struct<point:struct<lng:double,lat:double>,geometry:{GEOMETRY}>>"
+    near = spark.createDataFrame(rows, f"query_id long, kind int, q_lng double, q_lat double, kind_order int, id long, dist_deg double, newest_date timestamp, participation_open boolean, positions {position}")
+    assert [r.id for r in spatial.by_relevance(near, 10, F.lit(AS_OF)).orderBy("rank").collect()] == [1, 3]
+    assert spatial.by_relevance(near.where("id = 2"), 10, F.lit(AS_OF)).collect() == []
+
+
 def test_radius_of_points_and_shapes(spark):
     """An item 111 m to the north of two places, a line 1113 m to the north of a third, and an item far away."""
     line = ("LineString", [("line", 0, 0, [(13.40, 52.49), (13.50, 52.49)])])
