@@ -150,3 +150,12 @@ def test_targets_of_many_sources(spark):
     rows = spark.createDataFrame([(g, n, k) for k, (g, n) in enumerate(sizes.items())], "g string, size long, id long").withColumn("salt", salt("id"))
     got = {r.g: r.target for r in source_targets(rows.repartition(9), "g", "size").collect()}
     assert got == pytest.approx(slow_targets(sizes), rel=1e-12)
+
+
+def test_very_long_texts(spark):
+    """A text of a million words among short ones: sizes are those of whole texts and targets are met by copies of what there is."""
+    rows = [(0, "word " * 1_000_000, "a")] + [(i, "w " * (i % 50 + 1), "ab"[i % 2]) for i in range(1, 400)]
+    got = {r.doc_id: r for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].size == 1_000_000 and got[0].taken in (0, 1_000_000, 2_000_000) and all(r.taken <= 2 * r.size for r in got.values())
+    goals = slow_targets({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"})
+    assert all(r.target == pytest.approx(goals["a" if i == 0 or i % 2 == 0 else "b"]) for i, r in got.items())

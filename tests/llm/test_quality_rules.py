@@ -75,3 +75,11 @@ def test_the_limit_stops_rising_with_the_host(spark):
 def test_the_rules_act_on_the_given_tables(spark):
     got = quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("removed_lines > 0")
     assert got.count() > 50
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "one of the very many words " * 60_000, "a"), (2, "\n".join(f"line {i} of the long text" for i in range(40_000)), "a"), (3, "x" * 3_000_000, "b"), (4, None, None)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed) == (360_000, 360_000, True)
+    assert (got[2].n_words, got[2].n_dup_lines, got[2].n_repeat_words) == (240_000, 0, 0) and got[2].kept
+    assert (got[3].n_words, got[3].word_chars, got[3].base_failed) == (1, 3_000_000, True) and got[4].n_words == 0
