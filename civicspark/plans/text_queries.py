@@ -11,13 +11,13 @@ from civicspark.functions import dates, text
 from civicspark.operators import items, merge, retag, search, tagging
 from civicspark.operators.search_index import StreetIndex
 from civicspark.operators.versions import SnapshotStore
-from civicspark.plans.derived import as_of, gazetteer, geo_items, haversine_sql, lat, lng, query_points, street_names, subscriptions, table, tag_gazetteer, with_tables
-from civicspark.storage import shared_dir, shared_table
+from civicspark.plans.derived import as_of, gazetteer, geo_items, haversine_sql, lat, lng, street_names, subscriptions, table, tag_gazetteer, with_tables
+from civicspark.storage import over_all_cores, shared_dir, shared_table
 from civicspark.streaming.jobs import alert_stream, landed, sent_alerts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("hints"))
+    return over_all_cores(table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("hints")))
 
 
 def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def over_all_cores(table: DataFrame) -> DataFrame:
+    """table dealt over all cores if it has fewer files than these, as a small one whose rows are one group of one file; a larger one as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
