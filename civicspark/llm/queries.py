@@ -20,10 +20,12 @@ from civicspark.llm.secrets import find_secrets
 from civicspark.llm.simhash import simhash_components
 from civicspark.llm.suffix_dedup import remove_repeats
 from civicspark.llm.toxicity import toxicity
+from civicspark.storage import over_all_cores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return over_all_cores(table) if name == "documents" else table
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
