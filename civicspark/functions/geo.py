@@ -58,21 +58,30 @@ def center(geometry: Column) -> Column:
     return F.when(b.isNotNull(), F.struct(((b.x0 + b.x1) / 2).alias("lng"), ((b.y0 + b.y1) / 2).alias("lat")))
 
 
-def _segment(px: Column, py: Column, a: Column, b: Column, sx: Column, sy: Column) -> Column:
-    """Squared distance of a point to the segment a-b, with axes scaled by sx and sy."""
-    ax, ay, bx, by = (a.lng - px) * sx, (a.lat - py) * sy, (b.lng - px) * sx, (b.lat - py) * sy
-    dx, dy = bx - ax, by - ay
-    d2 = dx * dx + dy * dy
-    t = F.when(d2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / d2))).otherwise(F.lit(0.0))
-    return (ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy)
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once for all its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _ring_distance2(px: Column, py: Column, coords: Column, sx: Column, sy: Column) -> Column:
-    one = F.transform(coords, lambda c: _segment(px, py, c, c, sx, sy))
-    steps = F.transform(
-        F.sequence(F.lit(0), F.size(coords) - 2), lambda i: _segment(px, py, F.get(coords, i), F.get(coords, i + 1), sx, sy)
-    )
-    return F.when(F.size(coords) > 1, F.array_min(steps)).otherwise(F.array_min(one))
+    """Squared distance of a point to the line through coords, with axes scaled by sx and sy.
+
+    Lambdas share no common parts, so what is used several times is a field of a struct.
+    """
+    moved = F.transform(coords, lambda c: F.struct(((c.lng - px) * sx).alias("x"), ((c.lat - py) * sy).alias("y")))
+
+    def nearest(m: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            b = F.get(m, i + 1)  # none after the last, which is a step of no length
+            return F.struct(a.x.alias("x"), a.y.alias("y"), F.coalesce(b.x - a.x, F.lit(0.0)).alias("dx"), F.coalesce(b.y - a.y, F.lit(0.0)).alias("dy"))
+
+        def foot(s: Column) -> Column:
+            along = _let(s.dx * s.dx + s.dy * s.dy, lambda d2: F.when(d2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(s.x * s.dx + s.y * s.dy) / d2))).otherwise(F.lit(0.0)))
+            return _let(along, lambda t: F.struct((s.x + t * s.dx).alias("x"), (s.y + t * s.dy).alias("y")))
+
+        return F.array_min(F.transform(F.transform(F.transform(m, step), foot), lambda p: p.x * p.x + p.y * p.y))
+
+    return _let(moved, nearest)
 
 
 def _crossings(px: Column, py: Column, coords: Column) -> Column:

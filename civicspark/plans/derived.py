@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicspark.storage import shared_table
+
 AS_OF = "2001-08-01 00:00:00"
 STATES = ("intended", "in_preparation", "in_planning", "under_construction", "active", "finished")
 
@@ -75,10 +77,13 @@ def street_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, n): distinct words of the benchmark passages, numbered by a hash of theirs, which needs no order over all."""
+    """(name, n): distinct words of the benchmark passages, numbered by a hash of theirs, which needs no order over all.
+
+    A stored table, as a gazetteer is: what makes the words is neither run for each use nor asked of the other side of a join.
+    """
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name"))
     words = words.where(F.col("name").rlike(r"^\p{L}{4,}$")).distinct()
-    return words.withColumn("n", F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 12), 16, 10).cast("long"))
+    return shared_table(words.withColumn("n", F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 12), 16, 10).cast("long")))
 
 
 def _districted(words: DataFrame, again: Column, shift: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +9,19 @@ from civicspark.functions import text
 from civicspark.operators import gazetteer, items
 from civicspark.plans.derived import lat, lng, table
 from civicspark.sources import feeds, gazette
-from civicspark.storage import shared_dir
+from civicspark.storage import shared_folder
 
 #: Rows of one landed page or file.
 PAGE = 1000
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: Layouts of a collection: between head and entries, between entries, after them. A file has one, a folder all of them.
 LAYOUTS = (("", ",", ""), ("\n", ",\n", "\n"), (" ", " ,\n  ", "\n\n"), ("\n\t", ",", "\n"))
 
 
 def _land(rows: DataFrame, page: Column, entry: Column, around: tuple[str, str], name: str, layouts: tuple = LAYOUTS[:1]) -> str:
     """Write entries, one file of about PAGE of them for each page, between two texts, in layouts by turns; the pattern of the files."""
-    folder = _folder(rows.sparkSession, name)
+    folder = shared_folder(rows.sparkSession, name)
     whole = rows.groupBy(page.alias("page")).agg(F.collect_list(entry).alias("entries"))
     head, between, tail = (F.element_at(F.array(*[F.lit(x[k]) for x in layouts]), (F.col("page") % len(layouts) + 1).cast("int")) for k in range(3))
     joined = F.call_function("array_join", F.col("entries"), between)
@@ -162,7 +156,7 @@ def forum_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def press_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feed of entries and the pages that they link to; some pages are missing."""
     o, k, s = _orders(spark, sf_dir), F.col("k"), F.col("s")
-    folder = _folder(spark, "press")
+    folder = shared_folder(spark, "press")
     place = _one_of("Bezirk Mitte", "Pankow und Spandau", "Bau")
     stamp = F.date_format("day", "dd MMM yyyy HH:mm:ss")
     feed = o.select(
@@ -219,7 +213,7 @@ def gazette_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def street_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address rows as a CSV file, rows that cannot be used left out, and the streets they make."""
-    li, folder = table(spark, sf_dir, "lineitem"), _folder(spark, "streets")
+    li, folder = table(spark, sf_dir, "lineitem"), shared_folder(spark, "streets")
     k = F.col("l_orderkey")
     place = F.element_at(F.array(*[F.lit(x) for x in ("Adlershof", "Wedding", "Nowhere", "Mitte")]), (k % 4 + 1).cast("int"))
     number = F.when(k % 9 == 0, F.lit(" ")).otherwise(_text(F.col("l_linenumber"), " ", F.when(F.col("l_partkey") % 2 == 0, "b").otherwise("")))
@@ -239,7 +233,7 @@ def place_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     park = feature(_json(gml_id=_text("g", F.col("s")), namenr=_text("Hain ", F.col("s")), bezirkname=F.col("brand")))
     area = feature(_json(PLANUNGSRAUM=_text("Raum ", F.col("s")), BEZIRKSNAME=F.col("brand")))
     parks, areas = (_land(p.where(f"k % 3 = {r}"), page, c, head, n, LAYOUTS) for r, c, n in ((0, park, "parks"), (1, area, "areas")))
-    schools = _folder(spark, "schools")
+    schools = shared_folder(spark, "schools")
     p.where("k % 3 = 2").select(F.col("s").alias("BSN"), _text("Schule ", F.col("s")).alias("Name"), F.lit("Berlin").alias("City"), F.col("x").alias("Longitude"), F.col("y").alias("Latitude")).write.csv(schools, sep=";", header=True)
     every = feeds.parks(spark, parks).unionByName(feeds.planning_areas(spark, areas)).unionByName(feeds.school_csv(spark, schools))
     return every.select("external_id", "name", "city", "district", "type", F.round("geo_point.lng", 6).alias("p_lng"), F.round("geo_point.lat", 6).alias("p_lat"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from civicspark.operators.versions import SnapshotStore
 from civicspark.plans.derived import as_of, geo_items, haversine_sql, lat, lng, query_points, subscriptions, table, with_tables
 from civicspark.plans.derived import gazetteer as places_of_words
 from civicspark.plans.spatial_queries import SINCE, _dated, _since
-from civicspark.storage import shared_dir
+from civicspark.storage import shared_folder
 from civicspark.streaming.jobs import digest_batches, digest_windows, ingest, landed
 
 KINDS = ("street", "street_number", "place")
@@ -56,7 +54,7 @@ def geometry_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached geometries of news, made from a part of mentions and gazetteer and brought up to the whole by what was missing."""
     mentions, places = _mentions(spark, sf_dir), _gazetteer(spark, sf_dir)
     some, known = mentions.where("news_item_id % 5 > 0"), places.where("target_id % 11 > 0")
-    store = SnapshotStore(spark, f"{shared_dir(spark)}/geometries-{uuid.uuid4().hex}", ["news_item_id"], 16)
+    store = SnapshotStore(spark, shared_folder(spark, "geometries"), ["news_item_id"], 16)
     store.store(items.cached_geometries(some, known))
     changes, _ = items.refresh_geometries(store.read(), mentions, places, mentions.where("news_item_id % 5 = 0"), places.where("target_id % 11 = 0"))
     store.change(changes)
@@ -232,7 +230,7 @@ def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed events as upserts of their users' last state, batch by batch."""
-    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "ingest")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     events.repartitionByRange(3, "event_id").write.parquet(f"{folder}/in")
     done: list[int] = []
@@ -255,7 +253,7 @@ def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts that land in two files, and a digest for each user and batch."""
-    folder = f"{shared_dir(spark)}/digest-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "digest")
     found = spatial.alerts(subscriptions(spark, sf_dir), geo_items(spark, sf_dir), _since()).drop("kind_order")
     for part in (0, 1):
         found.where(F.col("id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
@@ -269,7 +267,7 @@ def digest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as alerts that land in two files, digested for each user and six hours of event time once these are over."""
-    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "windows")
     e = table(spark, sf_dir, "events").select("user_id", F.lit("geo_item").alias("kind"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("inserted_at"))
     for part in (0, 1):
         e.where(F.col("id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from civicspark.operators import items, merge, retag, search, tagging
 from civicspark.operators.search_index import StreetIndex
 from civicspark.operators.versions import SnapshotStore
 from civicspark.plans.derived import as_of, gazetteer, geo_items, haversine_sql, lat, lng, street_names, subscriptions, table, tag_gazetteer, with_tables
-from civicspark.storage import over_all_cores, shared_dir, shared_table
+from civicspark.storage import over_all_cores, shared_folder, shared_table
 from civicspark.streaming.jobs import alert_stream, landed, sent_alerts
 
 
@@ -52,7 +50,7 @@ def retag_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, new = _numbered_docs(spark, sf_dir), tag_gazetteer(spark, sf_dir)
     old = tuple(t.where("id % 40 > 0") for t in new)
     before = shared_table(tagging.tag_text(docs, *old))
-    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "words")
     retag.store_index(retag.word_index(docs), path)
     return retag.retag(docs, before, spark.read.parquet(path), old, new).select(*MENTION)
 
@@ -93,7 +91,7 @@ def search_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "orders").select(
         k.alias("id"), F.concat(pick("Alter Garten ", "Alte Gärten ", "Neues Haus ", "Neue Häuser "), number).alias("name"), F.col("o_orderstatus").alias("district"), k.alias("street_number_count")
     )
-    index = StreetIndex(spark, f"{shared_dir(spark)}/streets-{uuid.uuid4().hex}", buckets=16)
+    index = StreetIndex(spark, shared_folder(spark, "streets"), buckets=16)
     index.upsert(named.where("id % 2 = 0").withColumn("name", F.when(F.col("id") % 10 == 0, F.lit("Umbenannt")).otherwise(F.col("name"))))
     index.upsert(named.where("id % 2 = 1 or id % 10 = 0"), named.where("id % 14 = 2"))
     p = table(spark, sf_dir, "part").select(F.concat(F.element_at(F.array(F.lit("der alte Gärten "), F.lit("neuen Hauses ")), (F.col("p_partkey") % 2 + 1).cast("int")), (F.col("p_partkey") % 100).cast("string")).alias("search")).distinct()
@@ -124,7 +122,7 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _store(spark: SparkSession, sf_dir: str) -> SnapshotStore:
     """A stored snapshot after three versions: the snapshot, the batch's items of source 3, and without the old items of source 4."""
     old, batch = _snapshot_and_batch(spark, sf_dir)
-    store = SnapshotStore(spark, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}", ["source_id", "external_id"], 16)
+    store = SnapshotStore(spark, shared_folder(spark, "snapshot"), ["source_id", "external_id"], 16)
     store.store(old)
     store.merge(batch.where("source_id = 3"), as_of())
     store.delete(old.where("source_id = 4"))
@@ -173,7 +171,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = stream.select(
         F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("inserted_at"), lng("event_id").alias("lng"), lat("event_id").alias("lat")
     )
-    folder = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "alerts")
     alert_stream(new, lambda: subscriptions(spark, sf_dir), folder).awaitTermination()
     return sent_alerts(spark, folder).select("user_id", "kind", "id")
 

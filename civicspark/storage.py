@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that a query lands or keeps; `drop_shared_tables` deletes it too."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def over_all_cores(table: DataFrame) -> DataFrame:
     """table dealt over all cores if it has fewer files than these, as a small one whose rows are one group of one file; a larger one as it is."""
     cores = table.sparkSession.sparkContext.defaultParallelism
@@ -35,14 +42,13 @@ def shared_table(df: DataFrame) -> DataFrame:
     Cuts the lineage, survives lost executors, and gives the optimiser the true size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "table")
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_shared_tables(spark: SparkSession) -> int:
-    """Delete the tables that this session has written; call it once results are stored."""
+    """Delete the tables and folders that this session has written; call it once results are stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
