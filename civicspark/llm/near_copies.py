@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm.bitsliced import link_buckets, merge
-from civicspark.llm.common import join_back, numbered, shared_table, text_or_empty
+from civicspark.llm.common import join_back, numbered, salt, salts, shared_table, text_or_empty, with_salts
 from civicspark.llm.components import components
 from civicspark.llm.simhash import simhash
 
@@ -22,6 +22,8 @@ from civicspark.llm.simhash import simhash
 PIECE = 65_536
 #: Texts of one candidate group that are compared in one task, and texts that a task has in the mean.
 TEXTS, GROUP = 2048, 4096
+#: Shingles of the texts of one bucket, and of a task in the mean; a text with more counts as this many, as it cannot be dealt.
+SHINGLES = 1 << 22
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,10 +74,17 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, sketch_n:
     return base.mapInArrow(run, f"__id {kind}, __th long, __set long, __fps array<long>, __size int")
 
 
-def _dealt(rows: DataFrame, keys: list[str], by: str, piece: int) -> DataFrame:
-    """rows with a bucket: those of equal keys meet in one; more than piece are dealt into pieces, and every two pieces meet."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
-    rows = rows.join(sizes, keys).withColumn("i", F.pmod(F.xxhash64(by), F.col("pieces")).cast("int"))
+def _dealt(rows: DataFrame, keys: list[str], by: str, piece: int, shingles: int | None = None) -> DataFrame:
+    """rows with a bucket: those of equal keys meet in one; more than piece, or of more shingles, are dealt into pieces, and every two pieces meet.
+
+    The rows of a key that many share meet its size in parts.
+    """
+    pieces = F.ceil(F.count("*") / piece)
+    if shingles:
+        pieces = F.greatest(pieces, F.ceil(F.sum(F.least(F.col("__size").cast("long"), F.lit(shingles))) / shingles))
+    rows = rows.withColumn("salt", salt(by))
+    sizes = with_salts(rows.groupBy(*keys).agg(pieces.cast("int").alias("pieces"), salts("salt").alias("salts")))
+    rows = rows.join(sizes, [*keys, "salt"]).drop("salt").withColumn("i", F.pmod(F.xxhash64(by), F.col("pieces")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     return rows.withColumn("bucket", F.xxhash64(*keys, F.least("i", "j"), F.greatest("i", "j"))).drop("pieces", "i", "j")
 
@@ -157,23 +166,29 @@ def similar_links(texts: DataFrame, n: int, seed: int, similarity: float) -> Dat
     return texts.groupBy("g").applyInPandas(run, "a long, b long")
 
 
-def _groups(docs: DataFrame, sets: DataFrame, text_col: str, n: int, seed: int, radius: int, similarity: float) -> DataFrame:
-    """(__set, __group) of the distinct sets that are similar to another."""
+def _groups(docs: DataFrame, sets: DataFrame, text_col: str, n: int, seed: int, radius: int, similarity: float, texts: int = TEXTS, most: int = SHINGLES) -> DataFrame:
+    """(__set, __group) of the distinct sets that are similar to another.
+
+    Texts of one candidate group meet in buckets of about 2 * texts texts and 2 * most shingles at most.
+    """
     nodes = shared_table(sets.groupBy("__set").agg(F.min("__fps").alias("__fps"), F.min("__size").alias("__size"), F.min("__th").alias("__th")))
     near = components(candidate_links(nodes.where("__size > 0"), radius, similarity), "a", "b").withColumnRenamed("id", "__set")
-    near = shared_table(_dealt(near.join(nodes.select("__set", "__th"), "__set"), ["component"], "__set", TEXTS).select("bucket", "__set", "__th"))
-    near = near.withColumn("g", F.pmod(F.xxhash64("bucket"), F.lit(max(8, -(-near.count() // GROUP)))))
+    near = near.join(nodes.select("__set", "__th", "__size"), "__set")
+    near = shared_table(_dealt(near, ["component"], "__set", texts, most).select("bucket", "__set", "__th", "__size"))
+    count, size = near.agg(F.count("*"), F.coalesce(F.sum(F.least(F.col("__size").cast("long"), F.lit(most))), F.lit(0))).first()
+    near = near.drop("__size").withColumn("g", F.pmod(F.xxhash64("bucket"), F.lit(max(8, -(-count // GROUP), -(-size // most)))))
     wanted = near.select(F.col("__th").alias("__want")).distinct()
     text = text_or_empty(text_col)
-    texts = docs.select(F.xxhash64(text).alias("__th"), text.alias("__text")).join(wanted, F.col("__th") == F.col("__want"), "left_semi")
-    texts = texts.dropDuplicates(["__th"]).join(near, "__th")
-    links = similar_links(texts.select("g", "bucket", "__set", "__text"), n, seed, similarity)
+    whole = docs.select(F.xxhash64(text).alias("__th"), text.alias("__text")).join(wanted, F.col("__th") == F.col("__want"), "left_semi")
+    whole = whole.dropDuplicates(["__th"]).join(near, "__th")
+    links = similar_links(whole.select("g", "bucket", "__set", "__text"), n, seed, similarity)
     return components(links, "a", "b").select(F.col("id").alias("__set"), F.col("component").alias("__group"))
 
 
 def one_of_each_group(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, sketch_n: int = 3, radius: int = 12, similarity: float = 0.8, seed: int = 42
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, sketch_n: int = 3, radius: int = 12, similarity: float = 0.8, seed: int = 42,
+    texts: int = TEXTS, most: int = SHINGLES,
+) -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays.
 
     Two texts are near copies if the Jaccard similarity of their sets of n-word shingles (lower-cased A-Z) is the
@@ -183,11 +198,12 @@ def one_of_each_group(
     and empty texts are alike. A null id sorts first. Of rows with equal id and text one stays, whichever it is.
     The columns of docs may have any names; an empty table stays empty.
 
-    Equal sets are one node. Texts of candidates only are read again.
+    Equal sets are one node. Texts of candidates only are read again; those of one candidate group meet in
+    buckets of a bounded number of texts and of shingles (texts, most), every two of its parts in one.
     """
     rows, (key, text) = numbered(docs, id_col, text_col)
     sets = shared_table(shingle_sets(rows, key, text, n, sketch_n, seed))
-    placed = sets.join(_groups(rows, sets, text, n, seed, radius, similarity), "__set", "left")
+    placed = sets.join(_groups(rows, sets, text, n, seed, radius, similarity, texts, most), "__set", "left")
     placed = placed.select(F.coalesce("__group", "__set").alias("__group"), "__id", "__th")
     stays = placed.groupBy("__group").agg(F.min(F.struct("__id", "__th")).alias("s")).select("s.__id", "s.__th")
     keyed = rows.withColumns({"__id": F.col(key), "__th": F.xxhash64(text_or_empty(text))})

@@ -80,3 +80,14 @@ def test_near_copies_beyond_two_bits_go(spark):
     got = sorted(-1 if r.doc_id is None else r.doc_id for r in one_of_each_group(docs).collect())
     assert got == sorted(set(want.values()))
     assert one_of_each_group(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{"texts": 2}, {"most": 300}])
+def test_groups_of_many_or_long_texts_are_compared_in_parts(spark, limits):
+    """One candidate group, of which one text is longer than a part may be: the parts change no result."""
+    rnd = random.Random(3)
+    w = [f"w{k}" for k in range(400)]
+    texts = {i: " ".join(w[: 200 + i % 3] + [f"x{i}"] * (i % 2)) for i in range(12)} | {20: " ".join(w), 21: " ".join(w[1:]), 22: " ".join(rnd.sample(w, 300))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = sorted(set(slow_groups({i: slow_set(t) for i, t in texts.items()}).values()))
+    assert sorted(r.doc_id for r in one_of_each_group(docs, **limits).collect()) == want
