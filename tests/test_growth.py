@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from civicspark.functions.geo import GEOMETRY, as_box, box_distance, distance
 from civicspark.operators import spatial
 
 
@@ -70,3 +71,40 @@ def test_ends_of_digests_are_those_of_the_digests(spark):
     ends = spatial.digest_ends(subs, items, since)
     assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in ends.collect()}
     assert "collect_list" not in _plan(ends)
+
+
+def test_shapes_that_are_their_boxes_are_measured_as_boxes(spark):
+    """Rectangles and lines along an axis; a triangle, a slanted line and a ring with a hole are looked at in full."""
+    ring = lambda *p: [{"kind": "polygon", "part": 0, "ring": 0, "coords": list(p)}]
+    path = lambda *p: [{"kind": "line", "part": 0, "ring": 0, "coords": list(p)}]
+    hole = [*ring((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)), {"kind": "polygon", "part": 0, "ring": 1, "coords": [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]}]
+    shapes = {
+        1: ring((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)), 2: ring((0.0, 0.0), (0.0, 2.0), (4.0, 2.0), (4.0, 0.0), (0.0, 0.0)), 3: path((0.0, 1.0), (5.0, 1.0), (3.0, 1.0)),
+        4: ring((0.0, 0.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)), 5: path((0.0, 0.0), (3.0, 3.0)), 6: hole, 7: ring((0.0, 0.0), (4.0, 2.0), (4.0, 0.0), (0.0, 2.0), (0.0, 0.0)),
+    }
+    df = spark.createDataFrame([(i, ("Shape", p)) for i, p in shapes.items()] + [(8, None)], f"id long, g {GEOMETRY}").withColumn("box", as_box(F.col("g")))
+    assert {r.id for r in df.where("box is not null").collect()} == {1, 2, 3}
+    at = spark.range(64).select((F.col("id") % 8 - 1.5).alias("x"), (F.floor(F.col("id") / 8) - 1.5).alias("y"))
+    both = df.where("box is not null").crossJoin(at).select(box_distance(F.col("box"), F.col("x"), F.col("y")).alias("a"), distance(F.col("g"), F.col("x"), F.col("y")).alias("b")).collect()
+    assert all(abs(r.a - r.b) < 1e-12 for r in both)
+
+
+def test_news_meet_the_points_that_they_can_be_nearest_to(spark):
+    """In a crowd a point is met by few of the parts within the degrees."""
+    at = F.struct(F.col("lng"), F.col("lat"))
+    news = _crowd(spark, 4_000).select("id", "hidden", F.array(at).alias("geo_points"), F.lit(None).cast(f"array<{GEOMETRY}>").alias("geometries"))
+    points = spark.createDataFrame([(1, 13.4002, 52.5002)], "query_id long, q_lng double, q_lat double")
+    met, real = [], spatial.reach_join
+
+    def watched(*a):
+        met.append(real(*a))
+        return met[-1]
+
+    spatial.reach_join = watched
+    try:
+        got = [r.id for r in spatial.nearest_news(points, news, 5).orderBy("near_rank").collect()]
+    finally:
+        spatial.reach_join = real
+    d = F.sqrt((F.col("lng") - 13.4002) ** 2 + (F.col("lat") - 52.5002) ** 2)
+    assert got == [r.id for r in _crowd(spark, 4_000).orderBy(d, "id").limit(5).collect()]
+    assert met[0].count() < 1_000
