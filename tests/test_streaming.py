@@ -72,6 +72,20 @@ def test_found_parts_are_not_read_again(spark, tmp_path):
         assert sum(p["numInputRows"] for p in alerts.once.recentProgress) == 1  # of n + 1 found so far
 
 
+def test_state_grows_with_landings_not_with_pairs(spark, tmp_path):
+    """A user with two subscriptions and an item of two rows are one pair; items that land again go to new subscribers only."""
+    hours = lambda n: DAY + dt.timedelta(hours=n)
+    land(spark, tmp_path / "subs", [(u, 13.0, 52.0, 500) for u in range(50)] + [(7, 13.001, 52.0, 500)], SUB)
+    land(spark, tmp_path / "items", [(1, "geo_item", hours(5), 13.0, 52.0), (1, "geo_item", hours(4), 13.0, 52.0)], ITEM)
+    assert run(spark, tmp_path) == [(u, 1) for u in range(50)]
+    assert {r.inserted_at for r in sent_alerts(spark, str(tmp_path / "alerts")).collect()} == {hours(4)}
+    land(spark, tmp_path / "subs", [(50, 13.0, 52.0, 500)], SUB)
+    land(spark, tmp_path / "items", [(1, "geo_item", hours(40), 13.0, 52.0), (2, "geo_item", hours(40), 13.0, 52.0)], ITEM)
+    assert run(spark, tmp_path) == sorted((u, i) for u in range(51) for i in (1, 2))
+    state = spark.read.format("statestore").load(str(tmp_path / "alerts" / "state" / "once"))
+    assert state.count() <= 4  # landings; pairs are 102
+
+
 def test_windows_of_event_time(spark, tmp_path):
     schema = "user_id long, kind string, id long, inserted_at timestamp"
     at = lambda h, m=0: dt.datetime(2024, 5, 1, h, m)
