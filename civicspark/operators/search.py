@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.text import search_tokens, weighted_levenshtein
+from civicspark.storage import shared_table
 
 SHOWN = 10
 
@@ -41,6 +42,23 @@ def asked_with_keys(searches: DataFrame, tokens: Callable[[Column], Column]) ->
     return asked.withColumn("__k", F.explode(keys))
 
 
+def asked_with_rarest_keys(searches: DataFrame, tokens: Callable[[Column], Column], found_by: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As asked_with_keys(), but of the keys that every name found by its text has the one of fewest names, and of those of every name found by words too.
+
+    found_by(keys) gives a row `key` for each name of the keys and perhaps of others. A search of a key without names finds none by it.
+    """
+    asked = searches.where(F.length("search") >= 3).withColumns({"__low": F.lower("search"), "__words": tokens(F.col("search"))})
+    grams = F.transform(_grams(F.col("__low"), 3), lambda g: F.struct(F.lit("c").alias("by"), F.concat(F.lit("c"), g).alias("key")))
+    heads = F.transform("__words", lambda w: F.struct(F.lit("w").alias("by"), F.concat(F.lit("w"), F.substring(w, 1, 3)).alias("key")))
+    asked = shared_table(asked.withColumn("__keys", F.array_distinct(F.concat(grams, F.coalesce(heads, F.array())))))
+    keyed = asked.select("__low", "__words", F.explode("__keys").alias("k")).select("__low", "__words", "k.*").distinct()
+    keys = shared_table(keyed.select("key").distinct())
+    counts = found_by(keys).join(keys, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    rarest = keyed.join(counts, "key", "left").groupBy("__low", "__words", "by").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
+    rarest = rarest.where("k.n > 0").select("__low", "__words", F.col("k.key").alias("__k")).distinct()
+    return asked.drop("__keys").join(rarest, ["__low", "__words"])
+
+
 def name_index_keys(name: Column, words: Column) -> Column:
     """The keys that find a lower-case name with these words: its runs of three characters, and the beginnings of its words."""
     inside = F.when(F.length(name) >= 3, _grams(name, 3)).otherwise(F.array().cast("array<string>"))
@@ -53,6 +71,8 @@ def ranked_matches(pairs: DataFrame, shown: int) -> DataFrame:
     part = F.contains("__name", F.col("__low"))
     every = (F.size("__words") > 0) & F.forall("__words", lambda w: F.exists("__tokens", lambda t: F.startswith(t, w)))
     found = pairs.where(part | every).drop("__k", "__low", "__words", "__name", "__tokens").distinct()
+    # what more names of more numbers precede is not shown, whatever its cost
+    found = found.withColumn("__first", F.rank().over(Window.partitionBy("search").orderBy(F.desc("street_number_count")))).where(F.col("__first") <= shown).drop("__first")
     found = found.withColumn("cost", weighted_levenshtein(F.lower("search"), F.lower("name")))
     return _rank(found, F.desc("street_number_count"), F.col("cost"), F.col("name"), F.col("district"), shown=shown)
 

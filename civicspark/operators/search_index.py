@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.functions.text import german_tokens
-from civicspark.operators.search import SHOWN, asked_with_keys, name_index_keys, ranked_matches
+from civicspark.operators.search import SHOWN, asked_with_rarest_keys, name_index_keys, ranked_matches
 from civicspark.operators.versions import SnapshotStore
 from civicspark.storage import shared_table
 
@@ -60,8 +60,10 @@ class StreetIndex:
         self.names.change(rows)
 
     def search(self, searches: DataFrame, shown: int = SHOWN) -> DataFrame:
-        """search_contains() over the index: only buckets with a key of a search and those of the names it leads to are read."""
-        asked = shared_table(asked_with_keys(searches, self.tokens).withColumnRenamed("__k", "key"))
+        """search_contains() over the index: only buckets with a key of a search and those of the names it leads to are read.
+
+        Of the keys of a search, the one of fewest names leads to them."""
+        asked = shared_table(asked_with_rarest_keys(searches, self.tokens, self.postings.read_for).withColumnRenamed("__k", "key"))
         postings = self.postings.read_for(asked.select("key").distinct())
         found = shared_table(asked.join(postings, "key").drop("key").distinct())
         names = self.names.read_for(found.select("id").distinct())

@@ -84,9 +84,9 @@ class SnapshotStore:
         return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame) -> dict[str, str]:
-        """Write rows to a new folder and give the parts that came out."""
+        """Write rows to a new folder and give the parts that came out. A bucket too large for a task is several files, each sorted."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", *self.by).write.options(**self._skipping(rows)).partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.by).write.options(**self._skipping(rows)).partitionBy("bucket").parquet(f"{self.path}/{folder}")
         return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
 
     def _skipping(self, rows: DataFrame) -> dict[str, str]:

@@ -3,7 +3,7 @@
 import random
 
 from civicspark.functions.text import german_tokens
-from civicspark.operators.search import search_contains
+from civicspark.operators.search import asked_with_rarest_keys, search_contains
 from civicspark.operators.search_index import StreetIndex
 
 SCHEMA = "id long, name string, district string, street_number_count int"
@@ -40,3 +40,20 @@ def test_a_search_reads_the_buckets_of_its_keys(spark, tmp_path):
     assert 0 < len(index.postings.read_for(asked).inputFiles()) <= 2 < 30 < len(index.postings.read().inputFiles())
     assert index.search(spark.createDataFrame([("cccc",)], "search string")).count() == 10
     assert index.search(spark.createDataFrame([], "search string")).count() == 0
+
+
+def test_a_search_meets_the_names_of_its_rarest_key(spark, tmp_path):
+    """Of names that nearly all share a search's longest word only those with its number are looked at."""
+    index = StreetIndex(spark, str(tmp_path / "i"), buckets=4)
+    index.upsert(spark.createDataFrame([(i, f"Alter Garten {i}", "x", 1) for i in range(100, 500)], SCHEMA))
+    searches = spark.createDataFrame([("der alte gärten 257",), ("garten 257",), ("gartens 999",)], "search string")
+    seen = []
+
+    def found_by(keys):
+        seen.extend(r.key for r in keys.collect())
+        return index.postings.read_for(keys)
+
+    asked = asked_with_rarest_keys(searches, german_tokens, found_by).select("search", "__k").collect()
+    assert {(r.search, r["__k"]) for r in asked} == {("der alte gärten 257", "w257"), ("garten 257", "c257"), ("garten 257", "w257")}
+    assert "wgar" in seen
+    assert {(r.search, r.name) for r in index.search(searches).collect()} == {(s, "Alter Garten 257") for s in ("der alte gärten 257", "garten 257")}
