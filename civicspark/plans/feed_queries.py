@@ -20,14 +20,17 @@ LAYOUTS = (("", ",", ""), ("\n", ",\n", "\n"), (" ", " ,\n  ", "\n\n"), ("\n\t",
 
 
 def _land(rows: DataFrame, page: Column, entry: Column, around: tuple[str, str], name: str, layouts: tuple = LAYOUTS[:1]) -> str:
-    """Write entries, one file of about PAGE of them for each page, between two texts, in layouts by turns; the pattern of the files."""
+    """Write entries, one file of about PAGE of them for each page, between two texts, in layouts by turns; their folder.
+
+    The files lie in one folder: a folder for each costs more than its file to make, to commit and to list.
+    """
     folder = shared_folder(rows.sparkSession, name)
     whole = rows.groupBy(page.alias("page")).agg(F.collect_list(entry).alias("entries"))
     head, between, tail = (F.element_at(F.array(*[F.lit(x[k]) for x in layouts]), (F.col("page") % len(layouts) + 1).cast("int")) for k in range(3))
     joined = F.call_function("array_join", F.col("entries"), between)
     whole = whole.select("page", F.concat(F.lit(around[0]), head, joined, tail, F.lit(around[1])).alias("value"))
-    whole.repartition("page").write.partitionBy("page").text(folder)
-    return f"{folder}/page=*"
+    whole.repartition("page").select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

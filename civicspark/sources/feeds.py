@@ -72,33 +72,43 @@ def _kml_coords(c: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.split(p, ",")[0].cast("double").alias("lng"), F.split(p, ",")[1].cast("double").alias("lat")))
 
 
-def kml_point(c: Column) -> Column:
-    """The first point placemark of a KML text."""
-    found = F.xpath(c, F.lit("//*[local-name()='Placemark']/*[local-name()='Point']/*[local-name()='coordinates']/text()"))
-    return F.get(_kml_coords(F.get(found, F.lit(0))), F.lit(0))
+def _kml_texts(c: Column, path: str, needs: str) -> Column:
+    """The texts at a path of a KML text; one without the name that the path needs is not parsed."""
+    return F.when(F.contains(c, F.lit(needs)), F.xpath(c, F.lit(path))).otherwise(F.array().cast("array<string>"))
 
 
-def kml_shape(c: Column) -> Column:
-    """The first placemark of a KML text that is no point: lines, polygons by their outer ring, and collections of them."""
+def with_kml(rows: DataFrame, kml: str) -> DataFrame:
+    """rows with kml_point, the first point placemark of a KML text, and kml_shape, the first placemark that is no point: lines, polygons by
+    their outer ring, and collections of them.
+
+    What is parsed is a column of its own, as an expression that is used several times would parse the text as often.
+    """
+    c, coordinates = F.col(kml), "*[local-name()='coordinates']/text()"
     base = "//*[local-name()='Placemark'][not(*[local-name()='Point'])][1]"
-    lines = F.xpath(c, F.lit(f"{base}//*[local-name()='LineString']/*[local-name()='coordinates']/text()"))
-    outer = F.xpath(c, F.lit(f"{base}//*[local-name()='outerBoundaryIs']//*[local-name()='coordinates']/text()"))
+    rows = rows.withColumns({
+        "_points": _kml_texts(c, f"//*[local-name()='Placemark']/*[local-name()='Point']/{coordinates}", "Point"),
+        "_lines": _kml_texts(c, f"{base}//*[local-name()='LineString']/{coordinates}", "LineString"),
+        "_outer": _kml_texts(c, f"{base}//*[local-name()='outerBoundaryIs']//{coordinates}", "outerBoundaryIs"),
+    })
 
     def part(kind: str, shift: Column):
         return lambda t, k: F.struct(F.lit(kind).alias("kind"), (k + shift).cast("int").alias("part"), F.lit(0).alias("ring"), _kml_coords(t).alias("coords"))
 
-    parts = F.concat(F.transform(lines, part("line", F.lit(0))), F.transform(outer, part("polygon", F.size(lines))))
-    kind = F.when(F.size(parts) > 1, "GeometryCollection").when(F.size(lines) == 1, "LineString").otherwise("Polygon")
-    return F.when(F.size(parts) > 0, F.struct(kind.alias("type"), parts.alias("parts")))
+    lines = F.col("_lines")
+    rows = rows.withColumn("_parts", F.concat(F.transform(lines, part("line", F.lit(0))), F.transform("_outer", part("polygon", F.size(lines)))))
+    kind = F.when(F.size("_parts") > 1, "GeometryCollection").when(F.size(lines) == 1, "LineString").otherwise("Polygon")
+    shape = F.when(F.size("_parts") > 0, F.struct(kind.alias("type"), F.col("_parts").alias("parts")))
+    rows = rows.withColumns({"kml_point": F.get(_kml_coords(F.get("_points", F.lit(0))), F.lit(0)), "kml_shape": shape})
+    return rows.drop("_points", "_lines", "_outer", "_parts")
 
 
 def bike_projects(spark: SparkSession, path: str) -> DataFrame:
     fields = ("id", "title", "subtitle", "description", "status", "link", "dateStart", "dateEnd", "kml")
     rows = paged_json(spark, path, f"struct<{','.join(f'{f}:string' for f in fields)}>").select("item.*", "pos")
-    kml = F.when(F.col("kml").contains("<"), F.col("kml"))
+    rows = with_kml(rows.withColumn("kml", F.when(F.col("kml").contains("<"), F.col("kml"))), "kml")
     return canonical(
         rows, "bike_projects", external_id=F.col("id"), title=F.col("title"), subtitle=F.col("subtitle"), description=F.col("description"), url=F.col("link"),
-        state=project_state(F.col("status")), geo_point=kml_point(kml), geometry=kml_shape(kml), date_start=quarter_start(F.col("dateStart")),
+        state=project_state(F.col("status")), geo_point=F.col("kml_point"), geometry=F.col("kml_shape"), date_start=quarter_start(F.col("dateStart")),
         date_end=quarter_end(F.col("dateEnd")), seq=F.col("pos"),
     )
 

@@ -48,8 +48,11 @@ def outline_from_xml(spark: SparkSession, path: str) -> DataFrame:
     # an entry is taken out as text, so that one without a page leaves no gap
     entries = F.regexp_extract_all("xml", F.lit(r"(?s)<outline\b[^>]*?(?:/>|>.*?</outline>)"), 0)
     one = raw.select("file", F.posexplode(entries).alias("pos", "e"))
-    value = lambda what: F.nullif(F.xpath_string("e", F.lit(what)), F.lit(""))
-    return one.select("file", "pos", value("/outline/@level").alias("level"), value("/outline/pageno").alias("page"), value("/outline/@title").alias("title"))
+    value = lambda what: F.xpath_string(F.col("e"), F.lit(what))
+    page = F.when(F.contains(F.col("e"), F.lit("pageno")), value("/outline/pageno"))
+    one = one.select("file", "pos", value("/outline/@level").alias("level"), page.alias("page"), value("/outline/@title").alias("title"))
+    # an entry is parsed once for each column: nullif() of what parses would do it twice
+    return one.select("file", "pos", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("level", "page", "title")])
 
 
 def _title_pattern(title: Column) -> Column:

@@ -1,9 +1,13 @@
 """What queries hold and move as their tables grow."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from civicspark.functions.geo import GEOMETRY, as_box, box_distance, distance
 from civicspark.operators import spatial
+from civicspark.plans import feed_queries
+from civicspark.sources import feeds, gazette
 
 
 def _plan(df) -> str:
@@ -108,3 +112,27 @@ def test_news_meet_the_points_that_they_can_be_nearest_to(spark):
     d = F.sqrt((F.col("lng") - 13.4002) ** 2 + (F.col("lat") - 52.5002) ** 2)
     assert got == [r.id for r in _crowd(spark, 4_000).orderBy(d, "id").limit(5).collect()]
     assert met[0].count() < 1_000
+
+
+def test_landed_pages_are_files_of_one_folder(spark):
+    rows = spark.range(50).withColumns({"page": F.floor(F.col("id") / 7), "s": F.col("id").cast("string")})
+    folder = feed_queries._land(rows, F.col("page"), F.col("s"), ("[", "]"), "pages", feed_queries.LAYOUTS)
+    files = spark.read.text(folder, wholetext=True)
+    assert not any("=" in path.removeprefix(f"file:{folder}") for path in files.inputFiles()) and len(files.inputFiles()) == 8
+    assert sorted(sorted(json.loads(r.value)) for r in files.collect()) == sorted([list(range(k, min(k + 7, 50))) for k in range(0, 50, 7)])
+
+
+def test_a_kml_text_is_parsed_once_for_each_kind_of_shape(spark, tmp_path):
+    kml = "<kml><Placemark><Point><coordinates>1,2</coordinates></Point></Placemark><Placemark><LineString><coordinates>1,2 3,4</coordinates></LineString></Placemark></kml>"
+    (tmp_path / "1.json").write_text(json.dumps({"results": [{"id": "7", "kml": kml}, {"id": "8", "kml": "<kml"}]}))
+    out = feeds.bike_projects(spark, str(tmp_path)).select("external_id", "geo_point", "geometry", F.col("geometry.type").alias("shape"))
+    got = out.orderBy("external_id").collect()
+    assert got[0].geo_point.lat == 2.0 and got[0].shape == "LineString" and len(got[0].geometry.parts[0].coords) == 2 and got[1].geometry is None
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("xpath") <= 3
+
+
+def test_an_outline_entry_is_parsed_once_for_each_column(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<x><outline level='1' title='A &amp; B'><pageno>3</pageno></outline><outline level='' title='C'/></x>")
+    out = gazette.outline_from_xml(spark, str(tmp_path)).select("pos", "level", "page", "title")
+    assert [tuple(r) for r in out.orderBy("pos").collect()] == [(0, "1", "3", "A & B"), (1, None, None, "C")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("xpath") <= 3
