@@ -118,13 +118,19 @@ PARTICIPATION = "url string, title string, organisation string, description stri
 
 def participation(spark: SparkSession, *paths: str, site: str = "https://mein.berlin.de") -> DataFrame:
     """The union of landed arrays of projects and of plans."""
-    rows = reduce(DataFrame.unionByName, [spark.read.schema(PARTICIPATION).json(p, multiLine=True) for p in paths])
+    # the JSON source seeks in its file for each object that is read as a text, as points are; from_json() does not
+    raw = reduce(DataFrame.unionByName, [spark.read.text(p, wholetext=True) for p in paths]).where(F.trim("value") != "")
+    whole = raw.select(F.from_json("value", f"array<struct<{PARTICIPATION}>>").alias("rows"))
+    none = F.array(F.lit(None).cast(f"struct<{PARTICIPATION}>"))  # a file that is no JSON is a row of nulls
+    rows = whole.select(F.coalesce("rows", none).alias("rows")).select(F.inline("rows"))
     shape = F.get_json_object("point", "$.geometry")
     is_point = F.get_json_object(shape, "$.type") == "Point"
-    xy = F.from_json(F.get_json_object(shape, "$.coordinates"), "array<double>")
+    # a column of its own is parsed once for all its uses
+    rows = rows.withColumn("xy", F.when(is_point, F.from_json(F.get_json_object(shape, "$.coordinates"), "array<double>")))
+    xy = F.col("xy")
     return canonical(
         rows, "participation", external_id=F.col("url"), title=F.col("title"), subtitle=F.col("organisation"), description=F.col("description"),
-        url=F.concat(F.lit(site), F.col("url")), state=F.when(F.col("status") == 0, "active").otherwise("finished"), geo_point=F.when(is_point, point(xy[0], xy[1])),
+        url=F.concat(F.lit(site), F.col("url")), state=F.when(F.col("status") == 0, "active").otherwise("finished"), geo_point=point(xy[0], xy[1]),
         participation_open=F.coalesce((F.col("status") == 0) & (F.col("participation") == 0), F.lit(False)), date_updated=parse_timestamp(F.col("created_or_modified")),
     )
 
@@ -132,10 +138,11 @@ def participation(spark: SparkSession, *paths: str, site: str = "https://mein.be
 def economy_projects(spark: SparkSession, path: str) -> DataFrame:
     rows = geojson_features(spark, path)
     p = lambda name: F.get_json_object("properties", f"$.{name}")
-    xy = F.from_json(F.get_json_object("shape", "$.coordinates"), "array<double>")
-    where = F.when(F.get_json_object("shape", "$.type") == "Point", point(xy[0], xy[1]))
+    is_point = F.get_json_object("shape", "$.type") == "Point"
+    rows = rows.withColumn("xy", F.when(is_point, F.from_json(F.get_json_object("shape", "$.coordinates"), "array<double>")))
+    xy = F.col("xy")
     return canonical(
-        rows, "economy_projects", external_id=p("url"), title=p("title"), description=p("description"), url=p("url"), geo_point=where,
+        rows, "economy_projects", external_id=p("url"), title=p("title"), description=p("description"), url=p("url"), geo_point=point(xy[0], xy[1]),
         date_updated=parse_timestamp(p("modified")), seq=F.col("pos"),
     )
 

@@ -136,3 +136,12 @@ def test_an_outline_entry_is_parsed_once_for_each_column(spark, tmp_path):
     out = gazette.outline_from_xml(spark, str(tmp_path)).select("pos", "level", "page", "title")
     assert [tuple(r) for r in out.orderBy("pos").collect()] == [(0, "1", "3", "A & B"), (1, None, None, "C")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("xpath") <= 3
+
+
+def test_objects_kept_as_texts_are_not_sought_in_their_file(spark, tmp_path):
+    one = {"url": "/p/1/", "title": "A", "status": 0, "participation": 0, "point": {"type": "Feature", "geometry": {"type": "Point", "coordinates": [13.1, 52.2]}}}
+    (tmp_path / "1.json").write_text(json.dumps([one, {**one, "url": "/p/2/", "point": ""}], indent=1))
+    (tmp_path / "2.json").write_text("[]\n")
+    out = feeds.participation(spark, str(tmp_path))
+    assert [(r.external_id, r.geo_point and r.geo_point.lat, r.participation_open) for r in out.orderBy("external_id").collect()] == [("/p/1/", 52.2, True), ("/p/2/", None, True)]
+    assert "FileScan json" not in _plan(out)
