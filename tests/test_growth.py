@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from civicspark.functions.geo import GEOMETRY, as_box, box_distance, distance
-from civicspark.operators import spatial
+from civicspark.operators import spatial, tagging
 from civicspark.plans import feed_queries
 from civicspark.sources import feeds, gazette
 
@@ -145,3 +145,27 @@ def test_objects_kept_as_texts_are_not_sought_in_their_file(spark, tmp_path):
     out = feeds.participation(spark, str(tmp_path))
     assert [(r.external_id, r.geo_point and r.geo_point.lat, r.participation_open) for r in out.orderBy("external_id").collect()] == [("/p/1/", 52.2, True), ("/p/2/", None, True)]
     assert "FileScan json" not in _plan(out)
+
+
+def _tagged(spark, n_docs=40):
+    streets = spark.createDataFrame([(1, "Ahornweg", "Mitte"), (2, "Ahornweg", "Pankow"), (3, "Birkenweg", "Mitte")], "id long, name string, district string")
+    numbers = spark.createDataFrame([(10, 1, "3"), (11, 2, "3"), (12, 3, "4")], "id long, geo_street_id long, number string")
+    places = spark.createDataFrame([(20, "Nordpark", "Mitte", "Park"), (21, "Nordpark", "Pankow", "LOR"), (22, "Ahornweg", "Mitte", "School")], "id long, name string, district string, type string")
+    text = F.concat(F.repeat(F.lit("Ahornweg 3, Ahornweg 3a, Nordpark. "), (F.col("id") % 4).cast("int")), F.when(F.col("id") % 3 == 0, "Birkenweg 4").otherwise("Birkenweg"))
+    docs = spark.range(n_docs).select(F.col("id").alias("doc_id"), text.alias("text"), F.array(F.when(F.col("id") % 2 == 0, "Pankow").otherwise("Spandau")).alias("hints"))
+    return tagging.tag_text(docs, streets, numbers, places)
+
+
+def test_mentions_move_what_texts_mean_once(spark):
+    plan = _plan(_tagged(spark))
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning(doc_id") == 1 and "Window" not in plan, plan
+
+
+def test_mentions_do_not_depend_on_where_batches_end(spark):
+    want = sorted(map(tuple, _tagged(spark).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(map(tuple, _tagged(spark).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len({r[0] for r in got}) == 40 and {r[1] for r in got} == {"street", "street_number", "place"}, got
