@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from civicspark.functions.geo import center
 from civicspark.functions.text import none_if_blank, text_to_html
-from civicspark.storage import shared_table
+from civicspark.storage import dealt, shared_table
 
 #: Codes of building plans, and labels of states.
 PLAN_STATES = {"aul": "in_planning", "bbg": "in_planning", "imVerfahren": "in_planning", "festg": "finished"}
@@ -103,21 +103,28 @@ def map_documents(found: DataFrame, sources: DataFrame, *keep: Column) -> DataFr
 def positions_of_news(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(news_item_id, positions): streets, then numbers, then places of a news item that have a point or a geometry.
 
-    mentions: news_item_id, kind, target_id; gazetteer: kind, target_id, point, geometry.
+    mentions: news_item_id, kind, target_id; gazetteer: kind, target_id, point, geometry. Mentions are stored and counted first: lists are
+    made by sorting all that a task gets, so tasks get a bounded number of them.
     """
+    mentions = shared_table(mentions.select("news_item_id", "kind", "target_id"))
     order = F.array_position(F.array(F.lit("street"), F.lit("street_number"), F.lit("place")), F.col("kind"))
     placed = mentions.join(gazetteer, ["kind", "target_id"]).where("point is not null or geometry is not null")
     entry = F.struct(order.alias("o"), F.col("target_id"), F.col("kind"), F.col("point"), F.col("geometry"))
-    grouped = placed.groupBy("news_item_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a.o < b.o, -1).when(a.o > b.o, 1).when(a.target_id < b.target_id, -1).otherwise((a.target_id > b.target_id).cast("int"))).alias("e"))
+    placed = dealt(placed.select("news_item_id", entry.alias("entry")), mentions.count(), "news_item_id")
+    grouped = placed.groupBy("news_item_id").agg(F.array_sort(F.collect_list("entry"), lambda a, b: F.when(a.o < b.o, -1).when(a.o > b.o, 1).when(a.target_id < b.target_id, -1).otherwise((a.target_id > b.target_id).cast("int"))).alias("e"))
     return grouped.select("news_item_id", F.transform("e", lambda x: F.struct(x.kind.alias("type"), x.target_id.alias("id"), x.point.alias("point"), x.geometry.alias("geometry"))).alias("positions"))
 
 
-def cached_geometries(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """(news_item_id, geometries, geo_points) for all news items at once: of streets and places, and of all three; null if none."""
-    p = positions_of_news(mentions, gazetteer)
+def geometries_of_positions() -> tuple[Column, Column]:
+    """(geometries, geo_points) of positions: of streets and places, and of all three; null if none."""
     shapes = F.transform(F.filter("positions", lambda x: (x.type != "street_number") & x.geometry.isNotNull()), lambda x: x.geometry)
     points = F.transform(F.filter("positions", lambda x: x.point.isNotNull()), lambda x: x.point)
-    return p.select("news_item_id", F.when(F.size(shapes) > 0, shapes).alias("geometries"), F.when(F.size(points) > 0, points).alias("geo_points"))
+    return F.when(F.size(shapes) > 0, shapes).alias("geometries"), F.when(F.size(points) > 0, points).alias("geo_points")
+
+
+def cached_geometries(mentions: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(news_item_id, geometries, geo_points) for all news items at once, as geometries_of_positions() has them."""
+    return positions_of_news(mentions, gazetteer).select("news_item_id", *geometries_of_positions())
 
 
 def refresh_geometries(

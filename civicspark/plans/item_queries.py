@@ -12,7 +12,7 @@ from civicspark.operators.versions import SnapshotStore
 from civicspark.plans.derived import as_of, geo_items, haversine_sql, lat, lng, query_points, subscriptions, table, with_tables
 from civicspark.plans.derived import gazetteer as places_of_words
 from civicspark.plans.spatial_queries import SINCE, _dated, _since
-from civicspark.storage import shared_folder
+from civicspark.storage import dealt, shared_folder
 from civicspark.streaming.jobs import digest_items, digest_windows, ingest, landed
 
 KINDS = ("street", "street_number", "place")
@@ -24,7 +24,8 @@ def _kind(c: Column) -> Column:
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_orderkey").alias("news_item_id"), _kind(F.col("l_linenumber")).alias("kind"), F.col("l_partkey").alias("target_id")).distinct()
+    named = li.select(F.col("l_orderkey").alias("news_item_id"), _kind(F.col("l_linenumber")).alias("kind"), F.col("l_partkey").alias("target_id"))
+    return dealt(named, li.count(), "news_item_id", "kind", "target_id").distinct()
 
 
 def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +40,7 @@ def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions, cached geometries and representative point of every news item that has any."""
     mentions, places = _mentions(spark, sf_dir), _gazetteer(spark, sf_dir)
-    cached = items.cached_geometries(mentions, places).withColumnRenamed("news_item_id", "id")
-    both = items.positions_of_news(mentions, places).join(cached, F.col("id") == F.col("news_item_id"))
+    both = items.positions_of_news(mentions, places).select("news_item_id", "positions", *items.geometries_of_positions())
     p = items.news_point(F.col("geo_points"), F.col("geometries"))
     first, last = F.get("positions", F.lit(0)), F.element_at("positions", -1)
     return both.select(

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from civicspark import storage
 from civicspark.functions.geo import GEOMETRY, as_box, box_distance, distance
-from civicspark.operators import spatial, tagging
+from civicspark.operators import items, spatial, tagging
 from civicspark.plans import feed_queries
 from civicspark.sources import feeds, gazette
 
@@ -169,3 +170,13 @@ def test_mentions_do_not_depend_on_where_batches_end(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and len({r[0] for r in got}) == 40 and {r[1] for r in got} == {"street", "street_number", "place"}, got
+
+
+def test_tasks_get_a_bounded_number_of_mentions(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    gazetteer = spark.createDataFrame([("street", k, (13.0, 52.0), None) for k in range(5)], f"kind string, target_id long, point struct<lng:double,lat:double>, geometry {GEOMETRY}")
+    for n in (200, 2_000):
+        mentions = spark.range(n).select((F.col("id") / 2).cast("long").alias("news_item_id"), F.lit("street").alias("kind"), (F.col("id") % 5).alias("target_id"))
+        out = items.cached_geometries(mentions, gazetteer)
+        assert "hashpartitioning(news_item_id#" in _plan(out) and f", {max(4, n // 100)}), REPARTITION_BY_NUM" in _plan(out), _plan(out)
+        assert out.count() == n // 2 and out.selectExpr("sum(size(geo_points))").first()[0] == n
