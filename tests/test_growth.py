@@ -180,3 +180,11 @@ def test_tasks_get_a_bounded_number_of_mentions(spark, monkeypatch):
         out = items.cached_geometries(mentions, gazetteer)
         assert "hashpartitioning(news_item_id#" in _plan(out) and f", {max(4, n // 100)}), REPARTITION_BY_NUM" in _plan(out), _plan(out)
         assert out.count() == n // 2 and out.selectExpr("sum(size(geo_points))").first()[0] == n
+
+
+def test_places_of_large_ids_are_told_apart(spark):
+    big = 1 << 60
+    places = spark.createDataFrame([(big + 1, "Nordpark", "Mitte", "Park"), (big, "Nordpark", "Mitte", "Park")], "id long, name string, district string, type string")
+    streets, numbers = spark.createDataFrame([], "id long, name string, district string"), spark.createDataFrame([], "id long, geo_street_id long, number string")
+    docs = spark.createDataFrame([(1, "Nordpark", ["Mitte"])], "doc_id long, text string, hints array<string>")
+    assert [(r.target_id, r.resolution) for r in tagging.tag_text(docs, streets, numbers, places).collect()] == [(big, "district")]
