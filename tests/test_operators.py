@@ -69,6 +69,21 @@ def streets_only(*ids):
     return [("street", i) for i in ids]
 
 
+def test_items_to_the_east_are_found_up_to_the_radius(spark):
+    """A degree of longitude on the sphere is shorter than on the ellipsoid: items between 99.9 % of a radius and the radius, in all directions."""
+    lats = (-85.0, -60.0, 0.0, 30.0, 52.5, 80.0)
+    places = spark.createDataFrame([(i, 13.4, lat, r) for i, (lat, r) in enumerate((lat, r) for lat in lats for r in (500, 2000))], "sub_id long, q_lng double, q_lat double, radius_m int")
+    step, m = F.radians(F.col("k") * 5.0), F.col("radius_m") * F.element_at(F.array(*[F.lit(v) for v in (0.9990, 0.9996, 0.99999)]), ((F.col("k") + 2) % 3 + 1).cast("int"))
+    lat = F.col("q_lat") + F.cos(step) * m / 111_195.0
+    items = places.crossJoin(spark.range(72).withColumnRenamed("id", "k")).select(
+        (F.col("sub_id") * 72 + F.col("k")).alias("id"), (F.col("q_lng") + F.sin(step) * m / (111_195.0 * F.cos(F.radians((F.col("q_lat") + lat) / 2)))).alias("lng"), lat.alias("lat")
+    )
+    got = {(r.sub_id, r.id) for r in spatial.within_metres(places, items).collect()}
+    brute = places.crossJoin(items).where(spatial.haversine_m(F.col("q_lng"), F.col("q_lat"), F.col("lng"), F.col("lat")) <= F.col("radius_m"))
+    want = {(r.sub_id, r.id) for r in brute.collect()}
+    assert got == want and len(want) > 10 * 72, (len(want), sorted(want - got)[:9])
+
+
 def test_names_and_spellings_that_one_entry_has(spark):
     streets = [(1, "Ahornallee", NORTH), (2, "Birkenweg", SOUTH), (3, "Alter Birkenweg", NORTH)]
     streets += [(4, "Eichenstraße", NORTH), (5, "Alte Eichenstraße", NORTH), (6, "Ulmenstraße", SOUTH), (7, "Straße am Hof", SOUTH)]
