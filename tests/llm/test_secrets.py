@@ -5,6 +5,7 @@ import string
 import numpy as np
 import pytest
 
+from civicspark.llm import secrets
 from civicspark.llm.queries import op7_secrets
 from civicspark.llm.secrets import (
     ALPHABET,
@@ -166,6 +167,23 @@ def test_keys_in_the_scanned_table_do_not_move_the_models(spark, share):
     assert right >= 0.9 * len(keys) and right >= 0.9 * len(got), (right, len(got), len(keys))
 
 
+def test_all_words_held_out_set_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "GROUP", 100)
+    rnd = random.Random(4)
+    words = sorted({"".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(900)})
+    models = MarkovPair(sum(pairs(codes(s)) for s in drawn_strings()), sum(pairs(codes(f" {n} ")) for n in joined_names(PARTS.split())))
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    got = secrets.held_out_score(table, models)
+    groups = {}
+    for r in table.selectExpr("word", f"pmod(xxhash64(word), {-(-len(words) // 100)}) as g").collect():
+        groups.setdefault(r.g, []).append(r.word)
+    names = [n for g, some in groups.items() for n in joined_names(sorted(some), seed=2 + g, each=2)]
+    assert {n for n in words} <= {re.split("[^a-z]", n.lower())[0][:9] for n in names}  # each begins some
+    scores = sorted(x / n for x, n in map(models.score, filter(secrets.TOKEN.fullmatch, names + joined_names(PARTS.split(), seed=3, each=40))))
+    assert abs(got - float(np.quantile(scores, 1 - secrets.FALSE_SHARE, method="inverted_cdf"))) <= secrets.STEP
+    assert secrets.held_out_score(table.limit(0), models) < got
+
+
 def test_tokens_beside_many_matches():
     text = " ".join(f"token=abcdefgh{i} plain_token_number_{i}" for i in range(3000))
     base = base_spans(text)
